@@ -75,7 +75,7 @@ def score_stripes(
     count = np.bincount(right.code, minlength=n_terms)
     start = count.cumsum() - count
 
-    common = np.flatnonzero(count > max(8, n_right // 32))
+    common = np.flatnonzero(count > max(8, n_right // 16))
     slot = np.full(n_terms, -1)
     slot[common] = np.arange(len(common))
     at = slot[right.code]

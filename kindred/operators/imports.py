@@ -42,17 +42,18 @@ def collection_sizes(documents: DataFrame, modified_ms: int) -> DataFrame:
 
 def import_counters(opinions: DataFrame, namespace: str, patterns: list[str]) -> DataFrame:
     """One row: records used and discarded, documents and collections made from them."""
-    rows = opinions.agg(
-        F.count_if(has_text()).alias("rows_used"),
-        F.count_if(~F.coalesce(has_text(), F.lit(False))).alias("rows_discarded"),
+    keys = F.array(*[collection_key(p) for p in patterns])
+    documents = opinions.select(
+        F.lit(namespace).alias("namespace"),
+        F.coalesce(has_text(), F.lit(False)).alias("used"),
+        F.posexplode(keys).alias("pattern", "collection_key"),
     )
-    keys = fan_out(with_text(opinions), namespace, patterns).select(*KEY).distinct()
-    collections = keys.agg(F.count("*").alias("collections_created"))
-    return rows.crossJoin(F.broadcast(collections)).select(
-        "rows_used",
-        "rows_discarded",
-        (F.col("rows_used") * len(patterns)).alias("docs_created"),
-        "collections_created",
+    used, first = F.col("used"), F.col("pattern") == 0
+    return documents.agg(
+        F.count_if(used & first).alias("rows_used"),
+        F.count_if(~used & first).alias("rows_discarded"),
+        F.count_if(used).alias("docs_created"),
+        F.count_distinct(F.when(used, F.col("collection_key"))).alias("collections_created"),
     )
 
 

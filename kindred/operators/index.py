@@ -33,14 +33,14 @@ def dense_index(
     )
     within = Window.partitionBy(*keys)
     earlier = within.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
+    shifts = runs.select(
         *keys,
         "_slice",
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(within).alias("n_rows"),
     )
     return (
-        rows.join(runs, [*keys, "_slice"])
+        rows.join(stage(shifts, "shifts"), [*keys, "_slice"])
         .withColumn("idx", F.col("_at") + F.col("_shift"))
         .drop("_at", "_slice", "_shift")
     )

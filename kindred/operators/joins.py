@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
+MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_KEY_BYTES = 256
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], load: str) -> DataFrame:
@@ -14,15 +15,19 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], load: str) -> DataF
     ``table`` has one row per key and ``load`` tells how many of ``rows`` match it
     (or a number in proportion to that). At most ``MAX_BROADCAST_ROWS`` keys can
     each hold more than ``1 / MAX_BROADCAST_ROWS`` of the sum, so those are
-    broadcast; every key left for the shuffle is small. Both inputs are read more
-    than once and should be staged tables.
+    broadcast; every key left for the shuffle is small. Overlong keys are left for
+    it too, which bounds the bytes of the broadcast. Both inputs are read more than
+    once and should be staged tables.
     """
-    size = table.agg(F.count("*").alias("n"), F.sum(load).alias("load")).first()
-    if size["n"] <= MAX_BROADCAST_ROWS:
+    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in on), F.lit(0))
+    short = key_bytes <= MAX_BROADCAST_KEY_BYTES
+    size = table.agg(
+        F.count("*").alias("n"), F.sum(load).alias("load"), F.count_if(~short).alias("overlong")
+    ).first()
+    if size["n"] <= MAX_BROADCAST_ROWS and not size["overlong"]:
         return rows.join(F.broadcast(table), on)
-    cut = size["load"] / MAX_BROADCAST_ROWS
-    hot = F.broadcast(table.filter(F.col(load) > cut))
-    cold = table.filter(F.col(load) <= cut)
+    is_hot = short & (F.col(load) > size["load"] / MAX_BROADCAST_ROWS)
+    hot = F.broadcast(table.filter(is_hot))
     hot_rows = rows.join(hot, on)
-    cold_rows = rows.join(hot.select(*on), on, "left_anti").join(cold, on)
+    cold_rows = rows.join(hot.select(*on), on, "left_anti").join(table.filter(~is_hot), on)
     return hot_rows.unionByName(cold_rows)

@@ -31,21 +31,21 @@ def assign_blocks(
     docs: DataFrame, order: list[Column], params: Params = Params(), run_dir: str | None = None
 ) -> DataFrame:
     """Vectors with ``block_id``, ``pos`` within the block and the block's ``block_docs``."""
-    size = F.lit(params.block_size)
+    size = params.block_size
     numbered = dense_index(eligible(docs, params), KEY, order, run_dir)
-    block = F.floor(F.col("idx") / size)
+    block = F.expr(f"idx div {size}")
     return (
         numbered.withColumn("block_id", block)
         .withColumn("pos", (F.col("idx") - block * size).cast("int"))
-        .withColumn("block_docs", F.least(size, F.col("n_rows") - block * size).cast("int"))
+        .withColumn("block_docs", F.least(F.lit(size), F.col("n_rows") - block * size).cast("int"))
         .drop("idx", "n_rows")
     )
 
 
 def _tile_pairs(blocked: DataFrame, params: Params) -> DataFrame:
     """Each vector once for every tile of its block that it is compared with."""
-    tile = F.floor(F.col("pos") / params.tile_docs).cast("int")
-    last = F.floor((F.col("block_docs") - 1) / params.tile_docs).cast("int")
+    tile = F.expr(f"int(pos div {params.tile_docs})")
+    last = F.expr(f"int((block_docs - 1) div {params.tile_docs})")
     spread = blocked.select(
         *BLOCK,
         "pos",
@@ -71,7 +71,7 @@ def _tasks(blocked: DataFrame, params: Params) -> int:
     firsts = blocked.filter(F.col("pos") == 0)
     groups = firsts.agg(F.sum(side * (side + 1) / 2)).first()[0] or 1
     usual = int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(1, min(groups, max(4 * usual, groups // 8))))
+    return int(max(1, min(3 * groups, max(4 * usual, groups // 8))))
 
 
 def _score(

@@ -11,6 +11,7 @@ from kindred.functions import text, weights
 from kindred.operators.joins import lookup
 from kindred.params import Params
 from kindred.schema import KEY
+from kindred.staging import stage
 
 Analyzer = Callable[[Column], Column]
 
@@ -25,34 +26,45 @@ def tokenize(
     return docs.select(*KEY, "doc_id", F.posexplode(terms).alias("place", "term"))
 
 
-def term_frequency(tokens: DataFrame) -> DataFrame:
-    """Count per document and term. ``leads`` is 1 on one row of each document."""
-    return tokens.groupBy(*KEY, "doc_id", "term").agg(
+def term_frequency(
+    docs: DataFrame,
+    analyzer: Analyzer = text.words,
+    stop_words: tuple[str, ...] = text.STOP_WORDS,
+) -> DataFrame:
+    """Count per document and term. ``leads`` is 1 on one row of each document.
+
+    The texts are spread by document first: the counts then need no exchange of
+    their own, which would carry the keys with each term, many times the text.
+    """
+    spread = docs.repartition(*KEY, "doc_id")
+    return tokenize(spread, analyzer, stop_words).groupBy(*KEY, "doc_id", "term").agg(
         F.count("*").alias("tf"),
         F.max((F.col("place") == 0).cast("int")).alias("leads"),
     )
 
 
-def collection_docs(term_freq: DataFrame) -> DataFrame:
-    """Documents per collection (those with a term), without a distinct count."""
-    return term_freq.groupBy(*KEY).agg(
-        F.sum("leads").alias("n_docs"), F.count("*").alias("n_postings")
-    )
-
-
 def corpus_frequency(term_freq: DataFrame) -> DataFrame:
     """Occurrences ``cf`` and documents ``df`` per term, before any bound."""
     return term_freq.groupBy(*KEY, "term").agg(
-        F.sum("tf").alias("cf"), F.count("*").alias("df")
+        F.sum("tf").alias("cf"), F.count("*").alias("df"), F.sum("leads").alias("leads")
+    )
+
+
+def collection_docs(corpus: DataFrame) -> DataFrame:
+    """Documents per collection (those with a term), without a distinct count."""
+    return corpus.groupBy(*KEY).agg(
+        F.sum("leads").alias("n_docs"), F.count("*").alias("n_terms")
     )
 
 
 def dictionary(term_freq: DataFrame, params: Params = Params()) -> DataFrame:
     """Terms within the support and document frequency bounds."""
-    terms = corpus_frequency(term_freq).filter(F.col("cf") >= params.min_support)
+    corpus = stage(corpus_frequency(term_freq), "corpus")
+    n_docs = stage(collection_docs(corpus), "collection-docs")
+    terms = corpus.drop("leads").filter(F.col("cf") >= params.min_support)
     if params.min_df_mode == "drop":
         terms = terms.filter(F.col("df") >= params.min_df)
-    sized = lookup(terms, collection_docs(term_freq), KEY, "n_postings").drop("n_postings")
+    sized = lookup(terms, n_docs, KEY, "n_terms").drop("n_terms")
     sized = sized.filter(100 * F.col("df") / F.col("n_docs") <= params.max_df_percent)
     if params.min_df_mode == "clamp":
         sized = sized.withColumn("df", F.greatest("df", F.lit(params.min_df)))

@@ -300,7 +300,7 @@ FROM ({DOCS})""",
     "run_slugs": f"""
 SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
        left(md5(collection_key), 8) || '/vectorize' AS path FROM ({FAN_OUT})""",
-    "tokens": with_ctes(vector_ctes(), f"SELECT {KEYS}, doc_id, place, term FROM tok"),
+    "tokens": with_ctes(vector_ctes(), f"SELECT {KEYS}, doc_id, CAST(place AS INT) AS place, term FROM tok"),
     "term_freq": with_ctes(vector_ctes(), "SELECT * FROM tf"),
     "dictionary": with_ctes(vector_ctes(), "SELECT * FROM dict"),
     "tfidf_weights": with_ctes(
@@ -309,7 +309,7 @@ SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
     "tfidf_normalized": with_ctes(
         vector_ctes(), f"SELECT {KEYS}, doc_id, term, round(w, 6) AS weight FROM vec"
     ),
-    "eligible_docs": one_pass(f"SELECT {KEYS}, doc_id, n_terms FROM p_elig", upto="elig"),
+    "eligible_docs": one_pass(f"SELECT {KEYS}, doc_id, CAST(n_terms AS INT) AS n_terms FROM p_elig", upto="elig"),
     "doc_blocks": one_pass(
         f"SELECT {KEYS}, doc_id, block_id, pos, block_docs FROM p_blk", SMALL_BLOCKS, "blk"
     ),

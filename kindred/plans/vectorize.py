@@ -27,8 +27,8 @@ def vectorize(
     stop_words: tuple[str, ...] = text.STOP_WORDS,
 ) -> Vectorized:
     """Term frequencies, dictionary and TF-IDF vectors, each a stored table."""
-    tokens = vectors.tokenize(docs, analyzer, stop_words)
-    term_freq = stage(vectors.term_frequency(tokens), "tf-vectors", run_dir)
+    counts = vectors.term_frequency(docs, analyzer, stop_words)
+    term_freq = stage(counts, "tf-vectors", run_dir)
     terms = stage(vectors.dictionary(term_freq, params), "dictionary", run_dir)
     weighted = vectors.tfidf_weights(term_freq, terms)
     return Vectorized(

@@ -299,7 +299,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_freq(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.term_frequency(vectors.tokenize(documents(spark, sf))).drop("leads")
+    return vectors.term_frequency(documents(spark, sf)).drop("leads")
 
 
 def _vectorized(spark: SparkSession, sf: str, params: Params = ONE_BLOCK) -> Vectorized:
@@ -307,12 +307,12 @@ def _vectorized(spark: SparkSession, sf: str, params: Params = ONE_BLOCK) -> Vec
 
 
 def dictionary(spark: SparkSession, sf: str) -> DataFrame:
-    freq = vectors.term_frequency(vectors.tokenize(documents(spark, sf)))
+    freq = vectors.term_frequency(documents(spark, sf))
     return vectors.dictionary(stage(freq, "tf"))
 
 
 def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    freq = vectors.term_frequency(vectors.tokenize(documents(spark, sf)))
+    freq = vectors.term_frequency(documents(spark, sf))
     freq = stage(freq, "tf")
     weighted = vectors.tfidf_weights(freq, stage(vectors.dictionary(freq), "dictionary"))
     return weighted.withColumn("weight", F.round("weight", 6))
