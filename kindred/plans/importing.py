@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators import imports
@@ -22,9 +22,13 @@ def import_opinions(
     order: Column | None = None,
     size: str = "import",
     tag: str = "import",
+    count_discarded: bool = True,
 ) -> dict[str, int]:
     """Write documents and collections of all patterns; returns the counters.
 
+    These come from what was written, so that tasks run twice count once; only the
+    number of discarded records takes another scan, of their text.
+
     The collections' size is the number of documents of this import (repeats
     counted), that added to the earlier size (``running``), or the number of
     different documents there are now (``distinct``).
@@ -32,13 +36,7 @@ def import_opinions(
     if size not in SIZE_MODES:
         raise ValueError(f"unknown size mode: {size}")
     load_seq = now_ms if load_seq is None else load_seq
-    observed = Observation("import")
-    counted = opinions.observe(
-        observed,
-        F.count_if(imports.has_text()).alias("used"),
-        F.count("*").alias("rows"),
-    )
-    documents = imports.fan_out(imports.with_text(counted), namespace, patterns)
+    documents = imports.fan_out(imports.with_text(opinions), namespace, patterns)
     written = store.upsert_documents(documents, load_seq, order, tag)
     sizes = written.groupBy(*KEY).agg(F.sum("copies").alias("size"))
     if size == "running":
@@ -55,10 +53,13 @@ def import_opinions(
     updates = sizes.withColumn("modified_ms", F.lit(now_ms))
     store.upsert_collections(updates, load_seq, tag)
     totals = written.agg(F.sum("copies").alias("docs"), F.count_distinct(*KEY).alias("keys")).first()
-    used, rows = observed.get["used"], observed.get["rows"]
-    return {
-        "rows_used": used,
-        "rows_discarded": rows - used,
-        "docs_created": totals["docs"] or 0,
+    docs = totals["docs"] or 0
+    counters = {
+        "rows_used": docs // len(patterns),
+        "docs_created": docs,
         "collections_created": totals["keys"],
     }
+    if count_discarded:
+        blank = ~F.coalesce(imports.has_text(), F.lit(False))
+        counters["rows_discarded"] = opinions.filter(blank).count()
+    return counters

@@ -25,6 +25,8 @@ def rejects(records: DataFrame) -> DataFrame:
     return records.filter(size != len(OPINION_FIELDS)).withColumn("n_fields", size)
 
 
-def read_opinions(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Opinions of a file or folder, with ``file`` and ``start`` as their order."""
+def read_opinions(
+    spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """Opinions of files or folders, with ``file`` and ``start`` as their order."""
     return conform(read_escaped_tsv(spark, path, split_bytes))

@@ -14,6 +14,7 @@ first record by itself and no row is shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ SCHEMA = "fields array<string>, file string, start bigint"
 """``file`` and ``start`` (byte offset) give the records' order."""
 
 # One field up to a tab, and one escaped character.
-FIELD = re.compile(rb"(?:[^\\\t]|\\.)*", re.DOTALL)
+FIELD = re.compile(rb"(?:[^\\\t]+|\\.)*", re.DOTALL)
 ESCAPED = re.compile(rb"\\(.)", re.DOTALL)
 
 READ_BYTES = 1 << 20
@@ -124,7 +125,7 @@ def read_records(stream: pa.NativeFile, start: int, end: int) -> Iterator[tuple[
 
 
 class EscapedTsv(DataSource):
-    """Options: ``path`` (a file or folder) and ``splitBytes``."""
+    """Options: ``path`` (a file or folder) or ``paths`` (a JSON list), ``splitBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,27 +140,17 @@ class EscapedTsv(DataSource):
 
 class EscapedTsvReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path = options["path"]
+        self.paths = json.loads(options.get("paths", "null")) or [options["path"]]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
 
     def partitions(self) -> list[ByteRange]:
-        system, root = file_system(self.path)
-        found = system.get_file_info(root)
-        if found.type == fs.FileType.Directory:
-            files = system.get_file_info(fs.FileSelector(root, recursive=True))
-        elif found.is_file:
-            files = [found]
-        else:
-            raise FileNotFoundError(self.path)
-        return [
-            ByteRange(file.path, start, min(start + self.split_bytes, file.size))
-            for file in sorted(files, key=lambda f: f.path)
-            if file.is_file and not file.base_name.startswith(("_", "."))
-            for start in range(0, file.size, self.split_bytes)
-        ]
+        found = [part for path in self.paths for part in byte_ranges(path, self.split_bytes)]
+        return found or [ByteRange("", 0, 0)]  # Spark wants at least one
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        system, _ = file_system(self.path)
+        if not partition.path:
+            return
+        system, _ = file_system(self.paths[0])
         rows: list[tuple[list[str], int]] = []
         with system.open_input_file(partition.path) as stream:
             for begin, record in read_records(stream, partition.start, partition.end):
@@ -171,6 +162,23 @@ class EscapedTsvReader(DataSourceReader):
             yield to_batch(rows, partition.path)
 
 
+def byte_ranges(path: str, split_bytes: int) -> list[ByteRange]:
+    system, root = file_system(path)
+    found = system.get_file_info(root)
+    if found.type == fs.FileType.Directory:
+        files = system.get_file_info(fs.FileSelector(root, recursive=True))
+    elif found.is_file:
+        files = [found]
+    else:
+        raise FileNotFoundError(path)
+    return [
+        ByteRange(file.path, start, min(start + split_bytes, file.size))
+        for file in sorted(files, key=lambda f: f.path)
+        if file.is_file and not file.base_name.startswith(("_", "."))
+        for start in range(0, file.size, split_bytes)
+    ]
+
+
 def to_batch(rows: list[tuple[list[str], int]], path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -190,10 +198,14 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def read_escaped_tsv(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_escaped_tsv(
+    spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """Records as ``fields array<string>`` with the file and offset they come from."""
     spark.dataSource.register(EscapedTsv)
-    return spark.read.format("escaped_tsv").option("splitBytes", split_bytes).load(path)
+    paths = [path] if isinstance(path, str) else path
+    reader = spark.read.format("escaped_tsv").option("splitBytes", split_bytes)
+    return reader.option("paths", json.dumps(paths)).load()
 
 
 def encode_record(fields: list[Column]) -> Column:

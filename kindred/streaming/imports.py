@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from kindred.operators import imports
 from kindred.plans.importing import import_opinions
 from kindred.schema import KEY
+from kindred.sources.opinions import read_opinions
 from kindred.sources.store import Store
 
 
@@ -39,6 +40,7 @@ def import_stream(
             order=order,
             size="running",
             tag="stream",
+            count_discarded=False,
         )
 
     return (
@@ -53,3 +55,51 @@ def running_sizes(opinions: DataFrame, namespace: str, patterns: list[str]) -> D
     """Documents per collection so far; for output mode ``update`` or ``complete``."""
     documents = imports.fan_out(imports.with_text(opinions), namespace, patterns)
     return documents.groupBy(*KEY).agg(F.count("*").alias("size"))
+
+
+def import_tsv_stream(
+    path: str,
+    store: Store,
+    namespace: str,
+    patterns: list[str],
+    checkpoint: str,
+    now_ms: int,
+    first_seq: int = 0,
+    max_files: int = 1_000,
+) -> StreamingQuery:
+    """The same for escaped TSV files as they arrive in a folder.
+
+    Spark's file source keeps track of which files are new; only their names, at
+    most ``max_files`` a batch, pass through the driver, and the files themselves
+    are read in byte ranges as in a batch.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        files = [row["path"] for row in batch.collect()]
+        if files:
+            import_opinions(
+                read_opinions(store.spark, files),
+                store,
+                namespace,
+                patterns,
+                now_ms,
+                load_seq=first_seq + batch_id,
+                order=F.struct("file", "start"),
+                size="running",
+                tag="stream",
+                count_discarded=False,
+            )
+
+    names = (
+        store.spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("maxFilesPerTrigger", max_files)
+        .load(path)
+        .select("path")
+    )
+    return (
+        names.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
