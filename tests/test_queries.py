@@ -1,0 +1,28 @@
+import duckdb
+import pytest
+from conftest import SF
+
+from __spark_entry__ import entry, oracle_sql, queries
+from check import TABLES, TYPES, rows
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    return connection
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_query_equals_sql(spark, duck, name):
+    result = queries()[name](spark, SF)
+    relation = duck.sql(oracle_sql()[name])
+    types = dict(zip(relation.columns, map(str, relation.types)))
+    assert types == {f.name: TYPES[f.dataType.simpleString()] for f in result.schema.fields}
+    assert rows(result.toPandas()) == rows(relation.df())
+
+
+def test_entry(spark):
+    assert entry(spark).count() > 0
+    assert set(queries()) == set(oracle_sql())
