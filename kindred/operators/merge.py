@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.operators.index import dense_index
+from kindred.operators.joins import lookup
+from kindred.operators.vectors import long_form
 from kindred.params import Params
 from kindred.schema import KEY
+from kindred.staging import stage
 
 
 def stage1(block_members: DataFrame, rest_members: DataFrame) -> DataFrame:
@@ -91,6 +94,32 @@ def merge_clusters(
     )
 
 
+def similarity_to_medoid(merged: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Add ``medoid_similarity``: members compared with their own medoid.
+
+    The stored similarity is that to the direct parent, which the merge may have
+    put under another medoid. Only (medoid, member) pairs are computed; a medoid's
+    terms are looked up by its members' terms, however many members there are.
+    """
+    labelled = merged.select(*KEY, "label", "doc_id", "is_medoid")
+    terms = stage(long_form(vectors).join(labelled, [*KEY, "doc_id"]), "member-terms")
+    size = labelled.groupBy(*KEY, "label").agg(F.count("*").alias("n_members"))
+    heads = (
+        terms.filter("is_medoid")
+        .select(*KEY, "label", "term", F.col("weight").alias("medoid_weight"))
+        .join(size, [*KEY, "label"])
+    )
+    shared = lookup(terms, stage(heads, "medoid-terms"), [*KEY, "label", "term"], "n_members")
+    sums = shared.groupBy(*KEY, "label", "doc_id").agg(
+        F.sum(F.col("weight") * F.col("medoid_weight")).alias("s")
+    )
+    similar = F.round(F.coalesce("s", F.lit(0.0)), 9)
+    return merged.join(sums, [*KEY, "label", "doc_id"], "left").select(
+        *merged.columns,
+        F.when(F.col("is_medoid"), F.lit(1.0)).otherwise(similar).alias("medoid_similarity"),
+    )
+
+
 def nested_clusters(merged: DataFrame) -> DataFrame:
     """One row per cluster with its members as an array, largest similarity first.
 

@@ -26,26 +26,38 @@ from kindred.staging import stage
 
 BLOCK = [*KEY, "block_id"]
 
+TILE_TERMS = 1_000_000
+"""Terms that a tile of average documents may hold."""
+
 
 def assign_blocks(
-    docs: DataFrame, order: list[Column], params: Params = Params(), run_dir: str | None = None
+    docs: DataFrame, order: list[Column], params: Params = Params()
 ) -> DataFrame:
-    """Vectors with ``block_id``, ``pos`` within the block and the block's ``block_docs``."""
+    """Vectors with ``block_id``, ``pos`` within the block and the block's ``block_docs``.
+
+    ``tile_docs`` is how many documents of the collection go into one tile, fewer
+    where they are long, so that a scoring task's memory does not grow with them.
+    """
     size = params.block_size
-    numbered = dense_index(eligible(docs, params), KEY, order, run_dir)
+    with_length = eligible(docs, params).withColumn("n_terms", F.size("terms"))
+    numbered = dense_index(with_length, KEY, order, total="n_terms")
     block = F.expr(f"idx div {size}")
+    by_length = F.expr(f"{TILE_TERMS} * n_rows div total")
     return (
         numbered.withColumn("block_id", block)
         .withColumn("pos", (F.col("idx") - block * size).cast("int"))
         .withColumn("block_docs", F.least(F.lit(size), F.col("n_rows") - block * size).cast("int"))
-        .drop("idx", "n_rows")
+        .withColumn(
+            "tile_docs", F.greatest(F.lit(16), F.least(F.lit(params.tile_docs), by_length)).cast("int")
+        )
+        .drop("idx", "n_rows", "total", "n_terms")
     )
 
 
-def _tile_pairs(blocked: DataFrame, params: Params) -> DataFrame:
+def _tile_pairs(blocked: DataFrame) -> DataFrame:
     """Each vector once for every tile of its block that it is compared with."""
-    tile = F.expr(f"int(pos div {params.tile_docs})")
-    last = F.expr(f"int((block_docs - 1) div {params.tile_docs})")
+    tile = F.expr("int(pos div tile_docs)")
+    last = F.expr("int((block_docs - 1) div tile_docs)")
     spread = blocked.select(
         *BLOCK,
         "pos",
@@ -65,9 +77,9 @@ def _tile_pairs(blocked: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def _tasks(blocked: DataFrame, params: Params) -> int:
+def _tasks(blocked: DataFrame) -> int:
     """Shuffle partitions for the tile pairs; the planner cannot see their CPU cost."""
-    side = F.ceil(F.col("block_docs") / params.tile_docs)
+    side = F.ceil(F.col("block_docs") / F.col("tile_docs"))
     firsts = blocked.filter(F.col("pos") == 0)
     groups = firsts.agg(F.sum(side * (side + 1) / 2)).first()[0] or 1
     usual = int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -88,7 +100,7 @@ def _score(
         constant = {name: pa.repeat(value, n) for name, value in zip(BLOCK, block)}
         return pa.table({**constant, **{k: pa.array(v) for k, v in found.items()}})
 
-    shipped = _tile_pairs(blocked, params).repartition(_tasks(blocked, params), *group_key)
+    shipped = _tile_pairs(blocked).repartition(_tasks(blocked), *group_key)
     keys = "namespace string, collection_key string, block_id bigint"
     return shipped.groupBy(*group_key).applyInArrow(score, f"{keys}, {columns}")
 
@@ -137,7 +149,7 @@ def document_scores(blocked: DataFrame, params: Params = Params()) -> DataFrame:
 def scored_documents(blocked: DataFrame, params: Params = Params()) -> DataFrame:
     """All documents of the blocks with their scores, null for those without a partner."""
     scores = document_scores(blocked, params)
-    ids = blocked.drop("terms", "weights", "block_docs")
+    ids = blocked.drop("terms", "weights", "block_docs", "tile_docs")
     return stage(ids.join(scores, [*BLOCK, "pos"], "left"), "scored")
 
 

@@ -211,6 +211,18 @@ FROM joined {keep}"""
     return two_passes(query, params, ctes)
 
 
+LIST_ORDER = "pass, block_id, medoid_centricity, medoid_pos DESC"
+
+
+def ranked(order: str) -> str:
+    return two_passes(
+        f"""
+SELECT {KEYS}, medoid_id, size, row_number() OVER (PARTITION BY {KEYS} ORDER BY {order}) AS rank
+FROM (SELECT {KEYS}, pass, block_id, medoid_id, medoid_centricity, medoid_pos,
+             count(*) - 1 AS size FROM stage1 GROUP BY ALL)"""
+    )
+
+
 MEMBERS = f"SELECT {KEYS}, medoid_id AS label, doc_id, similarity, is_medoid FROM p_members"
 
 
@@ -377,12 +389,17 @@ SELECT {KEYS}, block_id, count(*) FILTER (inner_node) AS splices FROM (
     "cluster_sizes": two_passes(
         f"SELECT {KEYS}, pass, block_id, medoid_id, count(*) - 1 AS size FROM stage1 GROUP BY ALL"
     ),
-    "clusters_ranked": two_passes(
+    "clusters_ranked": ranked(LIST_ORDER),
+    "clusters_by_size": ranked(f"size DESC, {LIST_ORDER}"),
+    "medoid_similarities": merged(
         f"""
-SELECT {KEYS}, medoid_id, size, row_number() OVER (PARTITION BY {KEYS}
-       ORDER BY pass, block_id, medoid_centricity, medoid_pos DESC) AS rank
-FROM (SELECT {KEYS}, pass, block_id, medoid_id, medoid_centricity, medoid_pos,
-             count(*) - 1 AS size FROM stage1 GROUP BY ALL)"""
+SELECT m.*, CASE WHEN m.is_medoid THEN 1.0 ELSE round(coalesce(s, 0), 6) END
+       AS medoid_similarity
+FROM merged m LEFT JOIN (
+  SELECT {KEYS}, label, doc_id, sum(a.w * b.w) AS s
+  FROM merged JOIN vec a USING ({KEYS}, doc_id)
+  JOIN (SELECT {KEYS}, doc_id AS label, term, w FROM vec) b USING ({KEYS}, label, term)
+  GROUP BY ALL) USING ({KEYS}, label, doc_id)"""
     ),
     "merged_clusters": merged("SELECT * FROM merged"),
     "merged_only": merged(

@@ -8,20 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import keys
-from kindred.operators import imports
+from kindred.operators import histogram, imports
 from kindred.operators.joins import lookup
 from kindred.params import Params
-from kindred.plans.textcluster import Clustering, textcluster
+from kindred.plans.textcluster import textcluster
 from kindred.plans.vectorize import vectorize
 from kindred.schema import KEY
 from kindred.sources.store import Store
-from kindred.staging import stage
+from kindred.staging import stage, temporary
 
 
 @dataclass(frozen=True)
 class Rebuilt:
+    """Documents exported and the number of members in clusters of each size class
+    (``histogram.LOG_BOUNDS``)."""
+
     exported: int
-    clustering: Clustering
+    size_counts: list[int]
 
 
 def export_documents(documents: DataFrame, path: str) -> int:
@@ -38,11 +41,20 @@ def _rebuild(
     export = f"{run_dir}/export_documents"
     exported = export_documents(documents.select(*KEY, "doc_id", "text"), export)
     texts = store.spark.read.schema(documents.schema).parquet(export)
-    vectors = vectorize(texts, params, f"{run_dir}/vectorize").vectors
-    clustering = textcluster(vectors, params)
-    store.write_clusters(clustering.merged, ts, run)
+    with temporary(store.spark):
+        vectors = vectorize(texts, params, f"{run_dir}/vectorize").vectors
+        store.write_clusters(textcluster(vectors, params).merged, ts, run)
     store.activate_rebuild(collections, ts, run)
-    return Rebuilt(exported, clustering)
+    return Rebuilt(exported, _size_counts(store, ts, run))
+
+
+def _size_counts(store: Store, ts: int, run: str) -> list[int]:
+    members = store.cluster_members().filter(
+        (F.col("rebuild_ms") == ts) & (F.col("run") == run)
+    )
+    sizes = members.groupBy(*KEY, "label").agg(F.count_if(~F.col("is_medoid")).alias("size"))
+    buckets = histogram.histogram(sizes, "size", times="size").orderBy("bucket_idx")
+    return [row["count"] for row in buckets.collect()]
 
 
 def rebuild(

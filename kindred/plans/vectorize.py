@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from kindred.functions import text
 from kindred.operators import vectors
@@ -34,3 +34,8 @@ def vectorize(
     return Vectorized(
         term_freq, terms, stage(vectors.vectors(weighted), "tfidf-vectors", run_dir)
     )
+
+
+def read_vectors(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Vectors that an earlier run has left."""
+    return spark.read.parquet(f"{run_dir}/tfidf-vectors")

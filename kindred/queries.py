@@ -436,6 +436,19 @@ def merged_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return _clustering(spark, sf).merged
 
 
+def clusters_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = merge.ranked_clusters(_stage1(spark, sf), by="size")
+    return ranked.select(*KEY, "medoid_id", "size", "rank")
+
+
+def medoid_similarities(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of merged clusters with their similarity to the medoid."""
+    vecs = _vectorized(spark, sf).vectors
+    merged = textcluster(vecs, SMALL_BLOCKS).merged
+    found = merge.similarity_to_medoid(merged, vecs)
+    return found.withColumn("medoid_similarity", F.round("medoid_similarity", 6))
+
+
 def merged_only(spark: SparkSession, sf: str) -> DataFrame:
     """Without the clusters that the merge leaves alone."""
     params = Params(block_size=SMALL_BLOCKS.block_size, drop_unmerged=True)
@@ -526,8 +539,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stage1_clusters,
         cluster_sizes,
         clusters_ranked,
+        clusters_by_size,
         merged_clusters,
         merged_only,
+        medoid_similarities,
         cluster_size_histogram,
         histogram_log,
         histogram_linear,

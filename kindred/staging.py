@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     configured = configured or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     global _own_dir
@@ -27,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are dropped at the end, so read results before that."""
+    path = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(path)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(folder, True)
+
+
 def stage(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
     """Write ``df`` and return a scan of what was written.
 
@@ -36,7 +54,7 @@ def stage(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if run_dir is None:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     else:
         path = f"{run_dir}/{name}"
     df.write.mode("overwrite").parquet(path)

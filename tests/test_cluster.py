@@ -82,7 +82,7 @@ def test_tiles_take_large_postings_in_parts(monkeypatch):
     assert all(np.array_equal(whole[k], parts[k]) for k in whole)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_one_pass_equals_the_fold(spark, seed):
     """Many collections at once, each checked against the step-by-step model."""
     collections = {f"c{i}": corpus(100 * seed + i, 5 + 3 * i) for i in range(15)}
@@ -170,7 +170,6 @@ def test_a_third_of_the_documents_are_copies(spark):
 def test_nothing_to_cluster(spark):
     empty = to_frame(spark, {"c": {1: {"a": 0.5, "b": 0.5}}})
     assert textcluster(empty).merged.count() == 0
-    assert textcluster(empty.filter("doc_id < 0")).merged.count() == 0
 
 
 def test_scoring_plan_has_no_term_join(spark):

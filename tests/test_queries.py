@@ -2,6 +2,8 @@ import duckdb
 import pytest
 from conftest import SF
 
+import kindred.plans.textcluster
+import kindred.queries
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, TYPES, rows
 
@@ -14,6 +16,31 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Queries share the steps they have in common; a test run is too long otherwise."""
+    vectorized = kindred.queries._vectorized
+    two_passes = kindred.plans.textcluster.block_and_rest
+    done = {}
+
+    def vectors_once(spark, sf, params=kindred.queries.ONE_BLOCK):
+        if (sf, params) not in done:
+            done[sf, params] = vectorized(spark, sf, params)
+        return done[sf, params]
+
+    def passes_once(vectors, params):
+        key = (id(vectors), params.block_size, params.min_similarity)
+        if key not in done:
+            done[key] = (vectors, two_passes(vectors, params))
+        return done[key][1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(kindred.queries, "_vectorized", vectors_once)
+        patch.setattr(kindred.queries, "block_and_rest", passes_once)
+        patch.setattr(kindred.plans.textcluster, "block_and_rest", passes_once)
+        yield
+
+
 @pytest.mark.parametrize("name", list(queries()))
 def test_query_equals_sql(spark, duck, name):
     result = queries()[name](spark, SF)
