@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,19 +15,30 @@ from kindred.sources.opinions import read_opinions
 from kindred.sources.store import Store
 
 
+def _now_ms() -> int:
+    return time.time_ns() // 1_000_000
+
+
+def _trigger(every: str | None) -> dict[str, str | bool]:
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
 def import_stream(
     opinions: DataFrame,
     store: Store,
     namespace: str,
     patterns: list[str],
     checkpoint: str,
-    now_ms: int,
+    now_ms: int | None = None,
     first_seq: int = 0,
     order: Column | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Import a stream of opinions, batch by batch, until the input is used up.
+    """Import a stream of opinions, batch by batch.
 
-    A batch is one load, numbered ``first_seq`` plus its batch number. A batch that
+    Ends when the input there is has been used up, or goes on with a batch ``every``
+    interval. Collections are marked modified at ``now_ms``, by default the time of
+    the batch. A batch is one load, numbered ``first_seq`` plus its batch number. A batch that
     is run again after a failure replaces its own load, so nothing counts twice.
     """
 
@@ -35,7 +48,7 @@ def import_stream(
             store,
             namespace,
             patterns,
-            now_ms,
+            _now_ms() if now_ms is None else now_ms,
             load_seq=first_seq + batch_id,
             order=order,
             size="running",
@@ -46,7 +59,7 @@ def import_stream(
     return (
         opinions.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )
 
@@ -63,9 +76,10 @@ def import_tsv_stream(
     namespace: str,
     patterns: list[str],
     checkpoint: str,
-    now_ms: int,
+    now_ms: int | None = None,
     first_seq: int = 0,
     max_files: int = 1_000,
+    every: str | None = None,
 ) -> StreamingQuery:
     """The same for escaped TSV files as they arrive in a folder.
 
@@ -82,7 +96,7 @@ def import_tsv_stream(
                 store,
                 namespace,
                 patterns,
-                now_ms,
+                _now_ms() if now_ms is None else now_ms,
                 load_seq=first_seq + batch_id,
                 order=F.struct("file", "start"),
                 size="running",
@@ -100,6 +114,6 @@ def import_tsv_stream(
     return (
         names.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**_trigger(every))
         .start()
     )

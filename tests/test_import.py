@@ -164,6 +164,9 @@ def test_loads_and_compaction(spark, store):
     assert texts() == {("4.0", "1"): "new", ("4.0", "2"): "two"}
     plan = store.scan_documents("n/1", "4.0")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EqualTo(collection_key,4.0)" in plan
+    with pytest.raises(ValueError):
+        load([("4.0", "1", "late")], 0)
+    load([("4.0", "1", "new")], 2)  # run again, already in the base
     load([("4.0", "1", "newest")], 3)
     assert texts() == {("4.0", "1"): "newest", ("4.0", "2"): "two"}
     assert [r[1] for r in store.list_documents("n/1", "4.0").collect()] == ["newest", "two"]
