@@ -113,21 +113,8 @@ def similarity_to_medoid(merged: DataFrame, vectors: DataFrame) -> DataFrame:
     sums = shared.groupBy(*KEY, "label", "doc_id").agg(
         F.sum(F.col("weight") * F.col("medoid_weight")).alias("s")
     )
-    similar = F.round(F.coalesce("s", F.lit(0.0)), 9)
+    similar = F.rint(F.coalesce("s", F.lit(0.0)) * F.lit(1e9)) / F.lit(1e9)
     return merged.join(sums, [*KEY, "label", "doc_id"], "left").select(
         *merged.columns,
         F.when(F.col("is_medoid"), F.lit(1.0)).otherwise(similar).alias("medoid_similarity"),
     )
-
-
-def nested_clusters(merged: DataFrame) -> DataFrame:
-    """One row per cluster with its members as an array, largest similarity first.
-
-    For reading single clusters; an array holds a whole cluster, so filter first.
-    """
-    member = F.struct("similarity", "doc_id")
-    return merged.groupBy(*KEY, "label").agg(
-        F.count_if(~F.col("is_medoid")).alias("size"),
-        F.sort_array(F.collect_list(member), asc=False).alias("documents"),
-    )
-

@@ -188,7 +188,9 @@ SELECT v.* FROM vec v JOIN b_scored s USING ({KEYS}, doc_id) WHERE s.centricity_
     return with_ctes(ctes | (more or {}), query, True)
 
 
-def merged(query: str, params: Params = SMALL_BLOCKS) -> str:
+def merged(
+    query: str, params: Params = SMALL_BLOCKS, more: dict[str, str] | None = None
+) -> str:
     ctes = {
         "medoid_vec": f"""
 SELECT v.*, s.pass, s.block_id AS home, s.medoid_centricity AS c, -s.pos AS minus_pos
@@ -208,7 +210,7 @@ SELECT {KEYS}, coalesce(meta_id, medoid_id) AS label, doc_id,
             THEN meta_similarity ELSE similarity END AS similarity,
        is_medoid AND coalesce(meta_id, medoid_id) = medoid_id AS is_medoid
 FROM joined {keep}"""
-    return two_passes(query, params, ctes)
+    return two_passes(query, params, ctes | (more or {}))
 
 
 LIST_ORDER = "pass, block_id, medoid_centricity, medoid_pos DESC"
@@ -393,13 +395,17 @@ SELECT {KEYS}, block_id, count(*) FILTER (inner_node) AS splices FROM (
     "clusters_by_size": ranked(f"size DESC, {LIST_ORDER}"),
     "medoid_similarities": merged(
         f"""
-SELECT m.*, CASE WHEN m.is_medoid THEN 1.0 ELSE round(coalesce(s, 0), 6) END
-       AS medoid_similarity
+SELECT m.*, CASE WHEN m.is_medoid THEN 1.0 ELSE coalesce(s, 0) END AS medoid_similarity
 FROM merged m LEFT JOIN (
-  SELECT {KEYS}, label, doc_id, sum(a.w * b.w) AS s
-  FROM merged JOIN vec a USING ({KEYS}, doc_id)
-  JOIN (SELECT {KEYS}, doc_id AS label, term, w FROM vec) b USING ({KEYS}, label, term)
-  GROUP BY ALL) USING ({KEYS}, label, doc_id)"""
+  SELECT a.namespace, a.collection_key, a.label, a.doc_id, round(sum(a.w * b.w) * 1e9) / 1e9 AS s
+  FROM of_members a JOIN of_medoids b ON a.namespace = b.namespace
+   AND a.collection_key = b.collection_key AND a.label = b.label AND a.term = b.term
+  GROUP BY ALL) USING ({KEYS}, label, doc_id)""",
+        more={
+            "of_members": f"""
+SELECT {KEYS}, label, doc_id, is_medoid, term, w FROM merged JOIN vec USING ({KEYS}, doc_id)""",
+            "of_medoids": f"SELECT {KEYS}, label, term, w FROM of_members WHERE is_medoid",
+        },
     ),
     "merged_clusters": merged("SELECT * FROM merged"),
     "merged_only": merged(

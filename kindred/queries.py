@@ -445,8 +445,7 @@ def medoid_similarities(spark: SparkSession, sf: str) -> DataFrame:
     """Members of merged clusters with their similarity to the medoid."""
     vecs = _vectorized(spark, sf).vectors
     merged = textcluster(vecs, SMALL_BLOCKS).merged
-    found = merge.similarity_to_medoid(merged, vecs)
-    return found.withColumn("medoid_similarity", F.round("medoid_similarity", 6))
+    return merge.similarity_to_medoid(merged, vecs)
 
 
 def merged_only(spark: SparkSession, sf: str) -> DataFrame:
