@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import embeddings, langid, packing, quality, simhash, toxicity
+from kindred.llm import embeddings, langid, mixing, packing, quality, simhash, toxicity, warc
 from kindred.llm.common import remainder, table
 from kindred.staging import stage
 
@@ -28,6 +28,47 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIX = {"src0": 20, "src1": 15, "src2": 10, "src3": 5}
+MIX_OTHERS = 50
+
+
+@query
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.schedule(docs, MIX, MIX_OTHERS).select("doc_id", "source", "start", "block", "slot", "position")
+
+
+ORACLE["op2_pfair_mixing"] = """
+WITH RECURSIVE w(g, a) AS (
+  VALUES ('(others)', 50), ('src0', 20), ('src1', 15), ('src2', 10), ('src3', 5)
+), edf(slot, done, pick) AS (
+  SELECT -1, (SELECT list(0 ORDER BY g) FROM w), NULL::VARCHAR
+  UNION ALL
+  SELECT slot + 1, list_transform(done, lambda n, i: n + CASE WHEN i = p.i THEN 1 ELSE 0 END), p.g
+  FROM edf, LATERAL (
+    SELECT g, i FROM (SELECT g, a, row_number() OVER (ORDER BY g) AS i FROM w)
+    WHERE done[i] < a AND (done[i] * 100) // a <= slot + 1
+    ORDER BY ceil((done[i] + 1) * 100 / a), i LIMIT 1
+  ) p
+  WHERE slot < 99
+), slots AS (
+  SELECT pick AS g, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS k FROM edf WHERE slot >= 0
+), d AS (
+  SELECT doc_id, source, CASE WHEN source IN ('src0', 'src1', 'src2', 'src3') THEN source ELSE '(others)' END AS g,
+    coalesce(length(text), 0) AS n
+  FROM documents
+), s AS (
+  SELECT doc_id, source, g,
+    coalesce(sum(n) OVER (PARTITION BY g ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d
+), b AS (SELECT *, start // 65536 AS block FROM s)
+SELECT doc_id, source, start, block::BIGINT AS block,
+  ((block // a) * 100 + slots.slot)::BIGINT AS slot,
+  row_number() OVER (ORDER BY (block // a) * 100 + slots.slot, start, doc_id) - 1 AS position
+FROM b JOIN w USING (g) JOIN slots ON slots.g = b.g AND slots.k = block % a
+"""
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -113,3 +154,34 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), warc.new_folder(spark))
+    return warc.read_archives(files).select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+        "url",
+    )
+
+
+ORACLE["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+), digits AS (
+  SELECT *, list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(h, (k // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (k % 4))::INTEGER) & 31) + 1, 1)) AS d
+  FROM p
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(d, '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
+FROM digits
+"""
