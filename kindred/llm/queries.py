@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import embeddings, langid, mixing, packing, quality, simhash, toxicity, warc
+from kindred.llm import chunking, embeddings, langid, mixing, packing, quality, simhash, toxicity, warc
 from kindred.llm.common import remainder, table
 from kindred.staging import stage
 
@@ -147,6 +147,18 @@ FROM f
 """
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.deduplicate(docs).select(
+        "doc_id",
+        "text",
+        F.size("removed").alias("n_removed"),
+        F.aggregate("removed.words", F.lit(0), lambda a, x: a + x).alias("words_removed"),
+        F.array_sort(F.array_distinct("removed.first_id")).alias("first_ids"),
+    )
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
