@@ -111,17 +111,25 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int | None = 2, longest: int = 1024
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int | None = 2,
+    longest: int = 1024,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids`` of ``docs (doc_id, text, …)``.
 
     A document is its text's ids and ``end_id``; a null text is empty. One longer than
     ``longest`` is cut so that only its first piece is shorter. ``ids`` are the piece's
     tokens as little-endian 32-bit integers. Without ``end_id`` an empty text has no piece.
+    The columns ``keep`` come along with each piece.
     """
-    return docs.select("doc_id", "text").mapInArrow(
+    docs = docs.select("doc_id", "text", *(keep or []))
+    schema = T.StructType().add("doc_id", "long").add("piece", "integer").add("start", "long")
+    schema = schema.add("length", "long").add("ids", "binary")
+    return docs.mapInArrow(
         partial(_pieces, tokenizer=tokenizer, end_id=end_id, longest=longest),
-        "doc_id bigint, piece int, start bigint, length bigint, ids binary",
+        T.StructType([*schema.fields, *docs.schema.fields[2:]]),
     )
 
 
@@ -133,17 +141,18 @@ def _pieces(batches, tokenizer: str, end_id: int | None, longest: int) -> Iterat
             part = batch.slice(at, 256)
             out: list[tuple] = []
             texts = [x or "" for x in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
+            for k, (doc_id, ids) in enumerate(zip(part.column(0).to_pylist(), encode(texts))):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % longest or longest, n + 1, longest)] if n else [0]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    out.append((doc_id, i, a, b - a, ids[4 * a : 4 * b]))
-            columns = zip(*out) if out else [[]] * 5
+                    out.append((doc_id, i, a, b - a, ids[4 * a : 4 * b], k))
+            *columns, own = zip(*out) if out else [[]] * 6
+            own = pa.array(own, pa.int32())
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)],
-                ["doc_id", "piece", "start", "length", "ids"],
+                [*(pa.array(c, t) for c, t in zip(columns, kinds)), *(c.take(own) for c in part.columns[2:])],
+                ["doc_id", "piece", "start", "length", "ids", *part.schema.names[2:]],
             )
 
 

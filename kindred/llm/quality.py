@@ -166,7 +166,11 @@ def ablation(rows: DataFrame, policy: Policy = DEFAULT, by: tuple[str, ...] = ()
 
 
 def keep(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with their columns, from the same pass."""
+    """The rows of ``docs`` that the policy keeps, with their columns, from the same pass.
+
+    Rows are left out by ``inline``: a filter would be pushed below the measurements, with
+    each of them written out again wherever a rule reads it.
+    """
     row = F.struct(*(F.col(c) for c in docs.columns))
     judged = apply_policy(ledger(docs.select("text", row.alias("_row"))), policy)
-    return judged.where("kept").select("_row.*")
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MIX = {"src0": 20, "src1": 15, "src2": 10, "src3": 5}
-MIX_OTHERS = 50
+QUERIES["pipeline"] = corpus_pipeline.run
 
 
 @query
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.schedule(docs, MIX, MIX_OTHERS).select("doc_id", "source", "start", "block", "slot", "position")
+    return mixing.schedule(docs, corpus_pipeline.MIX, corpus_pipeline.MIX_OTHERS).select("doc_id", "source", "start", "block", "slot", "position")
 
 
 ORACLE["op2_pfair_mixing"] = """

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kindred.llm.common import word_blocks
+from kindred.llm.common import row_key, word_blocks
 from kindred.llm.components import components
 from kindred.staging import stage
 
@@ -31,26 +32,27 @@ CELL_HOMES = 512
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """``docs (doc_id, text)`` with ``fp``: one 64-bit fingerprint per lane, as longs.
+    """``docs`` with ``fp`` in place of ``text``: one 64-bit fingerprint per lane, as longs.
 
     A-Z are lower-cased, shingles count as often as they occur; a text with fewer
     words than a shingle is one shingle, one without words (null, empty, blank) has
     fingerprint zero. The first lane has the plain XXH64 of the shingles, further
     lanes mix it again. A bit is 1 if set in over half of the shingles.
     """
-    return docs.select("doc_id", "text").mapInArrow(
-        partial(_fingerprints, shingle=shingle, lanes=lanes), "doc_id bigint, fp array<bigint>"
-    )
+    rest = [c for c in docs.columns if c not in ("text", "fp")]
+    docs = docs.select(*rest, "text")
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(partial(_fingerprints, shingle=shingle, lanes=lanes), schema)
 
 
 def _fingerprints(batches, shingle: int, lanes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [fingerprint(x.as_py(), shingle, lanes) for x in batch.column(1)]
+        out = [fingerprint(x.as_py(), shingle, lanes) for x in batch.column(batch.num_columns - 1)]
         values = np.array(out, dtype=np.uint64).reshape(-1, lanes).view(np.int64)
         offsets = np.arange(0, len(out) * lanes + 1, lanes, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))],
-            ["doc_id", "fp"],
+            [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))],
+            [*batch.schema.names[:-1], "fp"],
         )
 
 
@@ -83,36 +85,50 @@ def segment_counts(fingerprint: Column) -> Column:
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: int = 1, total: int | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: int = 1) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs (doc_id, text, …)``.
 
-    Fingerprints link if they differ in at most ``radius`` bits in some lane and in at
-    most ``total`` bits (default ``radius``) over all lanes. ``component_id`` is the
-    smallest ``doc_id`` reachable over links (null if all ids reached are null).
-    Copies share a fingerprint and are compared once; repeated rows stay repeated.
-    Other columns are ignored. An empty table gives an empty result.
+    Fingerprints link if they differ in at most ``radius`` bits in some lane.
+    ``component_id`` is the smallest ``doc_id`` reachable over links (null if all ids
+    reached are null). Copies share a fingerprint and are compared once; repeated rows stay
+    repeated. Other columns are ignored. An empty table gives an empty result.
+    """
+    rows = stage(fingerprints(docs.select("doc_id", "text"), shingle, lanes), "fingerprints")
+    named = _components(rows, F.min("doc_id"), radius, lanes)
+    return rows.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, lanes: int = 2) -> DataFrame:
+    """The row with the smallest ``doc_id`` (null before all) of each component of ``docs``.
+
+    Columns are those of ``docs``. Of rows equal in id and text one stays.
     """
-    rows = stage(fingerprints(docs, shingle, lanes), "fingerprints")
+    key = ["_k1", "_k2"]
+    keyed = docs.select(*docs.columns, *row_key("doc_id", "text"))
+    rows = stage(fingerprints(keyed.select("doc_id", *key, "text"), shingle, lanes), "fingerprints")
+    firsts = _components(rows, F.min(F.struct("doc_id", *key)), radius, lanes)
+    kept = firsts.select("first.*").select(*key).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+
+
+def _components(rows: DataFrame, least: Column, radius: int, lanes: int) -> DataFrame:
+    """``fp, first``: for each fingerprint the least of what its component's rows hold."""
     groups = stage(
         rows.groupBy("fp")
-        .agg(F.min("doc_id").alias("first_id"))
+        .agg(least.alias("first"))
         .withColumn("node", F.xxhash64("fp") if lanes > 1 else F.col("fp")[0]),
         "groups",
     )
-    roots = components(links(groups, radius, radius if total is None else total, lanes))
-    named = groups.join(roots, "node", "left").select(
-        "fp", "first_id", F.coalesce("root", "node").alias("root")
-    )
-    named = stage(named, "named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
+    roots = components(links(groups, radius, lanes))
+    named = stage(
+        groups.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")),
+        "named",
     )
+    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(firsts, "root").select("fp", "first")
 
 
-def links(groups: DataFrame, radius: int, total: int, lanes: int) -> DataFrame:
+def links(groups: DataFrame, radius: int, lanes: int) -> DataFrame:
     """Edges ``(a, b)`` that connect what the links connect, of ``groups (node, fp)``.
 
     Pairs are compared in blocks of bounded size and never written out: a block
@@ -121,12 +137,12 @@ def links(groups: DataFrame, radius: int, total: int, lanes: int) -> DataFrame:
     n_bands = (radius + 2) // 2
     seg = [SEGMENTS * i // n_bands for i in range(n_bands + 1)]
     lane = F.posexplode("fp").alias("lane", "word")
-    counted = groups.select("node", "fp", lane).withColumn("c", segment_counts(F.col("word")))
+    counted = groups.select("node", lane).withColumn("c", segment_counts(F.col("word")))
     at_home = F.array(
         *(F.struct(F.lit(b).alias("band"), _cell(F.col("c"), lo, hi).alias("cell"))
           for b, (lo, hi) in enumerate(zip(seg, seg[1:])))
     )
-    homes = counted.select("node", "fp", "lane", F.inline(at_home)).withColumn("home", F.lit(True))
+    homes = counted.select("node", "word", "lane", F.inline(at_home)).withColumn("home", F.lit(True))
     # one step up in segment i, where its count is not yet 2
     steps = [
         F.when(
@@ -136,7 +152,7 @@ def links(groups: DataFrame, radius: int, total: int, lanes: int) -> DataFrame:
         for b, (lo, hi) in enumerate(zip(seg, seg[1:]))
         for i in range(lo, hi)
     ]
-    looks = counted.select("node", "fp", "lane", F.inline(F.concat(at_home, F.array_compact(F.array(*steps)))))
+    looks = counted.select("node", "word", "lane", F.inline(F.concat(at_home, F.array_compact(F.array(*steps)))))
     key = ["lane", "band", "cell"]
     crowded = homes.groupBy(*key).count().where(F.col("count") > CELL_HOMES)
     width = max(hi - lo for lo, hi in zip(seg, seg[1:]))
@@ -167,12 +183,12 @@ def links(groups: DataFrame, radius: int, total: int, lanes: int) -> DataFrame:
         .withColumn("_l", F.array(F.pmod(F.xxhash64("node"), F.size("_all_l")).cast("int")))
         .withColumn("_h", F.explode(F.when(F.col("home"), F.col("_h")).otherwise(F.col("_all_h"))))
         .withColumn("_l", F.explode(F.when(F.col("home"), F.col("_all_l")).otherwise(F.col("_l"))))
-        .select(F.xxhash64(*key, "_h", "_l").alias("block"), "home", "node", *(["fp"] if lanes > 1 else []))
+        .select(F.xxhash64(*key, "_h", "_l").alias("block"), "home", "node", *(["word"] if lanes > 1 else []))
     )
     return (
         dealt.repartition("block")
         .sortWithinPartitions("block")
-        .mapInArrow(partial(_compare, radius=radius, total=total, lanes=lanes), "a bigint, b bigint")
+        .mapInArrow(partial(_compare, radius=radius), "a bigint, b bigint")
     )
 
 
@@ -181,29 +197,29 @@ def _cell(counts: Column, lo: int, hi: int) -> Column:
     return F.shiftrightunsigned(counts, 2 * lo).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
 
 
-def _compare(batches, radius: int, total: int, lanes: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches, radius: int) -> Iterator[pa.RecordBatch]:
     rest: list[np.ndarray] | None = None
     for batch in batches:
         node = batch.column(2).to_numpy(zero_copy_only=False)
-        fp = batch.column(3).flatten().to_numpy(zero_copy_only=False) if lanes > 1 else node
+        word = batch.column(3).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else node
         rows = [
             batch.column(0).to_numpy(zero_copy_only=False),
             batch.column(1).to_numpy(zero_copy_only=False).astype(bool),
             node,
-            fp.view(np.uint64).reshape(-1, lanes),
+            word.view(np.uint64),
         ]
         if rest is not None:
             rows = [np.concatenate(x) for x in zip(rest, rows)]
         # the last block may go on in the next batch
         cut = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0
         rest = [x[cut:] for x in rows]
-        yield _edges([x[:cut] for x in rows], radius, total, lanes)
+        yield _edges([x[:cut] for x in rows], radius)
     if rest is not None:
-        yield _edges(rest, radius, total, lanes)
+        yield _edges(rest, radius)
 
 
-def _edges(rows: list[np.ndarray], radius: int, total: int, lanes: int) -> pa.RecordBatch:
-    block, home, node, fp = rows
+def _edges(rows: list[np.ndarray], radius: int) -> pa.RecordBatch:
+    block, home, node, word = rows
     ends = np.flatnonzero(np.diff(block)) + 1
     found: list[tuple[np.ndarray, np.ndarray]] = []
     starts, ends = np.r_[0, ends], np.r_[ends, len(block)]
@@ -212,15 +228,10 @@ def _edges(rows: list[np.ndarray], radius: int, total: int, lanes: int) -> pa.Re
     for i in np.flatnonzero((n_home > 0) & (ends - starts > 2)):
         part = slice(starts[i], ends[i])
         h = home[part]
-        mine, theirs = fp[part][h], fp[part][~h]
+        mine, theirs = word[part][h], word[part][~h]
         a, b = node[part][h], node[part][~h]
         for at in range(0, len(b), 2048):
-            apart = [np.bitwise_count(mine[:, None, k] ^ theirs[None, at : at + 2048, k]) for k in range(lanes)]
-            near = apart[0] <= radius
-            for x in apart[1:]:
-                near |= x <= radius
-            if lanes > 1:
-                near &= np.sum(apart, axis=0, dtype=np.int32) <= total
+            near = np.bitwise_count(mine[:, None] ^ theirs[None, at : at + 2048]) <= radius
             x, y = np.nonzero(near)
             x, y = a[x], b[at : at + 2048][y]
             if len(different := np.flatnonzero(x != y)):
