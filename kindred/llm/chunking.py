@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text and cuts where some of its bits are zero, so the
 cuts hang on the last 16 bytes only and come back in step after an insertion. A chunk is
-known by a 128-bit digest; all but its first occurrence (in order of document and place)
-are repeats. Neighbouring repeats form runs, and a run of enough whole words is removed.
+known by a 64-bit digest; all but its first occurrence (in order of document and place)
+are repeats. Neighbouring repeats form runs, and a run of two chunks or more, so of 128
+bits, and of enough whole words is removed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.common import row_key
 from kindred.staging import stage
 
 LEAST, MOST = 16, 256  # bytes of a chunk
@@ -60,78 +60,82 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, _k1, _k2, start, length, d1, d2``: chunks of ``docs (doc_id, _k1, _k2, text)``."""
-    return docs.select("doc_id", "_k1", "_k2", "text").mapInArrow(
-        _chunks, "doc_id bigint, _k1 bigint, _k2 bigint, start int, length int, d1 bigint, d2 bigint"
+    """``doc_id, _row, start, length, digest``: chunks of ``docs (doc_id, _row, text)``."""
+    return docs.select("doc_id", "_row", "text").mapInArrow(
+        _chunks, "doc_id bigint, _row bigint, start int, length int, digest bigint"
     )
 
 
+def digest(chunk: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(chunk) - (1 << 63)
+
+
 def _chunks(batches) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "_k1", "_k2", "start", "length", "d1", "d2"]
     for whole in batches:
         for i in range(0, len(whole), 512):
             batch = whole.slice(i, 512)
             starts, lengths, digests, times = [], [], [], []
-            for text in batch.column(3):
+            for text in batch.column(2):
                 data = text.as_py()
                 data = data.encode() if data else b""
                 ends = cuts(data)
                 begins = [0, *ends[:-1]] if ends else []
                 starts += begins
                 lengths += [b - a for a, b in zip(begins, ends)]
-                digests += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins, ends)]
+                digests += [digest(data[a:b]) for a, b in zip(begins, ends)]
                 times.append(len(ends))
             rows = pa.array(np.repeat(np.arange(len(batch)), times))
-            both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(k).take(rows) for k in range(3)),
+                    *(batch.column(k).take(rows) for k in range(2)),
                     pa.array(starts, pa.int32()),
                     pa.array(lengths, pa.int32()),
-                    pa.array(both[:, 0]),
-                    pa.array(both[:, 1]),
+                    pa.array(digests, pa.int64()),
                 ],
-                names,
+                ["doc_id", "_row", "start", "length", "digest"],
             )
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``_k1, _k2, spans``: per document the runs of repeated chunks, in bytes, and where first.
+    """``_row, spans``: per document the runs of repeated chunks, in bytes, and where first.
 
-    ``docs`` as for ``chunks``. Spans are ``(start, end, first_id)``, by start; the first
-    occurrence of a chunk is that with the smallest ``(doc_id, _k2, start)``, null before
-    all. A chunk in any share of all documents is counted by partial sums and joined as
-    one row; no group of occurrences is collected.
+    ``docs`` as for ``chunks``. Spans are ``(start, end, first_id, length, digest)``, by
+    start, with the first chunk's length and digest; the first occurrence of a chunk is
+    that with the smallest ``(doc_id, _row, start)``, null before all. A chunk in any share
+    of all documents is counted by partial sums and joined as one row; no group of
+    occurrences is collected.
     """
     parts = stage(chunks(docs), "chunks")
-    place = F.struct("doc_id", "_k1", "_k2", "start")
     known = (
-        parts.groupBy("d1", "d2")
-        .agg(F.count("*").alias("n"), F.min(place).alias("first"))
+        parts.groupBy("digest")
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row", "start")).alias("first"))
         .where("n > 1")
-        .select("d1", "d2", "first")
+        .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first._row").alias("_r"), F.col("first.start").alias("_s"))
     )
     repeats = (
-        parts.join(known, ["d1", "d2"])
-        .where(~place.eqNullSafe(F.col("first")))
-        .select("_k1", "_k2", "start", "length", F.col("first.doc_id").alias("first_id"))
-        .distinct()  # rows equal in id and text are one document
+        parts.select("_row", "start", "length", "digest")
+        .join(known, "digest")
+        .where("_row <> _r OR start <> _s")
+        .drop("_r", "_s")
     )
-    by = Window.partitionBy("_k1", "_k2").orderBy("start")
+    by = Window.partitionBy("_row").orderBy("start")
     begins = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by) != F.col("start"), F.lit(True))
     runs = (
         repeats.withColumn("_new", begins.cast("int"))
         .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("_k1", "_k2", "_run")
+        .groupBy("_row", "_run")
         .agg(
-            F.min("start").alias("start"),
+            F.count("*").alias("n"),
             F.max(F.col("start") + F.col("length")).alias("end"),
             F.min("first_id").alias("first_id"),
+            F.min(F.struct("start", "length", "digest")).alias("head"),
         )
-        .where(F.col("end") - F.col("start") >= 2 * MIN_WORDS)
+        .where((F.col("n") > 1) & (F.col("end") - F.col("head.start") >= 2 * MIN_WORDS))
     )
-    return runs.groupBy("_k1", "_k2").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("spans")
+    return runs.groupBy("_row").agg(
+        F.sort_array(
+            F.collect_list(F.struct("head.start", "end", "first_id", "head.length", "head.digest"))
+        ).alias("spans")
     )
 
 
@@ -148,15 +152,16 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs (doc_id, text, …)`` without repeated passages, and ``removed``, their spans.
 
     Spans are in bytes of the old text, of whole words, at least ``min_words`` of them;
-    ``first_id`` is a document that has them first. Null texts stay null. Rows equal in id
-    and text are one document and keep what they share. A column ``removed`` is replaced.
+    ``first_id`` is a document that has them first. Null texts stay null. A repeated row
+    is a repeat like any other. A column ``removed`` is replaced.
     """
     docs = docs.drop("removed")
-    keyed = docs.select(*docs.columns, *row_key("doc_id", "text"))
+    # rows are numbered on each of two reads; that the numbers agree is checked by digest
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     spans = repeated_runs(keyed)
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", REMOVED)])
     return (
-        keyed.join(spans, ["_k1", "_k2"], "left")
+        keyed.join(spans, "_row", "left")
         .select(*docs.columns, "spans")
         .mapInArrow(partial(_cut, column=docs.columns.index("text"), min_words=min_words), schema)
     )
@@ -190,6 +195,8 @@ def cut(text: str | None, spans: list[dict], min_words: int) -> tuple[str | None
     kept, gone, last = [], [], 0
     for span in spans:
         a, b = span["start"], span["end"]
+        if digest(data[a : a + span["length"]]) != span["digest"]:
+            raise RuntimeError("the documents changed between two reads")
         while 0 < a < b and data[a - 1] not in SPACES:
             a += 1
         while a < b < len(data) and data[b] not in SPACES and data[b - 1] not in SPACES:
