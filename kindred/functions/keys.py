@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kindred.schema import OPINION_FIELDS
 
+# Fixed value: how a template names a field.
 VARIABLE = re.compile(r"\$([a-zA-Z0-9]+)")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 SCHEMA = "fields array<string>, file string, start bigint"
 """``file`` and ``start`` (byte offset) give the records' order."""
 
-# One field up to a tab, and one escaped character.
+# One field up to a tab, and one escaped character.
 FIELD = re.compile(rb"(?:[^\\\t]+|\\.)*", re.DOTALL)
 ESCAPED = re.compile(rb"\\(.)", re.DOTALL)
 

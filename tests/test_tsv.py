@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from kindred.sources.opinions import conform, read_opinions, rejects
 from kindred.sources.tsv import read_escaped_tsv, write_escaped_tsv
 
-TRAILING_LF = "one\\\tcolumn\\\trow\ntwo\tcolumn\\\trow\n"
+TWO_RECORDS = "red\\\tgreen\\\tblue\n7\tup\\\tdown\n"
 
 CASES = {
     "": [],
-    "three\tcolumn\trow": [["three", "column", "row"]],
-    "one\\\tcolumn\\\trow": [["one\tcolumn\trow"]],
-    TRAILING_LF: [["one\tcolumn\trow"], ["two", "column\trow"]],
-    " many \n many": [[" many "], [" many"]],
-    TRAILING_LF * 16: [["one\tcolumn\trow"], ["two", "column\trow"]] * 16,
-    " many \n many \n many \n many \n lines": [[" many "]] * 4 + [[" lines"]],
+    "k1\tk2\tk3\tk4": [["k1", "k2", "k3", "k4"]],
+    "red\\\tgreen": [["red\tgreen"]],
+    TWO_RECORDS: [["red\tgreen\tblue"], ["7", "up\tdown"]],
+    "  padded \n\tsecond ": [["  padded "], ["", "second "]],
+    TWO_RECORDS * 40: [["red\tgreen\tblue"], ["7", "up\tdown"]] * 40,
+    " x\ny \nz\n\nlast": [[" x"], ["y "], ["z"], [""], ["last"]],
     "a\\\nb\tc\n": [["a\nb", "c"]],
     "a\\\\\tb\n": [["a\\", "b"]],
     "\\a\\b\n": [["ab"]],
