@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZES = (1, 2, 3, 4)
-BUCKETS = 1 << 18
-PER_LANGUAGE = 600
+BUCKETS = 1 << 17
+PER_LANGUAGE = 400
 """About so many texts of each language are learned from; the model is fitted on this
 sample, spread by a hash of the text, and every text is scored."""
-LANDMARKS = 400
+LANDMARKS = 256
 MAX_LANGUAGES = 1000
 RIDGE = 0.1
 UNKNOWN = "und"
@@ -81,10 +81,13 @@ def fit(grams: list[np.ndarray], languages: list[str]) -> Model:
     texts = [i for i, x in enumerate(grams) if len(x)]
     by_name = {n: [i for i in texts if languages[i] == n] for n in names}
     marks = [i for n in names for i in by_name[n][: max(8, LANDMARKS // len(names))]]
-    wide = np.zeros((BUCKETS, len(marks)), dtype=np.float32)  # landmarks, scaled
+    used = np.unique(np.concatenate([grams[i] for i in marks])) if marks else np.zeros(0, np.int64)
+    place = np.full(BUCKETS, len(used), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    wide = np.zeros((len(used) + 1, len(marks)), dtype=np.float32)  # landmarks, scaled; the last row is of all others
     for k, i in enumerate(marks):
-        wide[grams[i], k] = len(grams[i]) ** -0.5
-    kernel = np.array([wide[grams[i]].sum(axis=0) * len(grams[i]) ** -0.5 for i in texts]).reshape(len(texts), -1)
+        wide[place[grams[i]], k] = len(grams[i]) ** -0.5
+    kernel = np.array([wide[place[grams[i]]].sum(axis=0) * len(grams[i]) ** -0.5 for i in texts]).reshape(len(texts), -1)
     own = {i: k for k, i in enumerate(texts)}
     values, vectors = np.linalg.eigh(kernel[[own[i] for i in marks]].astype(np.float64))
     strong = values > 1e-6 * max(values.max(initial=0), 1e-12)
@@ -95,7 +98,9 @@ def fit(grams: list[np.ndarray], languages: list[str]) -> Model:
     solved = np.linalg.solve(
         features.T @ (weight * features) + RIDGE * np.eye(features.shape[1]), features.T @ (weight * target)
     )
-    return Model(names, (wide @ (root @ solved).astype(np.float32)).astype(np.float32))
+    matrix = np.zeros((BUCKETS, len(names)), dtype=np.float32)
+    matrix[used] = wide[:-1] @ (root @ solved).astype(np.float32)
+    return Model(names, matrix)
 
 
 def train(labelled: DataFrame) -> Model:
