@@ -16,8 +16,8 @@ VARIABLE = re.compile(r"\$([a-zA-Z0-9]+)")
 def collection_key(pattern: str) -> Column:
     """Key template to expression: ``$PRODUCT:$VERSION`` gives ``firefox:4.0``.
 
-    Variables name opinion fields in upper case; there is no escape. Text around
-    the variables is kept; a pattern without variables is refused, since it would
+    Variables name opinion fields in upper case, a null field is empty; there is no escape.
+    Text around the variables is kept; a pattern without variables is refused, since it would
     give every record the same key.
     """
     parts: list[Column] = []
@@ -28,7 +28,7 @@ def collection_key(pattern: str) -> Column:
         field = match.group(1)
         if field != field.upper() or field.lower() not in OPINION_FIELDS:
             raise ValueError(f"unknown field ${field} in pattern {pattern!r}")
-        parts.append(F.col(field.lower()))
+        parts.append(F.coalesce(F.col(field.lower()), F.lit("")))
         end = match.end()
     if not parts:
         raise ValueError(f"pattern without variables: {pattern!r}")
@@ -79,6 +79,11 @@ def run_slug(ns: Column, ck: Column) -> Column:
     return F.concat_ws("_", _short_hash(ns), _short_hash(ck))
 
 
+def run_id(ns: Column, ck: Column) -> Column:
+    """Name of a collection in stored folders: no two collections share it."""
+    return F.sha2(F.concat(F.length(ns).cast("string"), F.lit("/"), ns, F.lit("/"), ck), 256)
+
+
 def run_path(root: str, timestamp_ms: Column, ns: Column, ck: Column, step: str) -> Column:
     """``root/ts/hash(ns)_hash(ck)/step``"""
     return F.concat_ws(

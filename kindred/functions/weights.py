@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 
 
 def tfidf(tf: Column, df: Column, n_docs: Column) -> Column:
-    """``sqrt(tf) * (1 + ln(n / (df + 1)))``"""
-    return F.sqrt(tf) * (F.lit(1.0) + F.log(n_docs / (df + F.lit(1))))
+    """``sqrt(tf) * (1 + ln(n / (df + 1)))``, not below 0.
+
+    It is only below if a raised ``df`` exceeds the number of documents by far.
+    """
+    weight = F.sqrt(tf) * (F.lit(1.0) + F.log(n_docs / (df + F.lit(1))))
+    return F.greatest(weight, F.lit(0.0))
 
 
 def log_normalize(weight: Column, norm: Column) -> Column:
-    """``log2(1 + w) / norm``, where ``norm`` is the document's Euclidean length."""
-    return F.log2(F.lit(1.0) + weight) / norm
+    """``log2(1 + w) / norm``, where ``norm`` is the document's Euclidean length; 0 if that is 0."""
+    return F.when(norm > 0, F.log2(F.lit(1.0) + weight) / norm).otherwise(F.lit(0.0))

@@ -69,6 +69,24 @@ def latest_documents(documents: DataFrame, order: Column) -> DataFrame:
     )
 
 
+COMMON = ("size", "modified_ms")
+PER_CONFIGURATION = ("rebuilt_ms", "processed_ms", "run")
+
+
+def _set_at(name: str) -> Column:
+    return F.when(F.col(name).isNotNull(), F.col("load_seq"))
+
+
+def _last_values(loads: DataFrame) -> DataFrame:
+    """Per collection and configuration the last value of each attribute, and when it was set."""
+    missing = {c: F.lit(None).cast("string") for c in ("run",) if c not in loads.columns}
+    return loads.withColumns(missing).groupBy(*KEY, "configuration").agg(
+        *[F.max_by(c, _set_at(c)).alias(c) for c in COMMON + PER_CONFIGURATION],
+        *[F.max(_set_at(c)).alias(f"{c}_seq") for c in COMMON + PER_CONFIGURATION],
+        F.max("load_seq").alias("seen_seq"),
+    )
+
+
 def merge_collections(loads: DataFrame) -> DataFrame:
     """Current attributes per collection out of partial updates.
 
@@ -76,23 +94,11 @@ def merge_collections(loads: DataFrame) -> DataFrame:
     update changes only what it sets. ``state`` maps configuration names to what
     is kept for each.
     """
-
-    def last(name: str) -> Column:
-        set_at = F.when(F.col(name).isNotNull(), F.col("load_seq"))
-        return F.max_by(name, set_at).alias(name)
-
-    per_state = loads.groupBy(*KEY, "configuration").agg(
-        *[last(c) for c in ("size", "modified_ms", "rebuilt_ms", "processed_ms")],
-        *[
-            F.max(F.when(F.col(c).isNotNull(), F.col("load_seq"))).alias(f"{c}_seq")
-            for c in ("size", "modified_ms")
-        ],
-    )
     entry = F.struct(
         F.col("configuration").alias("key"),
-        F.struct("rebuilt_ms", "processed_ms").alias("value"),
+        F.struct(*PER_CONFIGURATION).alias("value"),
     )
-    return per_state.groupBy(*KEY).agg(
+    return _last_values(loads).groupBy(*KEY).agg(
         F.max_by("size", "size_seq").alias("size"),
         F.max_by("modified_ms", "modified_ms_seq").alias("modified_ms"),
         F.map_from_entries(
@@ -101,6 +107,28 @@ def merge_collections(loads: DataFrame) -> DataFrame:
     )
 
 
+def compact_loads(loads: DataFrame) -> DataFrame:
+    """Loads that merge to the same, now and with any others: a row per attribute, and
+    one for a collection as such."""
+    names = COMMON + PER_CONFIGURATION
+    each = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.col(f"{name}_seq").alias("load_seq"),
+                    *(F.when(F.lit(c == name), F.col(c)).alias(c) for c in names),
+                )
+                for name in (*names, "seen")
+            )
+        )
+    )
+    rows = _last_values(loads).select(*KEY, "configuration", each.alias("_last"))
+    return rows.where("_last.load_seq IS NOT NULL").select(
+        "_last.load_seq", *KEY, "_last.size", "_last.modified_ms", "configuration",
+        "_last.rebuilt_ms", "_last.processed_ms", "_last.run",
+    )
+
+
 def state_of(configuration: str, attribute: str) -> Column:
     return F.col("state")[configuration][attribute]
 

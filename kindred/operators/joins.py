@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.staging import stage
+
 MAX_BROADCAST_ROWS = 100_000
-MAX_BROADCAST_KEY_BYTES = 256
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], load: str) -> DataFrame:
+def lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    on: list[str],
+    load: str | None = None,
+    max_hot_keys: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
     """Inner join of ``rows`` to ``table``, whole even when few keys hold most rows.
 
     ``table`` has one row per key and ``load`` tells how many of ``rows`` match it
-    (or a number in proportion to that). At most ``MAX_BROADCAST_ROWS`` keys can
-    each hold more than ``1 / MAX_BROADCAST_ROWS`` of the sum, so those are
-    broadcast; every key left for the shuffle is small. Overlong keys are left for
-    it too, which bounds the bytes of the broadcast. Both inputs are read more than
-    once and should be staged tables.
+    (or a number in proportion to that); without it they are counted. At most
+    ``max_hot_keys`` keys can each hold more than ``1 / max_hot_keys`` of the sum. These
+    are broadcast under a hash of the key, so that long keys do not count, and no key
+    left for the shuffle is large. Both inputs are read more than once and should be
+    staged tables.
     """
-    key_bytes = sum((F.octet_length(F.col(k).cast("string")) for k in on), F.lit(0))
-    short = key_bytes <= MAX_BROADCAST_KEY_BYTES
-    size = table.agg(
-        F.count("*").alias("n"), F.sum(load).alias("load"), F.count_if(~short).alias("overlong")
-    ).first()
-    if size["n"] <= MAX_BROADCAST_ROWS and not size["overlong"]:
-        return rows.join(F.broadcast(table), on)
-    is_hot = short & (F.col(load) > size["load"] / MAX_BROADCAST_ROWS)
-    hot = F.broadcast(table.filter(is_hot))
-    hot_rows = rows.join(hot, on)
-    cold_rows = rows.join(hot.select(*on), on, "left_anti").join(table.filter(~is_hot), on)
-    return hot_rows.unionByName(cold_rows)
+    if load is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("_load"))
+        table, load = stage(table.join(counts, on), "counted"), "_load"
+    total = table.agg(F.sum(load).alias("load")).first()["load"] or 0
+    is_hot = F.coalesce(F.col(load), F.lit(0)) > total / max_hot_keys
+    name = [F.xxhash64(*on).alias("_h1"), F.xxhash64(F.lit(1), *on).alias("_h2")]
+    others = [c for c in table.columns if c not in on]
+    hot = F.broadcast(table.filter(is_hot).select(*name, *others))  # max_hot_keys rows at most
+    named = rows.select(*on, *(c for c in rows.columns if c not in on), *name)
+    hot_rows = named.join(hot, ["_h1", "_h2"]).drop("_h1", "_h2")
+    keys = hot.select("_h1", "_h2")
+    cold_rows = named.join(F.broadcast(keys), ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
+    joined = hot_rows.unionByName(cold_rows.join(table.filter(~is_hot), on))
+    return joined.drop("_load")

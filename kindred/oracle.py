@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred.functions.text import STOP_WORDS
 from kindred.operators.histogram import LOG_BOUNDS
 from kindred.params import Params, to_nano
-from kindred.queries import CUSTOM, LINEAR, NOW_MS, ONE_BLOCK, PRIOR, SMALL_BLOCKS
+from kindred.queries import CLAMPED, CUSTOM, LINEAR, NOW_MS, ONE_BLOCK, PRIOR, SMALL_BLOCKS
 
 KEYS = "namespace, collection_key"
 DOCS = "SELECT 'demo' AS namespace, lang AS collection_key, doc_id, text FROM documents"
@@ -39,6 +39,18 @@ FROM ({OPINIONS}) WHERE length(text) > 0"""
 
 SIZES = f"SELECT {KEYS}, count(*) AS size, {NOW_MS} AS modified_ms FROM ({FAN_OUT}) GROUP BY ALL"
 
+
+
+def two_namespaces(talks_size: int) -> str:
+    return f"""
+SELECT 'texts' AS namespace, lang AS collection_key, CAST(doc_id AS VARCHAR) AS doc_id, text,
+       count(*) OVER (PARTITION BY lang) AS size, {NOW_MS} AS modified_ms
+FROM documents WHERE length(text) > 0
+UNION ALL
+SELECT 'talks', role, conv_id || ':' || turn, text, {talks_size} * count(*) OVER (PARTITION BY role), {NOW_MS}
+FROM conversations WHERE length(text) > 0"""
+
+
 LOADS = """
 SELECT event_id AS load_seq, 'demo' AS namespace, CAST(user_id AS VARCHAR) AS collection_key,
        CASE WHEN event_type = 'view' THEN CAST(floor(value) AS BIGINT) END AS size,
@@ -66,6 +78,7 @@ FIELDS = (
 
 def vector_ctes(params: Params = ONE_BLOCK) -> dict[str, str]:
     stop_words = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    drop = params.min_df_mode == "drop"
     return {
         "docs": DOCS,
         "terms": rf"""
@@ -77,12 +90,13 @@ FROM terms""",
         "tf": f"SELECT {KEYS}, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL",
         "sizes": f"SELECT {KEYS}, count(DISTINCT doc_id) AS n_docs FROM tf GROUP BY ALL",
         "dict": f"""
-SELECT {KEYS}, term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df, max(n_docs) AS n_docs
+SELECT {KEYS}, term, CAST(sum(tf) AS BIGINT) AS cf,
+       {"count(*)" if drop else f"greatest(count(*), {params.min_df})"} AS df, max(n_docs) AS n_docs
 FROM tf JOIN sizes USING ({KEYS}) GROUP BY {KEYS}, term
-HAVING sum(tf) >= {params.min_support} AND count(*) >= {params.min_df}
+HAVING sum(tf) >= {params.min_support} AND count(*) >= {params.min_df if drop else 0}
    AND 100.0 * count(*) / max(n_docs) <= {params.max_df_percent}""",
         "weighted": f"""
-SELECT {KEYS}, doc_id, term, sqrt(tf) * (1 + ln(n_docs / (df + 1))) AS weight
+SELECT {KEYS}, doc_id, term, greatest(sqrt(tf) * (1 + ln(n_docs / (df + 1))), 0) AS weight
 FROM tf JOIN dict USING ({KEYS}, term)""",
         "norms": f"SELECT {KEYS}, doc_id, sqrt(sum(weight * weight)) AS norm "
         "FROM weighted GROUP BY ALL",
@@ -295,9 +309,36 @@ SELECT 'demo' AS namespace, 'chat' AS collection_key, conv_id AS doc_id,
 SELECT {KEYS}, CAST(doc_id AS VARCHAR) AS doc_id, text FROM ({DOCS}) WHERE collection_key = 'en'""",
     "export_documents": DOCS,
     "collections_merge": STATE,
-    "collection_state": f"SELECT {KEYS}, size, modified_ms, rebuilt_ms, "
-    f"CAST(NULL AS BIGINT) AS processed_ms FROM ({STATE}) "
-    "WHERE coalesce(size, modified_ms, rebuilt_ms) IS NOT NULL",
+    "collection_state": f"SELECT * FROM ({STATE}) "
+    "WHERE coalesce(size, modified_ms, rebuilt_ms, processed_ms) IS NOT NULL",
+    "imports_of_two_namespaces": two_namespaces(2),
+    "two_streams": two_namespaces(1),
+    "stream_after_batch": f"""
+SELECT 'texts' AS namespace, lang AS collection_key, CAST(doc_id AS VARCHAR) AS doc_id,
+       CASE WHEN doc_id % 2 = 0 THEN 'new ' || text ELSE text END AS text,
+       count(*) OVER c + count(*) FILTER (doc_id % 2 = 0) OVER c AS size,
+       {NOW_MS} + CASE WHEN count(*) FILTER (doc_id % 2 = 0) OVER c > 0 THEN 5 ELSE 0 END AS modified_ms
+FROM documents WHERE length(text) > 0 WINDOW c AS (PARTITION BY lang)""",
+    "stream_counters": f"""
+SELECT CAST(count(*) FILTER (length(text) > 0) AS BIGINT) AS rows_used,
+       CAST(count(*) FILTER (length(text) = 0) AS BIGINT) AS rows_discarded,
+       CAST(2 * count(*) AS BIGINT) AS rows_rejected,
+       CAST(3 * count(*) FILTER (length(text) > 0) AS BIGINT) AS docs_created
+FROM ({OPINIONS})""",
+    "null_field_keys": f"""
+SELECT 'demo' AS namespace, CASE WHEN product <> 'chat' THEN product ELSE '' END || '-' || locale
+       AS collection_key, id AS doc_id FROM ({OPINIONS}) WHERE length(text) > 0""",
+    "lookup_hot_and_cold": """
+WITH d AS (
+  SELECT repeat('k', 300) || lang AS key, doc_id FROM documents
+  UNION ALL
+  SELECT repeat('k', 300) || lang || doc_id, doc_id FROM documents WHERE doc_id % 50 = 0
+)
+SELECT key, doc_id, min(doc_id) OVER (PARTITION BY key) AS first_id FROM d""",
+    "list_documents": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents "
+    "WHERE lang = 'de' AND length(text) > 0",
+    "rejected_records": "SELECT doc_id, len(string_split(text, chr(10))) AS n_fields FROM documents "
+    "WHERE len(string_split(text, chr(10))) <> 11",
     "stale_collections": f"""
 SELECT * FROM ({STATE})
 WHERE modified_ms IS NOT NULL AND (rebuilt_ms IS NULL OR rebuilt_ms <= modified_ms)""",
@@ -316,6 +357,10 @@ SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
        left(md5(collection_key), 8) || '/vectorize' AS path FROM ({FAN_OUT})""",
     "tokens": with_ctes(vector_ctes(), f"SELECT {KEYS}, doc_id, CAST(place AS INT) AS place, term FROM tok"),
     "term_freq": with_ctes(vector_ctes(), "SELECT * FROM tf"),
+    "dictionary_clamped": with_ctes(vector_ctes(CLAMPED), "SELECT * FROM dict"),
+    "tfidf_clamped": with_ctes(
+        vector_ctes(CLAMPED), f"SELECT {KEYS}, doc_id, term, round(weight, 6) AS weight FROM weighted"
+    ),
     "dictionary": with_ctes(vector_ctes(), "SELECT * FROM dict"),
     "tfidf_weights": with_ctes(
         vector_ctes(), f"SELECT {KEYS}, doc_id, term, round(weight, 6) AS weight FROM weighted"
@@ -360,6 +405,7 @@ FROM p_scored WHERE centricity_nano IS NOT NULL""",
     ),
     "directed_edges": one_pass("SELECT * FROM p_edges", upto="edges"),
     "cluster_members": one_pass(MEMBERS),
+    "clusters_in_tiles": one_pass(MEMBERS),
     "near_copies": one_pass(MEMBERS, Params(min_similarity=0.3)),
     "unassigned": one_pass(
         f"""
@@ -439,13 +485,14 @@ FROM ({LINEAR_BY_TYPE}) GROUP BY event_type""",
 }
 
 
-def _active() -> str:
+def _active(rebuild_ms: int) -> str:
     """Doc ids are strings in the store, so their order is that of strings."""
     sql = merged(
-        f"SELECT {KEYS}, CAST({NOW_MS + 1} AS BIGINT) AS rebuild_ms, label, doc_id, similarity, "
+        f"SELECT {KEYS}, CAST({rebuild_ms} AS BIGINT) AS rebuild_ms, label, doc_id, similarity, "
         "is_medoid FROM merged"
     )
     return sql.replace(DOCS, DOCS.replace("doc_id", "CAST(doc_id AS VARCHAR) AS doc_id"))
 
 
-ORACLE["active_clusters"] = _active()
+ORACLE["active_clusters"] = _active(NOW_MS + 1)
+ORACLE["rebuild_twice"] = _active(NOW_MS)

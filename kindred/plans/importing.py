@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators import imports
 from kindred.schema import KEY
-from kindred.sources.store import Store
+from kindred.sources.store import Load, Store, as_load
 
 SIZE_MODES = ("import", "running", "distinct")
 
@@ -17,17 +17,19 @@ def import_opinions(
     store: Store,
     namespace: str,
     patterns: list[str],
-    now_ms: int,
-    load_seq: int | None = None,
+    load: Load | int,
+    modified_ms: int | None = None,
     order: Column | None = None,
     size: str = "import",
-    tag: str = "import",
-    count_discarded: bool = True,
+    rejected: DataFrame | None = None,
+    replace: bool = False,
 ) -> dict[str, int]:
     """Write documents and collections of all patterns; returns the counters.
 
-    These come from what was written, so that tasks run twice count once; only the
-    number of discarded records takes another scan, of their text.
+    ``load`` is the time of the import or names it in full, to be able to run it again.
+    The counters come from what was written, so that tasks run twice count once; only
+    discarded records take another scan, of their text, and ``rejected`` ones, which did
+    not conform, are only counted. The store keeps the counters as well.
 
     The collections' size is the number of documents of this import (repeats
     counted), that added to the earlier size (``running``), or the number of
@@ -35,12 +37,12 @@ def import_opinions(
     """
     if size not in SIZE_MODES:
         raise ValueError(f"unknown size mode: {size}")
-    load_seq = now_ms if load_seq is None else load_seq
+    load = as_load(load)
     documents = imports.fan_out(imports.with_text(opinions), namespace, patterns)
-    written = store.upsert_documents(documents, load_seq, order, tag)
+    written = store.upsert_documents(documents, load, order, replace)
     sizes = written.groupBy(*KEY).agg(F.sum("copies").alias("size"))
     if size == "running":
-        earlier = store.collections(before=load_seq).select(
+        earlier = store.collections(before=load).select(
             *KEY, F.coalesce("size", F.lit(0)).alias("earlier")
         )
         sizes = sizes.join(earlier, KEY, "left").select(
@@ -48,18 +50,19 @@ def import_opinions(
         )
     elif size == "distinct":
         touched = sizes.select(*KEY)
-        now = store.documents().groupBy(*KEY).agg(F.count("*").alias("size"))
-        sizes = now.join(touched, KEY, "left_semi")
-    updates = sizes.withColumn("modified_ms", F.lit(now_ms))
-    store.upsert_collections(updates, load_seq, tag)
+        now = store.documents(touched).groupBy(*KEY).agg(F.count("*").alias("size"))
+        sizes = now
+    modified = load.ms if modified_ms is None else modified_ms
+    store.upsert_collections(sizes.withColumn("modified_ms", F.lit(modified)), load, replace)
     totals = written.agg(F.sum("copies").alias("docs"), F.count_distinct(*KEY).alias("keys")).first()
     docs = totals["docs"] or 0
+    blank = ~F.coalesce(imports.has_text(), F.lit(False))
     counters = {
         "rows_used": docs // len(patterns),
+        "rows_discarded": opinions.filter(blank).count(),
+        "rows_rejected": 0 if rejected is None else rejected.count(),
         "docs_created": docs,
         "collections_created": totals["keys"],
     }
-    if count_discarded:
-        blank = ~F.coalesce(imports.has_text(), F.lit(False))
-        counters["rows_discarded"] = opinions.filter(blank).count()
+    store.record_counters(load, counters)
     return counters

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from kindred.functions import keys
 from kindred.operators import histogram, imports
-from kindred.operators.joins import lookup
 from kindred.params import Params
 from kindred.plans.textcluster import textcluster
 from kindred.plans.vectorize import vectorize
@@ -49,9 +48,7 @@ def _rebuild(
 
 
 def _size_counts(store: Store, ts: int, run: str) -> list[int]:
-    members = store.cluster_members().filter(
-        (F.col("rebuild_ms") == ts) & (F.col("run") == run)
-    )
+    members = store.cluster_members([(ts, run)])
     sizes = members.groupBy(*KEY, "label").agg(F.count_if(~F.col("is_medoid")).alias("size"))
     buckets = histogram.histogram(sizes, "size", times="size").orderBy("bucket_idx")
     return [row["count"] for row in buckets.collect()]
@@ -64,16 +61,12 @@ def rebuild(
     name = store.spark.range(1).select(
         F.lit(namespace).alias("namespace"), F.lit(collection_key).alias("collection_key")
     )
-    run = name.select(keys.run_slug(*[F.col(k) for k in KEY])).first()[0]
+    run = name.select(keys.run_id(*[F.col(k) for k in KEY])).first()[0]
     documents = store.scan_documents(namespace, collection_key)
     return _rebuild(store, documents, name, ts, run, params)
 
 
 def rebuild_all(store: Store, ts: int, params: Params = Params()) -> Rebuilt:
     """Rebuild every stale collection, all in one plan."""
-    stale = imports.stale(store.collections()).select(
-        *KEY, F.coalesce("size", F.lit(1)).alias("size")
-    )
-    stale = stage(stale, "stale")
-    documents = lookup(store.documents(), stale, KEY, "size").select(*KEY, "doc_id", "text")
-    return _rebuild(store, documents, stale, ts, "all", params)
+    stale = stage(imports.stale(store.collections()).select(*KEY), "stale")
+    return _rebuild(store, store.documents(stale).select(*KEY, "doc_id", "text"), stale, ts, "all", params)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from kindred.functions import keys
 from kindred.operators import forest, histogram, imports, merge, similarity, vectors
+from kindred.operators.joins import lookup
 from kindred.params import Params
 from kindred.plans.importing import import_opinions
-from kindred.plans.rebuild import export_documents, rebuild_all
+from kindred.plans.rebuild import export_documents, rebuild, rebuild_all
 from kindred.plans.textcluster import (
     Clustering,
     Pass,
@@ -22,11 +23,11 @@ from kindred.plans.textcluster import (
 )
 from kindred.plans.vectorize import Vectorized, vectorize
 from kindred.schema import KEY, OPINION_FIELDS
-from kindred.sources.opinions import conform, read_opinions
-from kindred.sources.store import Store
+from kindred.sources.opinions import conform, read_opinions, rejects
+from kindred.sources.store import Load, Store
 from kindred.sources.tsv import write_escaped_tsv
 from kindred.staging import shared_dir, stage
-from kindred.streaming.imports import import_stream, running_sizes
+from kindred.streaming.imports import import_stream, import_tsv_stream, running_sizes
 
 NAMESPACE = "demo"
 PATTERNS = ["$LOCALE", "$PRODUCT:$LOCALE", "$TYPE-$LOCALE"]
@@ -114,6 +115,38 @@ def new_store(spark: SparkSession) -> Store:
     return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
 
 
+CLAMPED = Params(min_support=1, min_df=2_000, max_df_percent=100.0, min_df_mode="clamp")
+
+
+def talks(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as documents, by role."""
+    return table(spark, sf, "conversations").select(
+        F.col("role").alias("collection_key"), F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text"
+    )
+
+
+def as_opinions(rows: DataFrame) -> DataFrame:
+    """Documents as opinions whose locale is their collection."""
+    known = {"id": F.col("doc_id").cast("string"), "locale": F.col("collection_key"), "text": F.col("text")}
+    return rows.select(*(known.get(f, F.lit("")).alias(f) for f in OPINION_FIELDS))
+
+
+def stream_into(store: Store, rows: DataFrame, name: str, now_ms: int) -> None:
+    source = f"{store.root}/incoming-{name}"
+    rows.write.parquet(source)
+    schema = ", ".join(f"{f} string" for f in OPINION_FIELDS)
+    stream = store.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+    import_stream(
+        stream, store, name, ["$LOCALE"], f"{store.root}/progress-{name}", now_ms=now_ms
+    ).awaitTermination()
+
+
+def with_sizes(store: Store) -> DataFrame:
+    """Documents of a store with what their collection says."""
+    state = store.collections().select(*KEY, "size", "modified_ms")
+    return store.documents().select(*KEY, "doc_id", "text").join(state, KEY)
+
+
 def flat_state(collections: DataFrame) -> DataFrame:
     return collections.select(
         *KEY,
@@ -233,17 +266,113 @@ def collection_state(spark: SparkSession, sf: str) -> DataFrame:
     """Collections read back after one load per type of event."""
     store = new_store(spark)
     loads = event_loads(spark, sf)
-    updates = {"view": "size", "click": "modified_ms", "purchase": "rebuilt_ms"}
-    for seq, (kind, column) in enumerate(updates.items()):
+    updates = {"view": "size", "click": "modified_ms", "purchase": "rebuilt_ms", "signup": "processed_ms"}
+    for step, (kind, column) in enumerate(updates.items()):
         rows = loads.filter(F.col(column).isNotNull())
         last = rows.groupBy(*KEY).agg(F.max_by(column, "load_seq").alias(column))
-        if kind == "purchase":
+        if kind in ("purchase", "signup"):
             last = last.withColumn("configuration", F.lit("DEFAULT"))
-        store.upsert_collections(last, seq, kind)
+        store.upsert_collections(last, Load(NOW_MS, step, kind))
+        if kind == "click":
+            store.compact_collections()
     store.compact_collections()
+    store.remove_folded()
     return flat_state(store.collections())
 
 
+def imports_of_two_namespaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Two imports at the same time into one store, and one of them tried again."""
+    store = new_store(spark)
+    for namespace, rows in (("texts", documents(spark, sf)), ("talks", talks(spark, sf))):
+        import_opinions(as_opinions(rows), store, namespace, ["$LOCALE"], NOW_MS)
+    again = Load(NOW_MS, 1, "again")
+    for _ in range(2):
+        import_opinions(as_opinions(talks(spark, sf)), store, "talks", ["$LOCALE"], again, size="running", replace=True)
+    return with_sizes(store)
+
+
+def two_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams with checkpoints of their own into one store."""
+    store = new_store(spark)
+    for name, rows in (("texts", documents(spark, sf)), ("talks", talks(spark, sf))):
+        stream_into(store, as_opinions(rows), name, NOW_MS)
+    return with_sizes(store)
+
+
+def stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch, its compaction, and a stream with newer texts of half of the documents."""
+    store = new_store(spark)
+    rows = as_opinions(documents(spark, sf))
+    import_opinions(rows, store, "texts", ["$LOCALE"], NOW_MS)
+    store.compact_documents()
+    store.compact_collections()
+    newer = rows.filter("CAST(id AS BIGINT) % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    stream_into(store, newer, "texts", NOW_MS + 5)
+    return with_sizes(store)
+
+
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of a continuous import of escaped files with records of 10, 11 and 12 fields."""
+    store = new_store(spark)
+    rows = opinions(spark, sf)
+    n = F.xxhash64("id")
+    bare = rows.select(*OPINION_FIELDS)
+    write_escaped_tsv(bare, f"{store.root}/incoming/whole")
+    write_escaped_tsv(bare.drop("url"), f"{store.root}/incoming/short")
+    write_escaped_tsv(bare.withColumn("more", n.cast("string")), f"{store.root}/incoming/long")
+    import_tsv_stream(
+        f"{store.root}/incoming/*", store, NAMESPACE, PATTERNS, f"{store.root}/progress", now_ms=NOW_MS
+    ).awaitTermination()
+    sums = ("rows_used", "rows_discarded", "rows_rejected", "docs_created")
+    return store.counters().agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def null_field_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of records with null fields."""
+    rows = opinions(spark, sf).withColumn("product", F.when(F.col("product") != "chat", F.col("product")))
+    return imports.fan_out(imports.with_text(rows), NAMESPACE, ["$PRODUCT-$LOCALE"]).select(*KEY, "doc_id")
+
+
+def lookup_hot_and_cold(spark: SparkSession, sf: str) -> DataFrame:
+    """A join on long keys of which few are hot."""
+    rows = documents(spark, sf).select(F.concat(F.lit("k" * 300), "collection_key").alias("key"), "doc_id")
+    some = rows.filter("doc_id % 50 = 0").select(F.concat("key", F.col("doc_id").cast("string")).alias("key"), "doc_id")
+    rows = rows.unionByName(some)
+    table_ = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
+    return lookup(rows, table_, ["key"], max_hot_keys=4)
+
+
+def list_documents(spark: SparkSession, sf: str) -> DataFrame:
+    store = new_store(spark)
+    store.upsert_documents(documents(spark, sf), NOW_MS)
+    return store.list_documents(NAMESPACE, "de")
+
+
+def rejected_records(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.split("text", "\n").alias("fields")
+    found = rejects(table(spark, sf, "documents").select("doc_id", lines))
+    return found.select("doc_id", F.col("n_fields").cast("bigint").alias("n_fields"))
+
+
+def rebuild_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """One collection rebuilt by itself and, at the same time, with all others: members count once."""
+    store = new_store(spark)
+    import_opinions(plain_opinions(spark, sf), store, NAMESPACE, ["$LOCALE"], NOW_MS)
+    rebuild(store, NAMESPACE, "en", NOW_MS, SMALL_BLOCKS)
+    rebuild_all(store, NOW_MS, SMALL_BLOCKS)
+    return store.active_clusters()
+
+
+def dictionary_clamped(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.dictionary(vectors.term_frequency(documents(spark, sf)), CLAMPED)
+
+
+def tfidf_clamped(spark: SparkSession, sf: str) -> DataFrame:
+    terms = stage(vectors.term_frequency(documents(spark, sf)), "tf")
+    weighted = vectors.tfidf_weights(terms, stage(vectors.dictionary(terms, CLAMPED), "dictionary"))
+    return weighted.select(*KEY, "doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 def stale_collections(spark: SparkSession, sf: str) -> DataFrame:
     return flat_state(imports.stale(imports.merge_collections(event_loads(spark, sf))))
 
@@ -392,6 +521,13 @@ def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clusters_in_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with many tiles to a block."""
+    return _pass(spark, sf, Params(tile_docs=64)).members.select(
+        *KEY, F.col("medoid_id").alias("label"), "doc_id", "similarity", "is_medoid"
+    )
+
+
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
     """The same at the reassign threshold, where only close texts are grouped."""
     return _pass(spark, sf, Params(min_similarity=0.3)).members.select(
@@ -512,14 +648,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_collection,
         collections_merge,
         collection_state,
+        imports_of_two_namespaces,
+        two_streams,
+        stream_after_batch,
+        stream_counters,
+        null_field_keys,
+        lookup_hot_and_cold,
+        list_documents,
+        rejected_records,
         stale_collections,
         active_clusters,
+        rebuild_twice,
         storage_keys,
         run_slugs,
         tokens,
         term_freq,
         dictionary,
+        dictionary_clamped,
         tfidf_weights,
+        tfidf_clamped,
         tfidf_normalized,
         eligible_docs,
         doc_blocks,
@@ -530,6 +677,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         medoid_rank,
         directed_edges,
         cluster_members,
+        clusters_in_tiles,
         near_copies,
         unassigned,
         splices,

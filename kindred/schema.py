@@ -12,15 +12,18 @@ OPINION_FIELDS = [
 
 OPINIONS = T.StructType([T.StructField(f, T.StringType()) for f in OPINION_FIELDS])
 
+LOAD_SEQ = "struct<ms: bigint, step: bigint, id: string>"
+"""When and by whom something was written; the greatest one is current."""
+
 DOCUMENT_LOADS = (
-    "load_seq bigint, namespace string, collection_key string, doc_id string, "
+    f"load_seq {LOAD_SEQ}, namespace string, collection_key string, doc_id string, "
     "text string, copies bigint"
 )
 """One row per document and load; the highest ``load_seq`` holds the current text."""
 
 COLLECTION_LOADS = (
-    "load_seq bigint, namespace string, collection_key string, size bigint, "
-    "modified_ms bigint, configuration string, rebuilt_ms bigint, processed_ms bigint"
+    f"load_seq {LOAD_SEQ}, namespace string, collection_key string, size bigint, "
+    "modified_ms bigint, configuration string, rebuilt_ms bigint, processed_ms bigint, run string"
 )
 """Partial updates; null means "not written by this load"."""
 

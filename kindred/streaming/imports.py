@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators import imports
 from kindred.plans.importing import import_opinions
 from kindred.schema import KEY
-from kindred.sources.opinions import read_opinions
-from kindred.sources.store import Store
+from kindred.sources.opinions import conform, rejects
+from kindred.sources.store import Load, Store
+from kindred.sources.tsv import read_escaped_tsv
+from kindred.staging import stage, temporary
 
 
 def _now_ms() -> int:
@@ -23,6 +26,22 @@ def _trigger(every: str | None) -> dict[str, str | bool]:
     return {"processingTime": every} if every else {"availableNow": True}
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept in the checkpoint: a stream that lost it is another stream."""
+    path = f"{checkpoint.rstrip('/')}/stream-id"
+    spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.mode("ignore").parquet(path)
+    return spark.read.schema("id string").parquet(path).first()["id"]
+
+
+def _load_of(store: Store, stream: str, batch_id: int, now_ms: int | None) -> Load:
+    """The batch's load, with the time of its first attempt."""
+    path = f"{store.root}/load_times/{stream}.{batch_id}"
+    now = _now_ms() if now_ms is None else now_ms
+    store.spark.range(1).select(F.lit(now).cast("bigint").alias("ms")).write.mode("ignore").parquet(path)
+    first = store.spark.read.schema("ms bigint").parquet(path).first()["ms"]
+    return Load(first, batch_id, f"{stream}.{batch_id}")
+
+
 def import_stream(
     opinions: DataFrame,
     store: Store,
@@ -30,31 +49,26 @@ def import_stream(
     patterns: list[str],
     checkpoint: str,
     now_ms: int | None = None,
-    first_seq: int = 0,
     order: Column | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
     """Import a stream of opinions, batch by batch.
 
     Ends when the input there is has been used up, or goes on with a batch ``every``
-    interval. Collections are marked modified at ``now_ms``, by default the time of
-    the batch. A batch is one load, numbered ``first_seq`` plus its batch number. A batch that
-    is run again after a failure replaces its own load, so nothing counts twice.
+    interval. A batch is one load at ``now_ms``, by default the time of its first attempt, so
+    batches and other imports are ordered by one clock. Its name is that of the stream, which
+    its checkpoint keeps, and its number: other streams and imports leave it alone. A
+    batch that is run again is left out if it is stored, else it replaces what there is
+    of it, so nothing counts twice. ``Store.counters`` has the counters of each batch.
     """
+    stream = _stream_id(store.spark, checkpoint)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        import_opinions(
-            batch,
-            store,
-            namespace,
-            patterns,
-            _now_ms() if now_ms is None else now_ms,
-            load_seq=first_seq + batch_id,
-            order=order,
-            size="running",
-            tag="stream",
-            count_discarded=False,
-        )
+        name = _load_of(store, stream, batch_id, now_ms)
+        if not store.finished("collections", name):
+            import_opinions(
+                batch, store, namespace, patterns, name, order=order, size="running", replace=True
+            )
 
     return (
         opinions.writeStream.foreachBatch(load)
@@ -77,7 +91,6 @@ def import_tsv_stream(
     patterns: list[str],
     checkpoint: str,
     now_ms: int | None = None,
-    first_seq: int = 0,
     max_files: int = 1_000,
     every: str | None = None,
 ) -> StreamingQuery:
@@ -88,21 +101,25 @@ def import_tsv_stream(
     are read in byte ranges as in a batch.
     """
 
+    stream = _stream_id(store.spark, checkpoint)
+
     def load(batch: DataFrame, batch_id: int) -> None:
         files = [row["path"] for row in batch.collect()]
-        if files:
-            import_opinions(
-                read_opinions(store.spark, files),
-                store,
-                namespace,
-                patterns,
-                _now_ms() if now_ms is None else now_ms,
-                load_seq=first_seq + batch_id,
-                order=F.struct("file", "start"),
-                size="running",
-                tag="stream",
-                count_discarded=False,
-            )
+        name = _load_of(store, stream, batch_id, now_ms)
+        if files and not store.finished("collections", name):
+            with temporary(store.spark):
+                records = stage(read_escaped_tsv(store.spark, files), "records")
+                import_opinions(
+                    conform(records),
+                    store,
+                    namespace,
+                    patterns,
+                    name,
+                    order=F.struct("file", "start"),
+                    size="running",
+                    rejected=rejects(records),
+                    replace=True,
+                )
 
     names = (
         store.spark.readStream.format("binaryFile")

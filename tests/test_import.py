@@ -5,6 +5,7 @@ from kindred.functions.keys import collection_key, document_row_key
 from kindred.operators import imports
 from kindred.plans.importing import import_opinions
 from kindred.schema import OPINION_FIELDS
+from kindred.sources.store import Load
 from kindred.sources.tsv import write_escaped_tsv
 from kindred.streaming.imports import import_stream, import_tsv_stream
 
@@ -55,10 +56,14 @@ def test_batch_import(opinions, store):
     assert counters == {
         "rows_used": 3,
         "rows_discarded": 1,
+        "rows_rejected": 0,
         "docs_created": 6,
         "collections_created": 3,
     }
-    assert imports.import_counters(opinions, "ns", patterns).first().asDict() == counters
+    counted = imports.import_counters(opinions, "ns", patterns).first().asDict()
+    assert counted | {"rows_rejected": 0} == counters
+    kept = store.counters().drop("load").collect()
+    assert [r.asDict() for r in kept] == [counters]
     texts = {
         (r["collection_key"], r["doc_id"]): r["text"] for r in store.documents().collect()
     }
@@ -78,9 +83,12 @@ def test_size_modes(opinions, store):
 
     import_opinions(opinions, store, "ns", ["$PRODUCT"], 100)
     assert size() == 3
-    import_opinions(opinions, store, "ns", ["$PRODUCT"], 200, size="running")
+    again = Load(200, id="again")
+    import_opinions(opinions, store, "ns", ["$PRODUCT"], again, size="running")
     assert size() == 6
-    import_opinions(opinions, store, "ns", ["$PRODUCT"], 200, size="running")  # run again
+    with pytest.raises(ValueError):
+        import_opinions(opinions, store, "ns", ["$PRODUCT"], again, size="running")
+    import_opinions(opinions, store, "ns", ["$PRODUCT"], again, size="running", replace=True)
     assert size() == 6
     import_opinions(opinions, store, "ns", ["$PRODUCT"], 300, size="distinct")
     assert size() == 2
@@ -164,9 +172,53 @@ def test_loads_and_compaction(spark, store):
     assert texts() == {("4.0", "1"): "new", ("4.0", "2"): "two"}
     plan = store.scan_documents("n/1", "4.0")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "EqualTo(collection_key,4.0)" in plan
-    with pytest.raises(ValueError):
-        load([("4.0", "1", "late")], 0)
-    load([("4.0", "1", "new")], 2)  # run again, already in the base
+    load([("4.0", "1", "late"), ("4.0", "2", "late")], 0)  # older than what the base has
+    load([("4.0", "1", "new")], 2)
+    assert texts() == {("4.0", "1"): "new", ("4.0", "2"): "two"}
+    store.compact_documents()
+    store.remove_folded()
+    assert len(store._list(f"{store.root}/documents")) == 1
     load([("4.0", "1", "newest")], 3)
     assert texts() == {("4.0", "1"): "newest", ("4.0", "2"): "two"}
     assert [r[1] for r in store.list_documents("n/1", "4.0").collect()] == ["newest", "two"]
+
+
+def test_equal_times_have_a_winner_and_nobody_is_overwritten(spark, store):
+    def load(text, name):
+        docs = spark.createDataFrame(
+            [("n", "c", "1", text), ("n", "c", name, text)],
+            "namespace string, collection_key string, doc_id string, text string",
+        )
+        store.upsert_documents(docs, Load(5, id=name))
+
+    load("second", "b")
+    load("first", "a")
+    assert {r.doc_id: r.text for r in store.documents().collect()} == {"1": "second", "a": "first", "b": "second"}
+    with pytest.raises(ValueError):
+        load("third", "b")
+    with pytest.raises(ValueError):
+        Load(5, id="no/slash")
+
+
+def test_only_listed_collections_are_read_before_texts_meet(spark, store):
+    docs = spark.createDataFrame(
+        [("n", f"c{i % 5}", str(i), "text") for i in range(40)],
+        "namespace string, collection_key string, doc_id string, text string",
+    )
+    store.upsert_documents(docs, 1)
+    store.upsert_documents(docs, 2)
+    only = spark.createDataFrame([("n", "c3")], "namespace string, collection_key string")
+    found = store.documents(only)
+    assert {r.collection_key for r in found.collect()} == {"c3"} and found.count() == 8
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")  # the join is below
+
+
+def test_a_lost_checkpoint_is_another_stream(spark, opinions, store, tmp_path):
+    unique = opinions.dropDuplicates(["id"])
+    unique.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name in ("one", "two"):
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        import_stream(stream, store, "ns", ["$PRODUCT"], str(tmp_path / name), 100).awaitTermination()
+    assert len(store._list(f"{store.root}/documents")) == 2
+    assert store.counters().count() == 2
