@@ -26,7 +26,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Five bits estimate a similarity well above 0.8, so what links is alike; see the README
     for how many pairs of 0.8 and more do.
     """
-    return simhash.keep_one(docs, shingle=5, radius=5, lanes=2)
+    return simhash.keep_one(docs, shingle=5, radius=5, lanes=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of a text and cuts where some of its bits are zero, so the
 cuts hang on the last 16 bytes only and come back in step after an insertion. A chunk is
 known by a 64-bit digest; all but its first occurrence (in order of document and place)
-are repeats. Neighbouring repeats form runs, and a run of two chunks or more, so of 128
-bits, and of enough whole words is removed.
+are repeats. Neighbouring repeats form runs; a run is compared with the bytes around its
+first occurrence, so that it grows to the whole of what is repeated, and goes if that
+has enough whole words.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from kindred.staging import stage
 
 LEAST, MOST = 16, 256  # bytes of a chunk
 ZERO_BITS = 0b11111 << 11  # one cut in 32 bytes, before LEAST: chunks of about 48
-MIN_WORDS = 16
-"""Whole words of a run. A passage loses a chunk or less at either end, 8 words on average
-together with the words cut there, so 50 repeated words leave enough."""
+MIN_WORDS = 40
+"""Whole words that a repeated passage has at least."""
+CONTEXT = 512
+"""Bytes that a run may grow by at either end; a passage has its first cut long before."""
 GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 WINDOW = 16
 
@@ -97,13 +99,14 @@ def _chunks(batches) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``_row, spans``: per document the runs of repeated chunks, in bytes, and where first.
+    """``_row, ends``: per document the runs of repeated chunks, and what is around the first.
 
-    ``docs`` as for ``chunks``. Spans are ``(start, end, first_id, length, digest)``, by
-    start, with the first chunk's length and digest; the first occurrence of a chunk is
-    that with the smallest ``(doc_id, _row, start)``, null before all. A chunk in any share
-    of all documents is counted by partial sums and joined as one row; no group of
-    occurrences is collected.
+    ``docs`` as for ``chunks``. A run has two ends, ``(start, after, end, first_id, length,
+    digest, bytes)``, by start: its place in bytes, its first chunk's length and digest,
+    and the bytes before (then after) the first occurrence, which is the one with the
+    smallest ``(doc_id, _row, start)``, null before all. A chunk in any share of all
+    documents is counted by partial sums and joined as one row; no group of occurrences is
+    collected.
     """
     parts = stage(chunks(docs), "chunks")
     known = (
@@ -116,29 +119,82 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         parts.select("_row", "start", "length", "digest")
         .join(known, "digest")
         .where("_row <> _r OR start <> _s")
-        .drop("_r", "_s")
     )
     by = Window.partitionBy("_row").orderBy("start")
     begins = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by) != F.col("start"), F.lit(True))
-    runs = (
+    runs = stage(
         repeats.withColumn("_new", begins.cast("int"))
         .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_row", "_run")
         .agg(
-            F.count("*").alias("n"),
-            F.max(F.col("start") + F.col("length")).alias("end"),
             F.min("first_id").alias("first_id"),
-            F.min(F.struct("start", "length", "digest")).alias("head"),
+            F.min(F.struct("start", "length", "digest", "_r", "_s")).alias("head"),
+            F.max(F.struct("start", "length", "_r", "_s")).alias("tail"),
         )
-        .where((F.col("n") > 1) & (F.col("end") - F.col("head.start") >= 2 * MIN_WORDS))
+        .select(
+            "_row",
+            "first_id",
+            "head.start",
+            (F.col("tail.start") + F.col("tail.length")).alias("end"),
+            "head.length",
+            "head.digest",
+            F.col("head._r").alias("_ra"),
+            F.col("head._s").alias("_a"),
+            F.col("tail._r").alias("_rb"),
+            (F.col("tail._s") + F.col("tail.length")).alias("_b"),
+        ),
+        "runs",
     )
-    return runs.groupBy("_row").agg(
-        F.sort_array(
-            F.collect_list(F.struct("head.start", "end", "first_id", "head.length", "head.digest"))
-        ).alias("spans")
+    each_end = runs.select(
+        "_row", "start", "end", "first_id", "length", "digest",
+        F.inline(
+            F.array(
+                F.struct(F.col("_ra").alias("source"), F.col("_a").alias("at"), F.lit(False).alias("after")),
+                F.struct(F.col("_rb").alias("source"), F.col("_b").alias("at"), F.lit(True).alias("after")),
+            )
+        ),
+    )
+    end = F.struct("start", "after", "end", "first_id", "length", "digest", "bytes")
+    return (
+        each_end.join(_contexts(docs, each_end), ["source", "at", "after"])
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(end)).alias("ends"))
+    )
+
+
+def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``source, at, after, bytes``: the bytes before or after each first occurrence, once."""
+    wanted = (
+        ends.select(F.col("source").alias("_row"), "at", "after")
+        .distinct()
+        .groupBy("_row")
+        .agg(F.collect_list(F.struct("at", "after")).alias("wanted"))
+    )
+    # with all columns, so that this and the last join of the documents share one exchange
+    rows = docs.join(wanted, "_row").select(*docs.columns, "wanted")
+    return rows.mapInArrow(
+        partial(_around, row=docs.columns.index("_row"), text=docs.columns.index("text")),
+        "source bigint, at int, after boolean, bytes binary",
     )
 
 
+def _around(batches, row: int, text: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, len(whole), 512):
+            batch = whole.slice(i, 512)
+            out = []
+            columns = (batch.column(k).to_pylist() for k in (row, text, batch.num_columns - 1))
+            for number, content, wanted in zip(*columns):
+                data = (content or "").encode()
+                for x in wanted:
+                    at, after = x["at"], x["after"]
+                    out.append((number, at, after, data[at : at + CONTEXT] if after else data[max(0, at - CONTEXT) : at]))
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["source", "at", "after", "bytes"]
+            )
+
+
 REMOVED = T.ArrayType(
     T.StructType()
     .add("start", T.IntegerType())
@@ -162,7 +218,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", REMOVED)])
     return (
         keyed.join(spans, "_row", "left")
-        .select(*docs.columns, "spans")
+        .select(*docs.columns, "ends")
         .mapInArrow(partial(_cut, column=docs.columns.index("text"), min_words=min_words), schema)
     )
 
@@ -175,8 +231,8 @@ def _cut(batches, column: int, min_words: int) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(whole), 1024):
             batch = whole.slice(i, 1024)
             texts, removed = [], []
-            for text, spans in zip(batch.column(column).to_pylist(), batch.column(-1 % batch.num_columns).to_pylist()):
-                text, gone = cut(text, spans or [], min_words)
+            for text, ends in zip(batch.column(column).to_pylist(), batch.column(-1 % batch.num_columns).to_pylist()):
+                text, gone = cut(text, ends or [], min_words)
                 texts.append(text)
                 removed.append(gone)
             columns = list(batch.columns[:-1])
@@ -187,16 +243,34 @@ def _cut(batches, column: int, min_words: int) -> Iterator[pa.RecordBatch]:
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def cut(text: str | None, spans: list[dict], min_words: int) -> tuple[str | None, list[dict]]:
-    """The text without the whole words of its spans, and which spans went."""
-    if text is None or not spans:
+def grown(data: bytes, span: dict, before: bytes, after: bytes) -> tuple[int, int]:
+    """Where the repeated passage of a run begins and ends."""
+    a, b = span["start"], span["end"]
+    if digest(data[a : a + span["length"]]) != span["digest"]:
+        raise RuntimeError("the documents changed between two reads")
+    n = min(a, len(before))
+    mine, theirs = (np.frombuffer(x[len(x) - n :], np.uint8) for x in (data[:a], before))
+    differ = np.flatnonzero(mine != theirs)
+    begin = a - n + (int(differ[-1]) + 1 if len(differ) else 0)
+    n = min(len(data) - b, len(after))
+    differ = np.flatnonzero(np.frombuffer(data[b : b + n], np.uint8) != np.frombuffer(after[:n], np.uint8))
+    return begin, b + (int(differ[0]) if len(differ) else n)
+
+
+def cut(text: str | None, ends: list[dict], min_words: int) -> tuple[str | None, list[dict]]:
+    """The text without the whole words of its repeated passages, and which these are."""
+    if text is None or not ends:
         return text, []
     data = text.encode()
+    passages: list[list] = []
+    for span, other in zip(ends[::2], ends[1::2]):
+        a, b = grown(data, span, span["bytes"], other["bytes"])
+        if passages and a <= passages[-1][1]:
+            passages[-1][1] = max(b, passages[-1][1])
+        else:
+            passages.append([a, b, span["first_id"]])
     kept, gone, last = [], [], 0
-    for span in spans:
-        a, b = span["start"], span["end"]
-        if digest(data[a : a + span["length"]]) != span["digest"]:
-            raise RuntimeError("the documents changed between two reads")
+    for a, b, first_id in passages:
         while 0 < a < b and data[a - 1] not in SPACES:
             a += 1
         while a < b < len(data) and data[b] not in SPACES and data[b - 1] not in SPACES:
@@ -204,6 +278,6 @@ def cut(text: str | None, spans: list[dict], min_words: int) -> tuple[str | None
         words = len(data[a:b].split())
         if words >= min_words:
             kept.append(data[last:a])
-            gone.append({"start": a, "length": b - a, "words": words, "first_id": span["first_id"]})
+            gone.append({"start": a, "length": b - a, "words": words, "first_id": first_id})
             last = b
     return b"".join([*kept, data[last:]]).decode(), gone

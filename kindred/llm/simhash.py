@@ -98,7 +98,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lanes: i
     return rows.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, lanes: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5, lanes: int = 3) -> DataFrame:
     """The row with the smallest ``doc_id`` (null before all) of each component of ``docs``.
 
     Columns are those of ``docs``. Of rows equal in id and text one stays.
