@@ -74,13 +74,13 @@ def merge_clusters(
         F.col("medoid_id").alias("meta_id"),
         F.col("similarity").alias("meta_similarity"),
     )
-    joined = clusters.join(meta, [*KEY, "medoid_id"], "left")
     if params.drop_unmerged:
-        heads = clusters.filter("is_medoid").groupBy(*KEY).agg(F.count("*").alias("heads"))
-        single = heads.filter("heads = 1").drop("heads").withColumn("single", F.lit(True))
-        joined = joined.join(single, KEY, "left").filter(
-            F.col("meta_id").isNotNull() | F.col("single")
-        )
+        # decided at the medoids: members of a collection never meet under its key alone
+        heads = clusters.filter("is_medoid").groupBy(*KEY)
+        single = heads.agg(F.count("*").alias("heads"), F.min("doc_id").alias("medoid_id"))
+        single = single.filter("heads = 1").drop("heads")
+        meta = meta.unionByName(single, allowMissingColumns=True)
+    joined = clusters.join(meta, [*KEY, "medoid_id"], "inner" if params.drop_unmerged else "left")
     label = F.coalesce("meta_id", "medoid_id")
     substitute = F.col("is_medoid") & (label != F.col("medoid_id"))
     return joined.select(

@@ -36,14 +36,15 @@ def assign_blocks(
     """Vectors with ``block_id``, ``pos`` within the block and the block's ``block_docs``.
 
     ``tile_docs`` is how many documents of the collection go into one tile, fewer
-    where they are long, so that a scoring task's memory does not grow with them.
+    where they are long, so that a scoring task's memory does not grow with them. The
+    numbering is written out once, since every step of a pass reads it.
     """
     size = params.block_size
     with_length = eligible(docs, params).withColumn("n_terms", F.size("terms"))
     numbered = dense_index(with_length, KEY, order, total="n_terms")
     block = F.expr(f"idx div {size}")
     by_length = F.expr(f"{TILE_TERMS} * n_rows div total")
-    return (
+    blocked = (
         numbered.withColumn("block_id", block)
         .withColumn("pos", (F.col("idx") - block * size).cast("int"))
         .withColumn("block_docs", F.least(F.lit(size), F.col("n_rows") - block * size).cast("int"))
@@ -52,6 +53,7 @@ def assign_blocks(
         )
         .drop("idx", "n_rows", "total", "n_terms")
     )
+    return stage(blocked, "blocked")
 
 
 def _tile_pairs(blocked: DataFrame) -> DataFrame:
