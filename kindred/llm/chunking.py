@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.llm.common import numbered
 from kindred.staging import stage
 
 LEAST, MOST = 16, 256  # bytes of a chunk
@@ -213,7 +214,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("removed")
     # rows are numbered on each of two reads; that the numbers agree is checked by digest
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = numbered(docs, "_row")
     spans = repeated_runs(keyed)
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", REMOVED)])
     return (

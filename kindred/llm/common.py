@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.staging import stage
+
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: what counts as a word
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -51,3 +54,16 @@ def word_blocks(data: bytes, overlap: int, size: int = 1 << 20) -> Iterator[list
         yield words
         tail = words[-overlap:] if overlap else []
         start = end
+
+
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a number in ``column`` that is the same on every read.
+
+    The rows of files are numbered where they lie, whichever columns are read. What has
+    been shuffled could come in another order, so anything but a scan is written first.
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.search(r"[A-Za-z]+", line)[0] for line in plan.splitlines() if line.strip()}
+    if not nodes <= {"Project", "Filter", "Relation"}:
+        rows = stage(rows, "numbered")
+    return rows.withColumn(column, F.monotonically_increasing_id())
