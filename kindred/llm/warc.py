@@ -21,6 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.common import numbered
 from kindred.staging import shared_dir, stage
 
 VERSION = b"WARC/1.1"
@@ -43,24 +44,30 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     attempt; only files of the table count, so lost or repeated tasks leave no records.
     ``folder`` must be one that Arrow's file systems reach (file, hdfs, s3, gs, …).
     """
-    rows = stage(
-        pages.select(
-            F.col("page_id").cast("bigint").alias("page_id"),
-            F.coalesce("url", F.lit("")).alias("url"),
-            F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
-        ).withColumns({"digest": F.sha1("payload"), "row": F.monotonically_increasing_id()}),
-        "pages",
+    # rows are numbered on each of two reads; that the numbers agree is checked by digest
+    rows = numbered(pages.select("page_id", "url", "html"), "row").select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
+        "row",
+    )
+    known = stage(
+        rows.select("page_id", "row", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")),
+        "digests",
     )
-    size = F.octet_length("payload").alias("size")
     best = (
-        rows.groupBy("digest", size)
-        .agg(F.max(F.struct("page_id", "row")).alias("first"))
+        known.groupBy("digest", "size")
+        .agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("first"))
+        .where("n > 1")
         .select("digest", "size", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
     )
+    revisits = stage(
+        known.join(best, ["digest", "size"]).where("row <> first_row").select("row", "digest", "first_id", "first_row"),
+        "revisits",
+    )
     written = (
-        rows.withColumn("size", size)
-        .join(best, ["digest", "size"])
-        .select("page_id", "url", "payload", "row", "first_id", "first_row")
+        rows.join(revisits, "row", "left")
+        .select("page_id", "url", "payload", "row", "digest", "first_id", "first_row")
         .mapInArrow(
             partial(_write, folder=qualified(pages.sparkSession, folder), date=date),
             "path string, bytes bigint, records bigint",
@@ -84,12 +91,14 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 def _write(batches, folder: str, date: str) -> Iterator[pa.RecordBatch]:
     out, path, n, size = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
     for batch in batches:
-        for page_id, url, payload, row, first_id, first_row in zip(*(c.to_pylist() for c in batch.columns)):
+        for page_id, url, payload, row, digest, first_id, first_row in zip(*(c.to_pylist() for c in batch.columns)):
             if out is None:
                 system, name = _open(path)
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(name, compression=None)
-            refers = None if row == first_row else record_id(first_id, first_row)
+            if digest and hashlib.sha1(payload).hexdigest() != digest:
+                raise RuntimeError("the pages changed between two reads")
+            refers = None if first_row is None else record_id(first_id, first_row)
             member = _gzip(record(record_id(page_id, row), url, payload, date, refers))
             out.write(member)
             n, size = n + 1, size + len(member)
