@@ -74,7 +74,11 @@ def noisy_or(probabilities: np.ndarray) -> float:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Maximum likelihood of the documents' labels under noisy-or, by Adam on all at once."""
-    docs = [[set(WORDS.findall(s)) for s in SENTENCE.findall((t or "").lower())] for t in texts]
+    same: dict[str, str] = {}  # one object per word
+    docs = [
+        [tuple({same.setdefault(w, w) for w in WORDS.findall(s)}) for s in SENTENCE.findall((t or "").lower())]
+        for t in texts
+    ]
     docs = [[s for s in d if s] for d in docs]
     vocabulary = _telling_parts(docs, toxic)
     column: dict[str, list[int]] = {}
@@ -108,7 +112,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     return Model(float(w[-1]), {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w[:-1]) > 1e-6)})
 
 
-def _telling_parts(docs: list[list[set[str]]], toxic: list[int]) -> dict[str, int]:
+def _telling_parts(docs: list[list[tuple[str, ...]]], toxic: list[int]) -> dict[str, int]:
     """The parts whose share of documents differs most, measured in standard errors."""
     counts = {True: Counter(), False: Counter()}
     for d, y in zip(docs, toxic):
