@@ -110,7 +110,7 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=5)
     for lang, bundle in _bundles(batches):
         columns = [*zip(*bundle.ids), bundle.trusted, [len(t) for t in bundle.texts]]
         kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int32()]
