@@ -16,17 +16,18 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.staging import stage
+
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
 PER_LANGUAGE = 400
-"""About so many texts of each language are learned from; the model is fitted on this
-sample, spread by a hash of the text, and every text is scored."""
+"""So many different texts of each language are learned from, those of the smallest hashes;
+the model is fitted on this sample, and every text is scored."""
 LANDMARKS = 256
 MAX_LANGUAGES = 1000
 RIDGE = 0.1
@@ -108,30 +109,35 @@ def train(labelled: DataFrame) -> Model:
 
     The sample's size is bounded by ``PER_LANGUAGE`` times the languages, not by the rows.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
-    shares = rows.groupBy("lang").count().withColumn("share", F.lit(1.5 * PER_LANGUAGE) / F.col("count"))
-    if (n := shares.count()) > MAX_LANGUAGES:
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("text", "lang", F.shiftrightunsigned(F.xxhash64("text", F.lit(3)), 1).alias("spot"))
+    spots = stage(rows.select("lang", "spot").distinct(), "spots")
+    counts = spots.groupBy("lang").count()
+    if (n := counts.count()) > MAX_LANGUAGES:
         raise ValueError(f"{n} languages; a model holds {MAX_LANGUAGES} at most")
-    dice = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(F.broadcast(shares.select("lang", "share")), "lang").where(dice < F.col("share"))
-    found = sample.select("text", "lang").mapInArrow(_presences, "lang string, spot bigint, grams array<int>").toPandas()
-    found = found.sort_values(["lang", "spot"]).groupby("lang", sort=True).head(PER_LANGUAGE)
-    found = found.sort_values("spot")
+    # twice as many as are taken lie below the bound, so none of those is missed
+    bounds = counts.select("lang", (F.lit(2.0 * PER_LANGUAGE * 2**63) / F.col("count")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    low = spots.join(F.broadcast(bounds), "lang").where("spot < bound").withColumn("_place", place)
+    drawn = low.where(F.col("_place") <= PER_LANGUAGE).select("lang", "spot")
+    sample = rows.join(F.broadcast(drawn), ["lang", "spot"]).select("text", "lang", "spot")
+    found = sample.mapInArrow(_presences, "lang string, spot bigint, grams array<int>").dropDuplicates(["lang", "spot"]).toPandas()
+    found = found.sort_values(["spot", "lang"])
     return fit([np.asarray(x, dtype=np.int64) for x in found["grams"]], found["lang"].tolist())
 
 
 def _presences(batches) -> Iterator[pa.RecordBatch]:
+    """Of the copies in a task one is told."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches:
-        texts, languages = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        both = [(presence(t), n) for t, n in zip(texts, languages) if has_letter(t)]
-        spots = pd.util.hash_array(np.array([",".join(map(str, g[:64])) for g, _ in both], dtype=object)) if both else []
+        rows = []
+        for text, *key in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key := tuple(key)) not in seen:
+                seen.add(key)
+                rows.append((*key, presence(text).astype(np.int32)))
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([n for _, n in both], pa.string()),
-                pa.array(np.asarray(spots, dtype=np.uint64).view(np.int64), pa.int64()),
-                pa.array([g.astype(np.int32) for g, _ in both], pa.list_(pa.int32())),
-            ],
-            ["lang", "spot", "grams"],
+            [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], ["lang", "spot", "grams"]
         )
 
 

@@ -35,6 +35,22 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_learns_from_different_texts(spark, monkeypatch):
+    dice = random.Random(2)
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 40)
+    learned = {}
+    monkeypatch.setattr(langid, "fit", lambda grams, langs: learned.update(grams=grams, langs=langs))
+    copies = [speech(dice, "aa", 30) for _ in range(3)]
+    few = [speech(dice, "aa", 30) for _ in range(20)]
+    many = [speech(dice, "bb", 30) for _ in range(300)]
+    rows = [(t, "aa") for t in copies * 1000 + few + ["1 2", None]] + [(t, "bb") for t in many + many[:1] * 2000]
+    langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(7))
+    told = list(zip(learned["langs"], (tuple(g) for g in learned["grams"])))
+    assert {g for n, g in told if n == "aa"} == {tuple(langid.presence(t)) for t in copies + few}
+    assert learned["langs"].count("aa") == 23 and learned["langs"].count("bb") == 40
+    assert len(set(told)) == 63
+
+
 def test_folded_matrix_is_the_kernel_machine():
     dice = random.Random(4)
     texts = [speech(dice, lang, 12) for lang in ("aa", "bb", "cc") * 8]
