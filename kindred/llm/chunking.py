@@ -3,9 +3,11 @@
 A gear hash rolls over the bytes of a text and cuts where some of its bits are zero, so the
 cuts hang on the last 16 bytes only and come back in step after an insertion. A chunk is
 known by a 64-bit digest; all but its first occurrence (in order of document and place)
-are repeats. Neighbouring repeats form runs; a run is compared with the bytes around its
-first occurrence, so that it grows to the whole of what is repeated, and goes if that
-has enough whole words.
+are repeats. Neighbouring repeats form a run as long as their first occurrences follow
+each other too; a run is compared with the bytes around these, so that it grows to the
+whole of what is repeated from that one place, and goes if that has enough whole words.
+Where one run follows another, the two chunks at the seam may have come together before:
+the first place where they did is compared as well.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ LEAST, MOST = 16, 256  # bytes of a chunk
 ZERO_BITS = 0b11111 << 11  # one cut in 32 bytes, before LEAST: chunks of about 48
 MIN_WORDS = 40
 """Whole words that a repeated passage has at least."""
-CONTEXT = 512
-"""Bytes that a run may grow by at either end; a passage has its first cut long before."""
+CONTEXT, WIDEST = 512, 4096
+"""Bytes that a run may grow by at either end, and where these have no more than
+``min_words`` words, of which a run needs no more; a passage has its first cut long before."""
 GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 WINDOW = 16
 
@@ -99,71 +102,75 @@ def _chunks(batches) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``_row, ends``: per document the runs of repeated chunks, and what is around the first.
 
-    ``docs`` as for ``chunks``. A run has two ends, ``(start, after, end, first_id, length,
-    digest, bytes)``, by start: its place in bytes, its first chunk's length and digest,
+    ``docs`` as for ``chunks``. A run has two ends, ``(start, end, source, shift, after,
+    first_id, length, digest, bytes)``, by start: its place in bytes, the row and how many
+    bytes further on the first occurrence is, the length and digest of its first chunk,
     and the bytes before (then after) the first occurrence, which is the one with the
-    smallest ``(doc_id, _row, start)``, null before all. A chunk in any share of all
-    documents is counted by partial sums and joined as one row; no group of occurrences is
-    collected.
+    smallest ``(doc_id, _row, start)``, null before all. All of a run is from one stretch
+    of its source. The runs of seams are empty. A chunk in any share of all documents is
+    counted by partial sums and joined as one row; no group of occurrences is collected.
     """
     parts = stage(chunks(docs), "chunks")
     known = (
         parts.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row", "start")).alias("first"))
         .where("n > 1")
-        .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first._row").alias("_r"), F.col("first.start").alias("_s"))
-    )
-    repeats = (
-        parts.select("_row", "start", "length", "digest")
-        .join(known, "digest")
-        .where("_row <> _r OR start <> _s")
+        .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first._row").alias("source"), F.col("first.start").alias("_s"))
     )
+    repeats = parts.join(known, "digest").where("_row <> source OR start <> _s").withColumn("shift", F.col("_s") - F.col("start"))
     by = Window.partitionBy("_row").orderBy("start")
-    begins = F.coalesce(F.lag(F.col("start") + F.col("length")).over(by) != F.col("start"), F.lit(True))
+    meets = F.lag(F.col("start") + F.col("length")).over(by) == F.col("start")
+    follows = meets & (F.lag("source").over(by) == F.col("source")) & (F.lag("shift").over(by) == F.col("shift"))
     runs = stage(
-        repeats.withColumn("_new", begins.cast("int"))
+        repeats.withColumn("_new", (~F.coalesce(follows, F.lit(False))).cast("int"))
+        .withColumn("previous", F.when(meets, F.lag("digest").over(by)))
         .withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_row", "_run")
         .agg(
-            F.min("first_id").alias("first_id"),
-            F.min(F.struct("start", "length", "digest", "_r", "_s")).alias("head"),
-            F.max(F.struct("start", "length", "_r", "_s")).alias("tail"),
+            F.min(F.struct("start", "length", "digest", "doc_id", "first_id", "source", "shift", "previous")).alias("head"),
+            F.max(F.col("start") + F.col("length")).alias("end"),
         )
-        .select(
-            "_row",
-            "first_id",
-            "head.start",
-            (F.col("tail.start") + F.col("tail.length")).alias("end"),
-            "head.length",
-            "head.digest",
-            F.col("head._r").alias("_ra"),
-            F.col("head._s").alias("_a"),
-            F.col("tail._r").alias("_rb"),
-            (F.col("tail._s") + F.col("tail.length")).alias("_b"),
-        ),
+        .select("_row", "head.*", "end"),
         "runs",
     )
-    each_end = runs.select(
-        "_row", "start", "end", "first_id", "length", "digest",
-        F.inline(
-            F.array(
-                F.struct(F.col("_ra").alias("source"), F.col("_a").alias("at"), F.lit(False).alias("after")),
-                F.struct(F.col("_rb").alias("source"), F.col("_b").alias("at"), F.lit(True).alias("after")),
-            )
-        ),
-    )
-    end = F.struct("start", "after", "end", "first_id", "length", "digest", "bytes")
+    met = runs.where("previous IS NOT NULL")
+    seams = (
+        met.groupBy("previous", "digest")
+        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row", "start")).alias("first"))
+        .where("n > 1")
+        .select("previous", "digest", "first")
+    )
+    again = (
+        met.drop("first_id", "source", "shift", "end")
+        .join(seams, ["previous", "digest"])
+        .where("_row <> first._row OR start <> first.start")
+        .select(
+            "*",
+            F.col("start").alias("end"),
+            F.col("first.doc_id").alias("first_id"),
+            F.col("first._row").alias("source"),
+            (F.col("first.start") - F.col("start")).alias("shift"),
+        )
+    )
+    columns = ["_row", "start", "end", "source", "shift", "first_id", "length", "digest"]
+    each_end = (
+        runs.select(*columns)
+        .unionByName(again.select(*columns))
+        .withColumn("after", F.explode(F.array(F.lit(False), F.lit(True))))
+        .withColumn("at", F.when(F.col("after"), F.col("end")).otherwise(F.col("start")) + F.col("shift"))
+    )
+    end = F.struct("start", "end", "source", "shift", "after", "first_id", "length", "digest", "bytes")
     return (
-        each_end.join(_contexts(docs, each_end), ["source", "at", "after"])
+        each_end.join(_contexts(docs, each_end, min_words), ["source", "at", "after"])
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list(end)).alias("ends"))
     )
 
 
-def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, ends: DataFrame, min_words: int) -> DataFrame:
     """``source, at, after, bytes``: the bytes before or after each first occurrence, once."""
     wanted = (
         ends.select(F.col("source").alias("_row"), "at", "after")
@@ -174,12 +181,21 @@ def _contexts(docs: DataFrame, ends: DataFrame) -> DataFrame:
     # with all columns, so that this and the last join of the documents share one exchange
     rows = docs.join(wanted, "_row").select(*docs.columns, "wanted")
     return rows.mapInArrow(
-        partial(_around, row=docs.columns.index("_row"), text=docs.columns.index("text")),
+        partial(_around, row=docs.columns.index("_row"), text=docs.columns.index("text"), min_words=min_words),
         "source bigint, at int, after boolean, bytes binary",
     )
 
 
-def _around(batches, row: int, text: int) -> Iterator[pa.RecordBatch]:
+def around(data: bytes, at: int, after: bool, min_words: int) -> bytes:
+    size = CONTEXT
+    while True:
+        found = data[at : at + size] if after else data[max(0, at - size) : at]
+        if len(found) < size or size >= WIDEST or len(found.split()) > min_words + 1:
+            return found
+        size *= 2
+
+
+def _around(batches, row: int, text: int, min_words: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, len(whole), 512):
             batch = whole.slice(i, 512)
@@ -189,7 +205,7 @@ def _around(batches, row: int, text: int) -> Iterator[pa.RecordBatch]:
                 data = (content or "").encode()
                 for x in wanted:
                     at, after = x["at"], x["after"]
-                    out.append((number, at, after, data[at : at + CONTEXT] if after else data[max(0, at - CONTEXT) : at]))
+                    out.append((number, at, after, around(data, at, after, min_words)))
             kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["source", "at", "after", "bytes"]
@@ -208,14 +224,15 @@ REMOVED = T.ArrayType(
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs (doc_id, text, …)`` without repeated passages, and ``removed``, their spans.
 
-    Spans are in bytes of the old text, of whole words, at least ``min_words`` of them;
-    ``first_id`` is a document that has them first. Null texts stay null. A repeated row
+    Spans are in bytes of the old text, of whole words. A span is one passage of at least
+    ``min_words`` words that one document has before, or several such passages that touch;
+    ``first_id`` is a document that has the first of them before. Null texts stay null. A repeated row
     is a repeat like any other. A column ``removed`` is replaced.
     """
     docs = docs.drop("removed")
     # rows are numbered on each of two reads; that the numbers agree is checked by digest
     keyed = numbered(docs, "_row")
-    spans = repeated_runs(keyed)
+    spans = repeated_runs(keyed, min_words)
     schema = T.StructType([*docs.schema.fields, T.StructField("removed", REMOVED)])
     return (
         keyed.join(spans, "_row", "left")
@@ -263,22 +280,29 @@ def cut(text: str | None, ends: list[dict], min_words: int) -> tuple[str | None,
     if text is None or not ends:
         return text, []
     data = text.encode()
-    passages: list[list] = []
+    passages: dict[tuple[int, int], list[list]] = {}  # by where they are from
     for span, other in zip(ends[::2], ends[1::2]):
         a, b = grown(data, span, span["bytes"], other["bytes"])
-        if passages and a <= passages[-1][1]:
-            passages[-1][1] = max(b, passages[-1][1])
+        same = passages.setdefault((span["source"], span["shift"]), [])
+        if same and a <= same[-1][1]:
+            same[-1][1] = max(b, same[-1][1])
         else:
-            passages.append([a, b, span["first_id"]])
-    kept, gone, last = [], [], 0
-    for a, b, first_id in passages:
+            same.append([a, b, span["first_id"]])
+    spans: list[list] = []
+    for a, b, first_id in sorted((x for same in passages.values() for x in same), key=lambda x: x[:2]):
         while 0 < a < b and data[a - 1] not in SPACES:
             a += 1
         while a < b < len(data) and data[b] not in SPACES and data[b - 1] not in SPACES:
             b -= 1
-        words = len(data[a:b].split())
-        if words >= min_words:
-            kept.append(data[last:a])
-            gone.append({"start": a, "length": b - a, "words": words, "first_id": first_id})
-            last = b
+        if len(data[a:b].split()) < min_words:
+            continue
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b, first_id])
+    kept, gone, last = [], [], 0
+    for a, b, first_id in spans:
+        kept.append(data[last:a])
+        gone.append({"start": a, "length": b - a, "words": len(data[a:b].split()), "first_id": first_id})
+        last = b
     return b"".join([*kept, data[last:]]).decode(), gone

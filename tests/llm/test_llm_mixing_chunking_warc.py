@@ -141,6 +141,41 @@ def test_repeated_passages_go(spark):
     assert chunking.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_two_documents_do_not_add_up(spark):
+    dice = random.Random(11)
+    rows, clean, repeated = [], [], []
+    for i in range(0, 200, 10):
+        p, q = prose(dice, 35), prose(dice, 35)
+        rows += [(i, f"{prose(dice, 30)} {p} {prose(dice, 30)}"), (i + 1, f"{prose(dice, 30)} {q} {prose(dice, 30)}")]
+        rows += [(i + 2, f"{prose(dice, 20)} {p} {q} {prose(dice, 20)}"), (i + 3, f"{prose(dice, 20)} {p} {q} {prose(dice, 20)}")]
+        clean.append(i + 2)  # nothing of 40 words is repeated
+        repeated.append((i + 3, f"{p} {q}"))  # 70 words that the document before has
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {r.doc_id: r for r in chunking.deduplicate(docs).collect()}
+    texts = dict(rows)
+    for i in clean:
+        assert of[i].text == texts[i] and not of[i].removed
+    whole = [i for i, _ in repeated if of[i].removed]
+    assert len(whole) >= 18  # one without a cut in q has no chunk that only its source has
+    for i, passage in repeated:
+        if i in whole:
+            assert [x.first_id for x in of[i].removed] == [i - 1] and passage not in of[i].text
+            assert 70 <= of[i].removed[0].words <= 72
+
+
+def test_each_run_passes_by_itself():
+    data = " ".join(f"w{i:03}" for i in range(100)).encode()
+
+    def run(a, b, source, shift):
+        both = {"start": a, "end": b, "source": source, "shift": shift, "first_id": source, "length": 20, "digest": chunking.digest(data[a : a + 20])}
+        return [{**both, "bytes": b""}, {**both, "bytes": b""}]
+
+    assert chunking.cut(data.decode(), run(0, 150, 1, 0) + run(150, 300, 2, 0), 40)[1] == []
+    assert [x["words"] for x in chunking.cut(data.decode(), run(0, 150, 1, 0) + run(150, 300, 1, 0), 40)[1]] == [60]
+    both = chunking.cut(data.decode(), run(0, 225, 1, 0) + run(200, 450, 2, 0), 40)[1]
+    assert [(x["start"], x["words"], x["first_id"]) for x in both] == [(0, 90, 1)]
+
+
 # --- archives --------------------------------------------------------------------------
 
 
