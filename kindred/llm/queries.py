@@ -8,8 +8,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import chunking, embeddings, kneser_ney, langid, mixing, packing, quality, simhash, toxicity, warc
+from kindred.llm import (
+    chunking, embeddings, kneser_ney, langid, mixing, packing, quality, repair, simhash, toxicity, warc,
+)
 from kindred.llm.common import remainder, table
+from kindred.llm.conversations import digests
 from kindred.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +206,34 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(d, '') AS
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url
 FROM digits
 """
+
+
+def damage(turns: DataFrame) -> DataFrame:
+    """``conversations`` with faults that the CRC-32 of ``conv_id:turn`` picks; a null is one space."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("conv_id", "turn", "role", "text")]
+    way = F.crc32(F.concat(text[0], F.lit(":"), text[1]).cast("binary")) % 20
+    marks = F.regexp_replace("text", "[.!?]", "")
+    damaged = turns.select("conv_id", "turn", *text[2:], way.alias("way")).select(
+        "conv_id", "turn",
+        F.when(F.col("way") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("way") == 1, F.lit("")).when(F.col("way") == 2, marks).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("way") == 0, 0).when(F.col("way") == 3, 2).otherwise(1).alias("times"),
+    )
+    return damaged.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times", "col")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(damage(turns))
+    line = F.concat("role", F.lit(":"), "text").alias("line")
+    said = digests(repaired.turns.select(F.struct("conv_id").alias("conv"), "place", line), ["conv"], ["place"], "line", "\n")
+    every = turns.select(F.struct(F.col("conv_id").cast("bigint").alias("conv_id")).alias("conv")).distinct()
+    found = repaired.conversations.select(F.struct("conv_id").alias("conv"), *repaired.conversations.columns[1:])
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, "conv", "left").join(said, "conv", "left").select(
+        "conv.conv_id",
+        *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
