@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import (
-    chunking, embeddings, kneser_ney, langid, mixing, packing, quality, repair, simhash, toxicity, warc,
+    chunking, embeddings, kneser_ney, langid, mixing, packing, quality, repair, simhash, toxicity,
+    trie, warc,
 )
 from kindred.llm.common import remainder, table
-from kindred.llm.conversations import digests
+from kindred.llm.conversations import digests, in_order
 from kindred.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,6 +209,72 @@ FROM digits
 """
 
 
+def rebuild(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with other conversations' beginnings, and all conversations.
+
+    Conversation c gets the first h turns of conversation c - c % 100 in place of its own first
+    h, with h the CRC-32 of c modulo 6. Rows of a null ``conv_id`` are in no conversation.
+    """
+    rows = in_order(turns.where("conv_id IS NOT NULL")).select(F.col("_conv").alias("conv_id"), "pos", "role", "text")
+    own = F.col("conv_id")
+    h = F.crc32(own.cast("string").cast("binary")) % 6
+    every = rows.where("pos = 0").select("conv_id")
+    # a base serves a hundred conversations at most, with five turns
+    wanted = every.select("conv_id", (own - own % 100).alias("base"), h.alias("h"))
+    heads = rows.where((own % 100 == 0) & (F.col("pos") < 5)).withColumnRenamed("conv_id", "base")
+    begun = wanted.join(heads, "base").where("pos < h").select("conv_id", "pos", "role", "text")
+    return begun.unionByName(rows.where(F.col("pos") >= h)), every
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(*rebuild(table(spark, sf_dir, "conversations")))
+    named = found.members.select("node", "depth", "conv_id", F.col("conv_id").cast("string").alias("name"))
+    ends = digests(named, ["node", "depth"], ["conv_id"], "name", ",")
+    return found.nodes.join(ends, ["node", "depth"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+ORACLE["op11_prefix_trie"] = """
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)
+), turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base,
+    xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda a, b: xor(a >> 8, (SELECT t FROM crc)[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT convs.c, pos, said FROM convs JOIN turns ON turns.c = base AND pos < h
+  UNION ALL SELECT c, pos, said FROM convs JOIN turns USING (c) WHERE pos >= h
+), seqs AS (
+  SELECT c, coalesce(list(said ORDER BY pos) FILTER (said IS NOT NULL), []) AS s FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+), prefixes AS (
+  SELECT c, len(s) AS n, d, list_slice(s, 1, d) AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)
+), nodes AS (
+  SELECT d, p, list_slice(p, 1, d - 1) AS up, count(*) AS n, min(c) AS c, (count(*) - 1) * coalesce(length(p[d].text), 0) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends
+  FROM prefixes GROUP BY d, p
+), below AS (
+  SELECT d - 1 AS d, up AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN below USING (d, p)
+), trees AS (
+  SELECT k AS d, list_slice(p, 1, k) AS p, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM counted) GROUP BY 1, 2
+)
+SELECT x.c AS conv_id, x.d AS depth, up.c AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves::BIGINT AS n_leaves,
+  trees.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM counted x JOIN trees USING (d, p) LEFT JOIN nodes up ON up.d = x.d - 1 AND up.p = x.up
+"""
+
+
 def damage(turns: DataFrame) -> DataFrame:
     """``conversations`` with faults that the CRC-32 of ``conv_id:turn`` picks; a null is one space."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("conv_id", "turn", "role", "text")]
