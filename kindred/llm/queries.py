@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import (
-    chunking, embeddings, kneser_ney, langid, mixing, packing, quality, repair, simhash, toxicity,
+    chunking, credentials, embeddings, kneser_ney, langid, mixing, packing, quality, repair, simhash, toxicity,
     trie, warc,
 )
 from kindred.llm.common import remainder, table
@@ -248,8 +249,8 @@ WITH crc AS (
 ), convs AS (
   SELECT c, c - c % 100 AS base,
     xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
-      lambda a, b: xor(a >> 8, (SELECT t FROM crc)[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 6 AS h
-  FROM (SELECT DISTINCT c FROM turns)
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns), crc
 ), rebuilt AS (
   SELECT convs.c, pos, said FROM convs JOIN turns ON turns.c = base AND pos < h
   UNION ALL SELECT c, pos, said FROM convs JOIN turns USING (c) WHERE pos >= h
@@ -275,6 +276,80 @@ FROM counted x JOIN trees USING (d, p) LEFT JOIN nodes up ON up.d = x.d - 1 AND
 """
 
 
+@query
+def op12_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find(table(spark, sf_dir, "documents"))
+    base = F.col("rank") < len(credentials.BASE)
+    texts = found.spans.groupBy("row").agg(
+        credentials.spans_text(found.spans, base).alias("base"), credentials.spans_text(found.spans, F.lit(True)).alias("spans")
+    )
+    return found.documents.join(texts, "row", "left").select(
+        "doc_id", *(f"n_{k}" for k in credentials.BASE),
+        F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
+    )
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The same without ``(?i:``, which covers more than ASCII there, as an SQL string."""
+    either = lambda m: "(?:" + re.sub("[a-z]", lambda x: f"[{x[0]}{x[0].upper()}]", m[1]) + ")"
+    return re.sub(r"\(\?i:((?:[^()]|\([^()]*\))*)\)", either, pattern).replace("'", "''")
+
+
+def _credentials_sql() -> str:
+    c = credentials
+    patterns = [c.ASSIGN, c.ACCESS, c.HEX, c.IDENT, c.SECRET, c.ENDPOINT, c.BLANK_LINE]
+    found = " UNION ALL ".join(
+        f"SELECT r, {i} AS rank, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d"
+        for i, p in enumerate(map(_sql_pattern, patterns))
+    )
+    near = lambda kinds, w: (
+        f"(coalesce(s - max(CASE WHEN rank IN {kinds} THEN e END) OVER {w}b, 1000000) <= {c.REACH}"
+        f" OR coalesce(min(CASE WHEN rank IN {kinds} THEN s END) OVER {w}a - e, 1000000) <= {c.REACH})"
+    )
+    over = ", ".join(
+        f"(coalesce(max(CASE WHEN rank < {k} THEN e END) OVER b, -1) > s"
+        f" OR coalesce(min(CASE WHEN rank < {k} THEN s END) OVER a, e) < e) AS over_{k}"
+        for k in (3, 4, 5)
+    )
+    window = lambda name, by: (
+        f"{name}b AS (PARTITION BY {by} ORDER BY s, rank, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), "
+        f"{name}a AS (PARTITION BY {by} ORDER BY s DESC, rank DESC, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    spans = "string_agg(['{}'][rank + 1] || ':' || s || ':' || e, ',' ORDER BY s, rank)".format("', '".join(c.KINDS))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+hits AS (SELECT r, rank, unnest(m) AS m, unnest(g) AS g, unnest(range(0, len(g))) AS i FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT r, rank, m, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS e FROM hits WHERE m IS NOT NULL
+), parts AS (
+  SELECT r, rank, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM placed
+  WHERE CASE rank WHEN 0 THEN length(regexp_extract(m, '{_sql_pattern(c.ASSIGN)}', 1)) >= {c.LEAST_VALUE}
+    WHEN 4 THEN regexp_matches(m, '^{_sql_pattern(c.SECRET_NAME)}') OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]'))
+    ELSE true END
+), scoped AS (
+  SELECT *, coalesce(max(CASE WHEN rank = {c.SCOPE} THEN e END) OVER b, 0) AS scope, {over} FROM parts WINDOW {window('', 'r')}
+), kept AS (
+  SELECT * FROM scoped WHERE CASE rank WHEN 3 THEN NOT over_3 WHEN 4 THEN NOT over_4 WHEN 5 THEN NOT over_5 ELSE rank < 3 END
+), linked AS (
+  SELECT *, {near('(1, 3)', 'n')} AS named, {near('(0, 2, 4)', 'n')} AS secret FROM kept WINDOW {window('n', 'r, scope')}
+), spans AS (
+  SELECT r, rank, s, e FROM linked
+  WHERE CASE rank WHEN 3 THEN secret WHEN 4 THEN named WHEN 5 THEN named AND secret ELSE true END
+), texts AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    coalesce({spans} FILTER (rank < 3), '') AS base, {spans} AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (r)
+"""
+
+
+ORACLE["op12_credential_linking"] = _credentials_sql()
+
+
 def damage(turns: DataFrame) -> DataFrame:
     """``conversations`` with faults that the CRC-32 of ``conv_id:turn`` picks; a null is one space."""
     text = [F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("conv_id", "turn", "role", "text")]

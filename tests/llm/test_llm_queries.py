@@ -23,6 +23,9 @@ COLUMNS = {
         "page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string",
         "refers_to": "bigint",
     },
+    "op12": {
+        "doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string",
+    },
 }
 
 
@@ -49,13 +52,14 @@ def test_query_covers_its_table(spark, name):
     types = dict(result.dtypes)
     for column, kind in COLUMNS.get(name.split("_")[0], {}).items():
         assert types[column] == kind
-    key = "vec_id" if "vec_id" in types else "doc_id"
-    source = spark.read.parquet(f"{SF}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet")
+    tables = {"vec_id": "embeddings", "doc_id": "documents", "conv_id": "conversations"}
+    key = next(k for k in tables if k in types)
+    source = spark.read.parquet(f"{SF}/{tables[key]}.parquet").select(key).distinct()
     assert result.select(key).distinct().count() == source.count()
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and QUERIES["pipeline"] is corpus_pipeline.run
 
 
