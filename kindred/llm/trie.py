@@ -27,7 +27,7 @@ from kindred.operators.index import dense_index
 from kindred.operators.joins import lookup
 from kindred.staging import stage
 
-BLOCK = 4096
+BLOCK = 512
 MAX_BLOCKS = 1 << 18
 NONE = np.iinfo(np.int64).max
 
