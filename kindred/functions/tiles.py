@@ -164,3 +164,52 @@ def partial_scores(
         best = np.concatenate([np.full(lead.sum(), -1, np.int64), best[follow]])
         earliest = np.concatenate([np.full(lead.sum(), none, np.int64), earliest[follow]])
     return {"pos": doc, "centricity_nano": total, "best_key": best, "first_key": earliest}
+
+
+def staircases(
+    left: Tile, right: Tile, n_terms: int, min_nano: int, threshold: int
+) -> dict[str, np.ndarray | pa.Array]:
+    """For right documents, which similarities to left ones, in their order, reach all before.
+
+    ``steps`` are the different values of these from ``threshold`` on and ``counts`` how often
+    each came, ``first_nano`` and ``most_nano`` the first value and the greatest. A row for each
+    right document that has any.
+    """
+    n_right = len(right.pos)
+    most, first_nano = np.zeros(n_right, np.int64), np.zeros(n_right, np.int64)
+    found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, nano in score_stripes(left, right, n_terms, min_nano):
+        top = (nano > 0).argmax(axis=0)
+        fresh = (first_nano == 0) & (nano[top, np.arange(n_right)] > 0)
+        first_nano[fresh] = nano[top, np.arange(n_right)][fresh]
+        best = np.maximum.accumulate(nano, axis=0)
+        np.maximum(best, most, out=best)
+        row, col = np.nonzero((nano == best) & (nano >= max(threshold, 1)))
+        found_at.append(col)
+        found.append(nano[row, col])
+        most = best[-1] if len(best) else most
+    at, value = np.concatenate(found_at), np.concatenate(found)
+    order = np.lexsort((value, at))
+    at, value = at[order], value[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (np.diff(value) != 0)][: len(at)])
+    steps, counts, owner = value[new], np.diff(np.r_[new, len(at)]), at[new]
+    used = np.flatnonzero(most > 0)
+    ends = np.searchsorted(owner, used, side="right")
+    offsets = pa.array(np.r_[0, ends].astype(np.int32))
+    return {
+        "b": right.pos[used],
+        "first_nano": first_nano[used],
+        "most_nano": most[used],
+        "steps": pa.ListArray.from_arrays(offsets, pa.array(steps)),
+        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts)),
+    }
+
+
+def bound(group: pa.Table) -> float:
+    """The dot product of the vectors of a group's two rows."""
+    terms, weights = group["terms"].combine_chunks(), group["weights"].combine_chunks()
+    (a, b), (x, y) = (
+        [np.asarray(c.slice(i, 1).flatten()) for i in range(2)] for c in (terms, weights)
+    )
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return float(x[i] @ y[j])

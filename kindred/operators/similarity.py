@@ -11,6 +11,7 @@ shuffle a row for each term of each pair instead.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,74 +19,131 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import tiles
+from kindred.operators import vectors
 from kindred.operators.index import dense_index
-from kindred.operators.vectors import eligible
 from kindred.params import Params, to_nano
 from kindred.schema import KEY
 from kindred.staging import stage
 
 BLOCK = [*KEY, "block_id"]
 
-TILE_TERMS = 1_000_000
-"""Terms that a tile of average documents may hold."""
+MAX_BROADCAST_ROWS = 100_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` for the right side of a join, broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
 
 
 def assign_blocks(
     docs: DataFrame, order: list[Column], params: Params = Params()
 ) -> DataFrame:
-    """Vectors with ``block_id``, ``pos`` within the block and the block's ``block_docs``.
+    """Vectors with ``block_id``, ``pos`` within the block, ``block_docs``, ``tile`` and ``n_tiles``.
 
-    ``tile_docs`` is how many documents of the collection go into one tile, fewer
-    where they are long, so that a scoring task's memory does not grow with them. The
-    numbering is written out once, since every step of a pass reads it.
+    ``terms`` are numbers from here on. The numbering is written out once, since every
+    step of a pass reads it.
     """
     size = params.block_size
-    with_length = eligible(docs, params).withColumn("n_terms", F.size("terms"))
-    numbered = dense_index(with_length, KEY, order, total="n_terms")
+    with_length = vectors.coded(vectors.eligible(docs, params)).withColumn("n_terms", F.size("terms"))
+    numbered = dense_index(with_length, KEY, order)
     block = F.expr(f"idx div {size}")
-    by_length = F.expr(f"{TILE_TERMS} * n_rows div total")
     blocked = (
         numbered.withColumn("block_id", block)
         .withColumn("pos", (F.col("idx") - block * size).cast("int"))
         .withColumn("block_docs", F.least(F.lit(size), F.col("n_rows") - block * size).cast("int"))
-        .withColumn(
-            "tile_docs", F.greatest(F.lit(16), F.least(F.lit(params.tile_docs), by_length)).cast("int")
-        )
-        .drop("idx", "n_rows", "total", "n_terms")
+        .drop("idx", "n_rows")
     )
-    return stage(blocked, "blocked")
+    # one row per block
+    cuts = stage(tile_cuts(blocked, params), "cuts")
+    tile = F.size(F.filter("cuts", lambda first: first <= F.col("pos"))) - 1
+    tiled = blocked.join(_small(cuts), BLOCK).withColumns({"tile": tile, "n_tiles": F.size("cuts")})
+    return stage(tiled.drop("cuts", "n_terms"), "blocked")
 
 
-def _tile_pairs(blocked: DataFrame) -> DataFrame:
-    """Each vector once for every tile of its block that it is compared with."""
-    tile = F.expr("int(pos div tile_docs)")
-    last = F.expr("int((block_docs - 1) div tile_docs)")
-    spread = blocked.select(
-        *BLOCK,
-        "pos",
-        "terms",
-        "weights",
-        tile.alias("tile"),
-        F.explode(F.sequence(F.lit(0), last)).alias("other"),
+def tile_cuts(blocked: DataFrame, params: Params) -> DataFrame:
+    """Per block ``cuts``: the first position of each tile, cut at running sums of terms.
+
+    A document counts as its terms, but as no less than a tile's share of
+    ``Params.tile_docs`` and no more than a whole tile. So a tile has at most ``tile_docs`` documents, and
+    at most ``tile_terms`` terms without the last of them, however their lengths are mixed. Only lengths
+    are brought together, of one block at a time.
+    """
+    least = -(-params.tile_terms // params.tile_docs)
+    cost = F.least(F.greatest(F.col("n_terms"), F.lit(least)), F.lit(params.tile_terms)).cast("bigint")
+    before = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    tile = F.expr(f"before div {params.tile_terms}")
+    return (
+        blocked.select(*BLOCK, "pos", cost.alias("cost"))
+        .select(*BLOCK, "pos", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("before"))
+        .groupBy(*BLOCK, tile.alias("tile"))
+        .agg(F.min("pos").alias("first"))
+        .groupBy(*BLOCK)
+        .agg(F.sort_array(F.collect_list("first")).alias("cuts"))
     )
-    return spread.select(
-        *BLOCK,
-        F.least("tile", "other").alias("low"),
-        F.greatest("tile", "other").alias("high"),
-        "tile",
-        "pos",
-        "terms",
-        "weights",
+
+
+def tile_bounds(blocked: DataFrame) -> DataFrame:
+    """``low, high, bound`` for each two tiles of a block: no similarity between them is larger.
+
+    The sum over their common terms of the products of the greatest weights that a document
+    of either has. The tiles' terms with these weights are brought together, not their documents.
+    """
+    entry = F.inline(F.arrays_zip("terms", F.transform("weights", F.abs).alias("weights")))
+    top = (
+        blocked.where("n_tiles > 1")
+        .select(*BLOCK, "tile", "n_tiles", entry)
+        .groupBy(*BLOCK, "tile", "n_tiles", "terms")
+        .agg(F.max("weights").alias("top"))
+        .groupBy(*BLOCK, "tile", "n_tiles")
+        .agg(F.collect_list(F.struct("terms", "top")).alias("tops"))
+        .select(*BLOCK, "tile", "n_tiles", F.col("tops.terms").alias("terms"), F.col("tops.top").alias("weights"))
     )
+    pairs = _spread(stage(top, "tops"), F.sequence(F.lit(0), F.col("n_tiles") - 1)).where("low < high")
 
+    def bound(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found = {name: [value] for name, value in zip([*BLOCK, "low", "high"], key)}
+        return pa.table({**found, "bound": [tiles.bound(group)]})
 
-def _tasks(blocked: DataFrame) -> int:
-    """Shuffle partitions for the tile pairs; the planner cannot see their CPU cost."""
-    side = F.ceil(F.col("block_docs") / F.col("tile_docs"))
+    keys = "namespace string, collection_key string, block_id bigint"
+    return pairs.groupBy(*BLOCK, "low", "high").applyInArrow(bound, f"{keys}, low int, high int, bound double")
+
+
+def skipped_tiles(blocked: DataFrame, params: Params = Params()) -> DataFrame:
+    """Pairs of tiles that have no similar documents, told by their bound."""
+    # sums differ in their last digits with the order of terms
+    return tile_bounds(blocked).where(F.col("bound") * F.lit(1e9) < to_nano(params.min_similarity) - 1)
+
+
+def _spread(rows: DataFrame, others: Column) -> DataFrame:
+    """Each row once for every tile in ``others``, with the pair of tiles it is for."""
+    spread = rows.select("*", F.explode(others).alias("other"))
+    low, high = F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")
+    return spread.select(*BLOCK, low, high, "tile", *(["pos"] if "pos" in rows.columns else []), "terms", "weights")
+
+
+def _tile_pairs(blocked: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Each vector once for every tile of its block that it is compared with."""
+    every = F.sequence(F.lit(0), F.col("n_tiles") - 1)
+    if skipped.isEmpty():
+        return _spread(blocked, every)
+    both = skipped.select(*BLOCK, F.inline(F.array(
+        F.struct(F.col("low").alias("tile"), F.col("high").alias("other")),
+        F.struct(F.col("high").alias("tile"), F.col("low").alias("other")),
+    )))
+    without = both.groupBy(*BLOCK, "tile").agg(F.collect_list("other").alias("skip"))
+    told = blocked.join(_small(without), [*BLOCK, "tile"], "left")
+    return _spread(told, F.array_except(every, F.coalesce("skip", F.array().cast("array<int>"))))
+
+
+def _tasks(blocked: DataFrame) -> tuple[int, int]:
+    """Shuffle partitions for the tile pairs, whose CPU cost the planner cannot see, and
+    the most tiles of a block."""
+    side = F.col("n_tiles").cast("bigint")
     firsts = blocked.filter(F.col("pos") == 0)
-    groups = firsts.agg(F.sum(side * (side + 1) / 2)).first()[0] or 1
+    found = firsts.agg(F.sum(side * (side + 1) / 2).alias("groups"), F.max("n_tiles").alias("most")).first()
+    groups = found["groups"] or 1
     usual = int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(max(1, min(3 * groups, max(4 * usual, groups // 8))))
+    return int(max(1, min(3 * groups, max(4 * usual, groups // 8)))), found["most"] or 1
 
 
 def _score(
@@ -99,17 +157,21 @@ def _score(
         left, right, n_terms = tiles.read_tiles(group, low.as_py(), high.as_py())
         found = kernel(left, right, n_terms, min_nano)
         n = len(next(iter(found.values())))
-        constant = {name: pa.repeat(value, n) for name, value in zip(BLOCK, block)}
-        return pa.table({**constant, **{k: pa.array(v) for k, v in found.items()}})
+        constant = {name: pa.repeat(value, n) for name, value in zip([*BLOCK, "low"], [*block, low])}
+        made = {**constant, **{k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in found.items()}}
+        return pa.table({name: made[name] for name in names})
 
-    shipped = _tile_pairs(blocked).repartition(_tasks(blocked), *group_key)
-    keys = "namespace string, collection_key string, block_id bigint"
-    return shipped.groupBy(*group_key).applyInArrow(score, f"{keys}, {columns}")
+    keys = "namespace string, collection_key string, block_id bigint, low int"
+    names = [*BLOCK, "low", *(c.split()[0] for c in columns.split(", "))]
+    n_tasks, most_tiles = _tasks(blocked)
+    every = F.sequence(F.lit(0), F.col("n_tiles") - 1)
+    pairs = _spread(blocked, every) if most_tiles == 1 else _tile_pairs(blocked, stage(skipped_tiles(blocked, params), "skipped"))
+    return pairs.repartition(n_tasks, *group_key).groupBy(*group_key).applyInArrow(score, f"{keys}, {columns}")
 
 
 def similar_pairs(blocked: DataFrame, params: Params = Params()) -> DataFrame:
     """All pairs ``a < b`` (positions) of a block with at least the minimum similarity."""
-    return _score(blocked, params, tiles.pairs, "a int, b int, sim_nano bigint")
+    return _score(blocked, params, tiles.pairs, "a int, b int, sim_nano bigint").drop("low")
 
 
 def document_scores(blocked: DataFrame, params: Params = Params()) -> DataFrame:
@@ -151,22 +213,37 @@ def document_scores(blocked: DataFrame, params: Params = Params()) -> DataFrame:
 def scored_documents(blocked: DataFrame, params: Params = Params()) -> DataFrame:
     """All documents of the blocks with their scores, null for those without a partner."""
     scores = document_scores(blocked, params)
-    ids = blocked.drop("terms", "weights", "block_docs", "tile_docs")
+    ids = blocked.drop("terms", "weights", "block_docs", "tile", "n_tiles")
     return stage(ids.join(scores, [*BLOCK, "pos"], "left"), "scored")
 
 
-def reassignments(pairs: DataFrame, params: Params = Params()) -> DataFrame:
-    """Per document, how often a later leader took over from an earlier one."""
+def reassignments(blocked: DataFrame, params: Params = Params()) -> DataFrame:
+    """Per document with a leader, how often a later leader took over from an earlier one.
+
+    One takes over that reaches the reassign threshold and all before it. A tile tells, for
+    each document, the values that do so within the tile, as a staircase: how often each
+    occurred. Staircases join in the order of tiles: of each those steps stay that reach the
+    greatest value so far. Exchanged is a row per document and tile, never a pair.
+    """
     threshold = to_nano(params.reassign_similarity)
-    earlier = (
-        Window.partitionBy(*BLOCK, "b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    stairs = _score(
+        blocked,
+        params,
+        partial(tiles.staircases, threshold=threshold),
+        "b int, first_nano bigint, most_nano bigint, steps array<bigint>, counts array<bigint>",
+    )
+    earlier = Window.partitionBy(*BLOCK, "b").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.max("most_nano").over(earlier)
+    reached = F.aggregate(
+        F.arrays_zip("steps", "counts"),
+        F.lit(0).cast("bigint"),
+        lambda n, x: n + F.when(x["steps"] >= F.coalesce("so_far", F.lit(0)), x["counts"]).otherwise(0),
     )
-    strong = F.col("sim_nano") >= threshold
-    first = F.first("sim_nano").over(earlier)
-    best = F.greatest(first, F.max(F.when(strong, F.col("sim_nano"))).over(earlier))
-    took_over = first.isNotNull() & strong & (F.col("sim_nano") >= best)
+    # the very first leader takes over from none
+    first = (F.col("so_far").isNull() & (F.col("first_nano") >= threshold)).cast("bigint")
     return (
-        pairs.select(*BLOCK, "b", took_over.alias("took_over"))
+        stairs.withColumn("so_far", so_far)
+        .select(*BLOCK, "b", (reached - first).alias("took_over"))
         .groupBy(*BLOCK, "b")
-        .agg(F.sum(F.col("took_over").cast("bigint")).alias("reassigned"))
+        .agg(F.sum("took_over").alias("reassigned"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions import text, weights
+from kindred.operators.index import dense_index
 from kindred.operators.joins import lookup
 from kindred.params import Params
 from kindred.schema import KEY
@@ -71,26 +72,37 @@ def dictionary(term_freq: DataFrame, params: Params = Params()) -> DataFrame:
     return sized
 
 
+def number_terms(terms: DataFrame) -> DataFrame:
+    """Add ``term_id``: each collection's terms counted from 0, the most frequent first."""
+    numbered = dense_index(terms, KEY, [F.desc("df"), F.col("term")])
+    return numbered.withColumn("term_id", F.col("idx").cast("int")).drop("idx", "n_rows")
+
+
 def tfidf_weights(term_freq: DataFrame, terms: DataFrame) -> DataFrame:
-    """Weight of each dictionary term in each document, long form."""
+    """Weight of each dictionary term in each document, long form; with numbers if terms have them."""
     rows = lookup(term_freq.drop("leads"), terms, [*KEY, "term"], "df")
     weight = weights.tfidf(F.col("tf"), F.col("df"), F.col("n_docs"))
-    return rows.select(*KEY, "doc_id", "term", weight.alias("weight"))
+    return rows.select(*KEY, "doc_id", *_names(terms), weight.alias("weight"))
+
+
+def _names(rows: DataFrame) -> list[str]:
+    return ["term", *(["term_id"] if "term_id" in rows.columns else [])]
 
 
 def vectors(weighted: DataFrame) -> DataFrame:
-    """One row per document: its terms and their log-normalised weights.
+    """One row per document: its terms, their numbers if there are any, and log-normalised weights.
 
     The arrays hold one document's distinct dictionary terms.
     """
+    names = _names(weighted)
     docs = weighted.groupBy(*KEY, "doc_id").agg(
-        F.collect_list(F.struct("term", "weight")).alias("entries"),
+        F.collect_list(F.struct(*names, "weight")).alias("entries"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
     )
     return docs.select(
         *KEY,
         "doc_id",
-        F.col("entries.term").alias("terms"),
+        *(F.col(f"entries.{name}").alias(f"{name}s") for name in names),
         F.transform(
             "entries", lambda e: weights.log_normalize(e["weight"], F.col("norm"))
         ).alias("weights"),
@@ -105,6 +117,30 @@ def long_form(docs: DataFrame) -> DataFrame:
     )
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """``docs`` with the numbers of their terms in place of the terms.
+
+    Vectors that were made without a dictionary at hand have their terms numbered here.
+    """
+    if "term_ids" not in docs.columns:
+        docs = _numbered(docs)
+    return docs.drop("terms").withColumnRenamed("term_ids", "terms")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    rows = stage(
+        docs.select(*docs.columns, F.posexplode("terms").alias("_at", "_term")).drop("terms"), "entries"
+    )
+    terms = rows.groupBy(*KEY, F.col("_term").alias("term")).agg(F.count("*").alias("df"))
+    numbered = stage(number_terms(terms).withColumnRenamed("term", "_term"), "numbers")
+    found = lookup(rows, numbered, [*KEY, "_term"], "df")
+    others = [c for c in docs.columns if c not in (*KEY, "doc_id", "terms")]
+    ids = F.sort_array(F.collect_list(F.struct("_at", "term_id")))
+    return found.groupBy(*KEY, "doc_id").agg(
+        *(F.any_value(c).alias(c) for c in others), F.transform(ids, lambda x: x["term_id"]).alias("term_ids")
+    )
+
+
 def eligible(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Documents with enough terms to be compared."""
-    return docs.filter(F.size("terms") >= params.min_terms)
+    return docs.filter(F.size("term_ids" if "term_ids" in docs.columns else "terms") >= params.min_terms)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred.functions.text import STOP_WORDS
 from kindred.operators.histogram import LOG_BOUNDS
 from kindred.params import Params, to_nano
-from kindred.queries import CLAMPED, CUSTOM, LINEAR, NOW_MS, ONE_BLOCK, PRIOR, SMALL_BLOCKS
+from kindred.queries import CLAMPED, CUSTOM, CUT, LINEAR, NOW_MS, ONE_BLOCK, PRIOR, SMALL_BLOCKS
 
 KEYS = "namespace, collection_key"
 DOCS = "SELECT 'demo' AS namespace, lang AS collection_key, doc_id, text FROM documents"
@@ -192,6 +192,21 @@ def one_pass(query: str, params: Params = ONE_BLOCK, upto: str = "members") -> s
     return with_ctes({n: ctes[n] for n in names[: names.index(f"p_{upto}") + 1]}, query, True)
 
 
+def in_tiles(query: str, params: Params = CUT, docs: str = DOCS, more: dict[str, str] | None = None) -> str:
+    """``query`` over the CTEs of one pass as far as blocks, and ``p_tiles``."""
+    ctes = vector_ctes(params) | pass_ctes("p_", "vec", params)
+    upto = list(ctes).index("p_post") + 1
+    ctes = dict(list(ctes.items())[:upto])
+    least = -(-params.tile_terms // params.tile_docs)
+    ctes["p_cost"] = f"""
+SELECT {KEYS}, block_id, pos, n_terms, least(greatest(n_terms, {least}), {params.tile_terms}) AS cost
+FROM p_blk JOIN p_elig USING ({KEYS}, doc_id)"""
+    ctes["p_tiles"] = f"""
+SELECT {KEYS}, block_id, pos, n_terms, CAST(coalesce(sum(cost) OVER (PARTITION BY {KEYS}, block_id ORDER BY pos
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {params.tile_terms} AS INT) AS tile FROM p_cost"""
+    return with_ctes({**ctes, "docs": docs, **(more or {})}, query)
+
+
 def two_passes(query: str, params: Params = SMALL_BLOCKS, more: dict[str, str] | None = None) -> str:
     """Blocks (``b_…``), rest (``r_…``) and both together (``stage1``)."""
     ctes = vector_ctes(params) | pass_ctes("b_", "vec", params)
@@ -283,6 +298,21 @@ LINEAR_BY_TYPE = histogram_sql(EVENT_VALUES, LINEAR, by="event_type")
 DOCUMENT_KEY = "namespace || '/' || collection_key || '/' ||"
 CLUSTER_KEY = "'DEFAULT/' || namespace || '/' || collection_key || '/' ||"
 
+REASSIGNMENTS = one_pass(
+    f"""
+SELECT {KEYS}, block_id, b, CAST(sum(CASE WHEN n > 1 AND sim_nano >= {to_nano(0.3)}
+   AND sim_nano >= f AND sim_nano >= coalesce(best, 0) THEN 1 ELSE 0 END) AS BIGINT)
+   AS reassigned
+FROM (SELECT {KEYS}, block_id, b, sim_nano, row_number() OVER w AS n,
+    first_value(sim_nano) OVER w AS f,
+    max(CASE WHEN sim_nano >= {to_nano(0.3)} THEN sim_nano END) OVER
+      (PARTITION BY {KEYS}, block_id, b ORDER BY a
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+  FROM p_pairs WINDOW w AS (PARTITION BY {KEYS}, block_id, b ORDER BY a))
+GROUP BY {KEYS}, block_id, b""",
+    upto="pairs",
+)
+
 ORACLE: dict[str, str] = {
     "tsv_roundtrip": PLAIN_OPINIONS,
     "conform_rows": f"""
@@ -382,19 +412,27 @@ SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
         "WHERE leader_pos IS NOT NULL",
         upto="scored",
     ),
-    "reassignments": one_pass(
+    "reassignments": REASSIGNMENTS,
+    "reassignments_in_tiles": REASSIGNMENTS,
+    "tile_sizes": in_tiles(
+        f"SELECT {KEYS}, block_id, tile, min(pos) AS first, count(*) AS n_docs, "
+        "CAST(sum(n_terms) AS BIGINT) AS n_terms FROM p_tiles GROUP BY ALL"
+    ),
+    "tile_bounds": in_tiles(
         f"""
-SELECT {KEYS}, block_id, b, CAST(sum(CASE WHEN n > 1 AND sim_nano >= {to_nano(0.3)}
-       AND sim_nano >= f AND sim_nano >= coalesce(best, 0) THEN 1 ELSE 0 END) AS BIGINT)
-       AS reassigned
-FROM (SELECT {KEYS}, block_id, b, sim_nano, row_number() OVER w AS n,
-        first_value(sim_nano) OVER w AS f,
-        max(CASE WHEN sim_nano >= {to_nano(0.3)} THEN sim_nano END) OVER
-          (PARTITION BY {KEYS}, block_id, b ORDER BY a
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
-      FROM p_pairs WINDOW w AS (PARTITION BY {KEYS}, block_id, b ORDER BY a))
-GROUP BY {KEYS}, block_id, b""",
-        upto="pairs",
+SELECT a.namespace, a.collection_key, a.block_id, a.tile AS low, b.tile AS high,
+       round(coalesce(sum(x.top * y.top), 0), 6) AS bound,
+       coalesce(sum(x.top * y.top), 0) < {CUT.min_similarity} AS skipped
+FROM tiles a JOIN tiles b ON a.block_id = b.block_id AND a.tile < b.tile
+JOIN tops x ON x.block_id = a.block_id AND x.tile = a.tile
+LEFT JOIN tops y ON y.block_id = b.block_id AND y.tile = b.tile AND y.term = x.term
+GROUP BY ALL""",
+        docs=DOCS.replace("lang AS collection_key, doc_id", "'all' AS collection_key, lang || '-' || doc_id AS doc_id"),
+        more={
+            "tiles": f"SELECT DISTINCT {KEYS}, block_id, tile FROM p_tiles",
+            "tops": f"""
+SELECT block_id, tile, term, max(w) AS top FROM p_post JOIN p_tiles USING ({KEYS}, block_id, pos) GROUP BY ALL""",
+        },
     ),
     "medoid_rank": one_pass(
         f"""

@@ -30,6 +30,7 @@ class Params:
     reassign_similarity: float = 0.3  # a later leader may take over from here on
     drop_unmerged: bool = False  # lose clusters that join no other in the merge
     tile_docs: int = 2_048  # documents per side of one scoring task
+    tile_terms: int = 1_000_000  # terms per side, but for the document that fills it up
 
     def __post_init__(self) -> None:
         if self.min_df_mode not in ("drop", "clamp"):
@@ -38,3 +39,5 @@ class Params:
             raise ValueError(f"block_size must be within 2 and {MAX_BLOCK_SIZE}")
         if not 1 <= self.tile_docs <= 16_384:
             raise ValueError("tile_docs must be within 1 and 16384")
+        if self.tile_terms < self.tile_docs:
+            raise ValueError("tile_terms must be tile_docs at least")

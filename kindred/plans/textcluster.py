@@ -28,7 +28,7 @@ class Pass:
     def vectors_of(self, docs: DataFrame) -> DataFrame:
         """Vectors of some of the pass's documents, given by block and position."""
         picked = self.blocked.join(docs.select(*BLOCK, "pos"), [*BLOCK, "pos"], "left_semi")
-        return picked.select(*KEY, "doc_id", "terms", "weights")
+        return picked.select(*KEY, "doc_id", "terms", "weights").withColumnRenamed("terms", "term_ids")
 
 
 def run_pass(vectors: DataFrame, order: str, params: Params) -> Pass:
@@ -74,7 +74,7 @@ def _medoid_vectors(clusters: DataFrame, *passes: Pass) -> DataFrame:
     return parts[0].unionByName(parts[1]).select(
         *KEY,
         "doc_id",
-        "terms",
+        F.col("terms").alias("term_ids"),
         "weights",
         F.struct(
             F.col("pass"),

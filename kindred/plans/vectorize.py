@@ -29,7 +29,7 @@ def vectorize(
     """Term frequencies, dictionary and TF-IDF vectors, each a stored table."""
     counts = vectors.term_frequency(docs, analyzer, stop_words)
     term_freq = stage(counts, "tf-vectors", run_dir)
-    terms = stage(vectors.dictionary(term_freq, params), "dictionary", run_dir)
+    terms = stage(vectors.number_terms(vectors.dictionary(term_freq, params)), "dictionary", run_dir)
     weighted = vectors.tfidf_weights(term_freq, terms)
     return Vectorized(
         term_freq, terms, stage(vectors.vectors(weighted), "tfidf-vectors", run_dir)

@@ -502,8 +502,33 @@ def leaders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reassignments(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = similarity.similar_pairs(_blocked(spark, sf, ONE_BLOCK), ONE_BLOCK)
-    return similarity.reassignments(pairs)
+    return similarity.reassignments(_blocked(spark, sf, ONE_BLOCK), ONE_BLOCK)
+
+
+CUT = Params(tile_docs=64, tile_terms=500)
+"""Many tiles to a block, with documents longer than a tile among others."""
+
+
+def reassignments_in_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.reassignments(_blocked(spark, sf, CUT), CUT)
+
+
+def tile_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = _blocked(spark, sf, CUT).groupBy(*similarity.BLOCK, "tile")
+    return sizes.agg(
+        F.min("pos").alias("first"), F.count("*").alias("n_docs"), F.sum(F.size("terms")).alias("n_terms")
+    )
+
+
+def tile_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """All languages in one collection, language after language: tiles of two have little in common."""
+    rows = documents(spark, sf)
+    name = F.concat_ws("-", "collection_key", "doc_id")
+    together = rows.withColumns({"doc_id": name, "collection_key": F.lit("all")})
+    vecs = vectorize(together, CUT).vectors
+    bounds = similarity.tile_bounds(similarity.assign_blocks(vecs, [F.col("doc_id")], CUT))
+    skipped = F.col("bound") < CUT.min_similarity
+    return bounds.select(*similarity.BLOCK, "low", "high", F.round("bound", 6).alias("bound"), skipped.alias("skipped"))
 
 
 def medoid_rank(spark: SparkSession, sf: str) -> DataFrame:
@@ -674,6 +699,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         centricity,
         leaders,
         reassignments,
+        reassignments_in_tiles,
+        tile_sizes,
+        tile_bounds,
         medoid_rank,
         directed_edges,
         cluster_members,

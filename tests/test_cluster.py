@@ -82,6 +82,75 @@ def test_tiles_take_large_postings_in_parts(monkeypatch):
     assert all(np.array_equal(whole[k], parts[k]) for k in whole)
 
 
+def two_tiles(docs, cut):
+    return pa.table(
+        {
+            "tile": pa.array([int(i >= cut) for i in range(len(docs))], pa.int32()),
+            "pos": pa.array(range(len(docs)), pa.int32()),
+            "terms": pa.array([list(d) for d in docs]),
+            "weights": pa.array([list(d.values()) for d in docs]),
+        }
+    )
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.09, 0.2])
+def test_staircases_join(monkeypatch, threshold):
+    """Two tiles' staircases give the number of takeovers of both together."""
+    monkeypatch.setattr(tiles, "STRIPE", 7)
+    docs = list(corpus(3, 60, words=9).values())
+    least, reassign = to_nano(0.02), to_nano(threshold)
+    group = two_tiles(docs, 25)
+    first, second, n_terms = tiles.read_tiles(group, 0, 1)
+    parts = [tiles.staircases(first, second, n_terms, least, reassign), tiles.staircases(second, second, n_terms, least, reassign)]
+    sims = models.all_pairs(docs, least)
+    got = {}
+    for part in parts:
+        for b, one, most, steps, counts in zip(*(np.asarray(part[k]) if k in ("b", "first_nano", "most_nano") else part[k].to_pylist() for k in part)):
+            assert steps == sorted(set(steps)) and all(c > 0 for c in counts)
+            before, n = got.get(b, (0, 0))
+            n += sum(c for s, c in zip(steps, counts) if s >= before) - (not before and one >= reassign)
+            got[b] = (max(before, most), n)
+    for b in range(25, 60):
+        earlier = [(a, s) for (a, x), s in sims.items() if x == b]
+        assert got.get(b, (0, 0)) == (max([0, *(s for _, s in earlier)]), models.takeovers(earlier, reassign))
+
+
+def test_bound_is_above_all_pairs():
+    docs = list(corpus(4, 40, words=30).values())
+    tops = [{}, {}]
+    for i, doc in enumerate(docs):
+        for term, weight in doc.items():
+            tops[i >= 20][term] = max(weight, tops[i >= 20].get(term, 0))
+    group = pa.table({"terms": pa.array([list(t) for t in tops]), "weights": pa.array([list(t.values()) for t in tops])})
+    across = [s for (a, b), s in models.all_pairs(docs, 1).items() if a < 20 <= b]
+    assert max(across) <= tiles.bound(group) * 1e9 < 20 * max(across)
+
+
+def test_tiles_are_cut_by_terms(spark):
+    """One document as long as many tiles, among short ones."""
+    docs = {d: {f"t{i}": 0.1 for i in range(5_000 if d == 50 else 2 + d % 7)} for d in range(200)}
+    params = Params(tile_docs=20, tile_terms=100)
+    blocked = similarity.assign_blocks(to_frame(spark, {"c": docs}), [F.col("doc_id")], params)
+    found = {}
+    for row in blocked.orderBy("pos").collect():
+        found.setdefault(row["tile"], []).append(len(row["terms"]))
+        assert row["n_tiles"] == 1 + max(r["tile"] for r in blocked.select("tile").collect()) if row["pos"] == 0 else True
+    assert sorted(found) == list(range(len(found)))
+    for lengths in found.values():
+        assert len(lengths) <= 20 and sum(lengths[:-1]) < 100
+
+
+def test_skipped_tiles_have_no_pairs(spark):
+    """Two kinds of documents without a common term, each in tiles of its own."""
+    docs = {d: {f"{'a' if d < 40 else 'b'}{d % 5 + i}": 0.3 + d % 3 / 10 for i in range(3)} for d in range(80)}
+    params = Params(tile_docs=8, tile_terms=1_000)
+    blocked = similarity.assign_blocks(to_frame(spark, {"c": docs}), [F.col("doc_id")], params)
+    skipped = {(r["low"], r["high"]) for r in similarity.skipped_tiles(blocked, params).collect()}
+    assert skipped == {(a, b) for a in range(5) for b in range(5, 10)}
+    pairs = {(r["a"], r["b"]): r["sim_nano"] for r in similarity.similar_pairs(blocked, params).collect()}
+    assert pairs == models.all_pairs(list(docs.values()), to_nano(0.08))
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_one_pass_equals_the_fold(spark, seed):
     """Many collections at once, each checked against the step-by-step model."""
@@ -89,7 +158,6 @@ def test_one_pass_equals_the_fold(spark, seed):
     params = Params(min_similarity=0.05, reassign_similarity=0.09, tile_docs=8)
     frame = to_frame(spark, collections)
     blocked = similarity.assign_blocks(frame, [F.col("doc_id")], params)
-    pairs = similarity.similar_pairs(blocked, params)
     scored = similarity.scored_documents(blocked, params)
     edges = forest.directed_edges(scored)
     assigned = forest.cluster_pass(scored)
@@ -105,7 +173,7 @@ def test_one_pass_equals_the_fold(spark, seed):
     leaders = grouped(scored.filter("leader_pos is not null"), "pos", "leader_pos")
     parents = grouped(edges, "pos", "parent_pos", "parent_nano")
     medoid = grouped(forest.members(assigned), "pos", "medoid_pos", "similarity", "doc_id")
-    moved = grouped(similarity.reassignments(pairs, params), "b", "reassigned")
+    moved = grouped(similarity.reassignments(blocked, params), "b", "reassigned")
     splices = {r["collection_key"]: r["splices"] for r in forest.splices(assigned).collect()}
     ranks = grouped(forest.medoid_rank(scored), "rank", "pos")
 
