@@ -23,19 +23,22 @@ def lookup(
     (or a number in proportion to that); without it they are counted. At most
     ``max_hot_keys`` keys can each hold more than ``1 / max_hot_keys`` of the sum. These
     are broadcast under a hash of the key, so that long keys do not count, and no key
-    left for the shuffle is large. Both inputs are read more than once and should be
-    staged tables.
+    left for the shuffle is large. A table of no more keys than that goes this way as a whole. Both
+    inputs are read more than once and should be staged tables.
     """
     if load is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias("_load"))
         table, load = stage(table.join(counts, on), "counted"), "_load"
-    total = table.agg(F.sum(load).alias("load")).first()["load"] or 0
-    is_hot = F.coalesce(F.col(load), F.lit(0)) > total / max_hot_keys
+    sums = table.agg(F.sum(load).alias("load"), F.count("*").alias("keys")).first()
+    few = sums["keys"] <= max_hot_keys
+    is_hot = F.lit(True) if few else F.coalesce(F.col(load), F.lit(0)) > (sums["load"] or 0) / max_hot_keys
     name = [F.xxhash64(*on).alias("_h1"), F.xxhash64(F.lit(1), *on).alias("_h2")]
     others = [c for c in table.columns if c not in on]
     hot = F.broadcast(table.filter(is_hot).select(*name, *others))  # max_hot_keys rows at most
     named = rows.select(*on, *(c for c in rows.columns if c not in on), *name)
     hot_rows = named.join(hot, ["_h1", "_h2"]).drop("_h1", "_h2")
+    if few:
+        return hot_rows.drop("_load")
     keys = hot.select("_h1", "_h2")
     cold_rows = named.join(F.broadcast(keys), ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
     joined = hot_rows.unionByName(cold_rows.join(table.filter(~is_hot), on))

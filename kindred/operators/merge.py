@@ -103,13 +103,14 @@ def similarity_to_medoid(merged: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     labelled = merged.select(*KEY, "label", "doc_id", "is_medoid")
     terms = stage(long_form(vectors).join(labelled, [*KEY, "doc_id"]), "member-terms")
+    name = "term_id" if "term_id" in terms.columns else "term"
     size = labelled.groupBy(*KEY, "label").agg(F.count("*").alias("n_members"))
     heads = (
         terms.filter("is_medoid")
-        .select(*KEY, "label", "term", F.col("weight").alias("medoid_weight"))
+        .select(*KEY, "label", name, F.col("weight").alias("medoid_weight"))
         .join(size, [*KEY, "label"])
     )
-    shared = lookup(terms, stage(heads, "medoid-terms"), [*KEY, "label", "term"], "n_members")
+    shared = lookup(terms, stage(heads, "medoid-terms"), [*KEY, "label", name], "n_members")
     sums = shared.groupBy(*KEY, "label", "doc_id").agg(
         F.sum(F.col("weight") * F.col("medoid_weight")).alias("s")
     )

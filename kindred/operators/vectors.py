@@ -82,27 +82,23 @@ def tfidf_weights(term_freq: DataFrame, terms: DataFrame) -> DataFrame:
     """Weight of each dictionary term in each document, long form; with numbers if terms have them."""
     rows = lookup(term_freq.drop("leads"), terms, [*KEY, "term"], "df")
     weight = weights.tfidf(F.col("tf"), F.col("df"), F.col("n_docs"))
-    return rows.select(*KEY, "doc_id", *_names(terms), weight.alias("weight"))
-
-
-def _names(rows: DataFrame) -> list[str]:
-    return ["term", *(["term_id"] if "term_id" in rows.columns else [])]
+    names = ["term", *(["term_id"] if "term_id" in terms.columns else [])]
+    return rows.select(*KEY, "doc_id", *names, weight.alias("weight"))
 
 
 def vectors(weighted: DataFrame) -> DataFrame:
-    """One row per document: its terms, their numbers if there are any, and log-normalised weights.
+    """One row per document: the numbers of its terms, rising, and log-normalised weights.
 
     The arrays hold one document's distinct dictionary terms.
     """
-    names = _names(weighted)
     docs = weighted.groupBy(*KEY, "doc_id").agg(
-        F.collect_list(F.struct(*names, "weight")).alias("entries"),
+        F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("entries"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
     )
     return docs.select(
         *KEY,
         "doc_id",
-        *(F.col(f"entries.{name}").alias(f"{name}s") for name in names),
+        F.col("entries.term_id").alias("term_ids"),
         F.transform(
             "entries", lambda e: weights.log_normalize(e["weight"], F.col("norm"))
         ).alias("weights"),
@@ -110,13 +106,18 @@ def vectors(weighted: DataFrame) -> DataFrame:
 
 
 def long_form(docs: DataFrame) -> DataFrame:
-    """Vectors as one row per document and term."""
-    entry = F.explode(F.arrays_zip("terms", "weights")).alias("entry")
-    return docs.select(*KEY, "doc_id", entry).select(
-        *KEY, "doc_id", F.col("entry.terms").alias("term"), F.col("entry.weights").alias("weight")
+    """Vectors as one row per document and term; ``term_id`` if terms are numbered, else ``term``."""
+    name = "term_id" if "term_ids" in docs.columns else "term"
+    return docs.select(
+        *KEY, "doc_id", F.inline(F.arrays_zip(F.col(f"{name}s").alias(name), F.col("weights").alias("weight")))
     )
 
 
+def spelled(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with the ``term`` of each ``term_id``; ``terms`` is the dictionary that numbered them."""
+    return lookup(rows, terms.select(*KEY, "term_id", "term", "df"), [*KEY, "term_id"], "df").drop("df")
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """``docs`` with the numbers of their terms in place of the terms.
 

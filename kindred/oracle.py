@@ -398,6 +398,9 @@ SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
     "tfidf_normalized": with_ctes(
         vector_ctes(), f"SELECT {KEYS}, doc_id, term, round(w, 6) AS weight FROM vec"
     ),
+    "vectors_exported": with_ctes(
+        vector_ctes(), f"SELECT {KEYS}, doc_id, term, round(w, 6) AS weight FROM vec"
+    ),
     "eligible_docs": one_pass(f"SELECT {KEYS}, doc_id, CAST(n_terms AS INT) AS n_terms FROM p_elig", upto="elig"),
     "doc_blocks": one_pass(
         f"SELECT {KEYS}, doc_id, block_id, pos, block_docs FROM p_blk", SMALL_BLOCKS, "blk"

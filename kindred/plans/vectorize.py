@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions import text
 from kindred.operators import vectors
 from kindred.params import Params
+from kindred.schema import KEY
 from kindred.staging import stage
 
 
@@ -31,11 +35,41 @@ def vectorize(
     term_freq = stage(counts, "tf-vectors", run_dir)
     terms = stage(vectors.number_terms(vectors.dictionary(term_freq, params)), "dictionary", run_dir)
     weighted = vectors.tfidf_weights(term_freq, terms)
-    return Vectorized(
-        term_freq, terms, stage(vectors.vectors(weighted), "tfidf-vectors", run_dir)
-    )
+    made = stage(pack(vectors.vectors(weighted), terms), "tfidf-vectors", run_dir)
+    return Vectorized(term_freq, terms, unpack(made))
+
+
+def pack(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``docs`` with ``vector``, laid out as a sparse vector, in place of numbers and weights.
+
+    Its size is that of the largest dictionary among the collections of ``terms``.
+    """
+    size = 1 + (terms.agg(F.max("term_id")).first()[0] or 0)
+    entries = [F.col("term_ids").alias("indices"), F.col("weights").alias("values")]
+    layout = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), *entries)
+    return docs.select(*KEY, "doc_id", layout.alias("vector"))
+
+
+def unpack(docs: DataFrame) -> DataFrame:
+    """``term_ids`` and ``weights`` of ``docs (…, vector)``, whichever way the column was read."""
+    vector = F.col("vector")
+    if isinstance(docs.schema["vector"].dataType, VectorUDT):
+        vector = F.unwrap_udt(vector)
+    return docs.select(*KEY, "doc_id", vector["indices"].alias("term_ids"), vector["values"].alias("weights"))
 
 
 def read_vectors(spark: SparkSession, run_dir: str) -> DataFrame:
-    """Vectors that an earlier run has left."""
-    return spark.read.parquet(f"{run_dir}/tfidf-vectors")
+    """``namespace, collection_key, doc_id, vector`` that an earlier run has left.
+
+    Vectors are stored in the layout of Spark's own sparse vectors and read as such, so
+    that its learning algorithms take them as they are. ``read_dictionary`` tells the terms.
+    """
+    path = f"{run_dir}/tfidf-vectors"
+    stored = spark.read.parquet(path).schema
+    fields = [T.StructField("vector", VectorUDT()) if f.name == "vector" else f for f in stored]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def read_dictionary(spark: SparkSession, run_dir: str) -> DataFrame:
+    """The terms of an earlier run with their numbers and counts."""
+    return spark.read.parquet(f"{run_dir}/dictionary")

@@ -21,7 +21,7 @@ from kindred.plans.textcluster import (
     run_pass,
     textcluster,
 )
-from kindred.plans.vectorize import Vectorized, vectorize
+from kindred.plans.vectorize import Vectorized, read_dictionary, read_vectors, unpack, vectorize
 from kindred.schema import KEY, OPINION_FIELDS
 from kindred.sources.opinions import conform, read_opinions, rejects
 from kindred.sources.store import Load, Store
@@ -448,13 +448,23 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors.long_form(_vectorized(spark, sf).vectors)
-    return rows.withColumn("weight", F.round("weight", 6))
+    made = _vectorized(spark, sf)
+    rows = vectors.spelled(vectors.long_form(made.vectors), made.dictionary)
+    return rows.select(*KEY, "doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def vectors_exported(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run has left, read as sparse vectors and taken apart."""
+    run_dir = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    vectorize(documents(spark, sf), ONE_BLOCK, run_dir)
+    found = read_vectors(spark, run_dir)
+    rows = vectors.spelled(vectors.long_form(unpack(found)), read_dictionary(spark, run_dir))
+    return rows.select(*KEY, "doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def eligible_docs(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.eligible(_vectorized(spark, sf).vectors).select(
-        *KEY, "doc_id", F.size("terms").alias("n_terms")
+        *KEY, "doc_id", F.size("term_ids").alias("n_terms")
     )
 
 
@@ -693,6 +703,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tfidf_weights,
         tfidf_clamped,
         tfidf_normalized,
+        vectors_exported,
         eligible_docs,
         doc_blocks,
         similar_pairs,

@@ -4,6 +4,7 @@ import models
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from kindred.functions import tiles
@@ -11,6 +12,7 @@ from kindred.operators import forest, similarity, vectors
 from kindred.params import Params, to_nano
 from kindred.plans.rebuild import rebuild, rebuild_all
 from kindred.plans.textcluster import textcluster
+from kindred.plans.vectorize import read_vectors, unpack
 
 VECTORS = "namespace string, collection_key string, doc_id long, terms array<string>, weights array<double>"
 
@@ -272,9 +274,9 @@ def test_rebuild_and_rebuild_all(spark, store):
     assert active_stamps(store) == {**stamps, "en": 40}
     current = store.active_clusters()
     assert current.count() == current.select("collection_key", "doc_id").distinct().count()
-    assert vectors.long_form(
-        spark.read.parquet(f"{store.root}/runs/40/all/vectorize/tfidf-vectors")
-    ).count()
+    left = read_vectors(spark, f"{store.root}/runs/40/all/vectorize")
+    assert left.schema["vector"].dataType == VectorUDT()
+    assert vectors.long_form(unpack(left)).count() == sum(r["vector"].numNonzeros() for r in left.collect()) > 0
 
 
 def active_stamps(store):

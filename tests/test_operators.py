@@ -67,7 +67,7 @@ def test_vectorize_small_corpus(spark):
     result = vectorize(docs, params)
     terms = {r["term"]: (r["cf"], r["df"], r["n_docs"]) for r in result.dictionary.collect()}
     assert terms == {"red": (3, 2, 3), "blue": (2, 2, 3), "green": (3, 2, 3)}
-    got = {(r["doc_id"], r["term"]): r["weight"] for r in vectors.long_form(result.vectors).collect()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in vectors.spelled(vectors.long_form(result.vectors), result.dictionary).collect()}
     idf = 1 + log(3 / 3)
     red, blue = sqrt(2) * idf, idf
     norm = sqrt(red**2 + blue**2)
