@@ -52,8 +52,6 @@ def import_opinions(
         touched = sizes.select(*KEY)
         now = store.documents(touched).groupBy(*KEY).agg(F.count("*").alias("size"))
         sizes = now
-    modified = load.ms if modified_ms is None else modified_ms
-    store.upsert_collections(sizes.withColumn("modified_ms", F.lit(modified)), load, replace)
     totals = written.agg(F.sum("copies").alias("docs"), F.count_distinct(*KEY).alias("keys")).first()
     docs = totals["docs"] or 0
     blank = ~F.coalesce(imports.has_text(), F.lit(False))
@@ -65,4 +63,7 @@ def import_opinions(
         "collections_created": totals["keys"],
     }
     store.record_counters(load, counters)
+    # last: a load whose collections are stored is complete
+    modified = load.ms if modified_ms is None else modified_ms
+    store.upsert_collections(sizes.withColumn("modified_ms", F.lit(modified)), load, replace)
     return counters

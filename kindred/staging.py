@@ -59,3 +59,19 @@ def stage(df: DataFrame, name: str, run_dir: str | None = None) -> DataFrame:
         path = f"{run_dir}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, which is ``df`` if none was there yet.
+
+    What a write left that did not come to its end is no table: it is written again.
+    """
+    if not is_finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from kindred.schema import KEY
 from kindred.sources.opinions import conform, rejects
 from kindred.sources.store import Load, Store
 from kindred.sources.tsv import read_escaped_tsv
-from kindred.staging import stage, temporary
+from kindred.staging import stage, temporary, write_once
 
 
 def _now_ms() -> int:
@@ -29,17 +29,15 @@ def _trigger(every: str | None) -> dict[str, str | bool]:
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """A name kept in the checkpoint: a stream that lost it is another stream."""
     path = f"{checkpoint.rstrip('/')}/stream-id"
-    spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.mode("ignore").parquet(path)
-    return spark.read.schema("id string").parquet(path).first()["id"]
+    return write_once(spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1), path).first()["id"]
 
 
 def _load_of(store: Store, stream: str, batch_id: int, now_ms: int | None) -> Load:
     """The batch's load, with the time of its first attempt."""
     path = f"{store.root}/load_times/{stream}.{batch_id}"
     now = _now_ms() if now_ms is None else now_ms
-    store.spark.range(1).select(F.lit(now).cast("bigint").alias("ms")).write.mode("ignore").parquet(path)
-    first = store.spark.read.schema("ms bigint").parquet(path).first()["ms"]
-    return Load(first, batch_id, f"{stream}.{batch_id}")
+    first = write_once(store.spark.range(1).select(F.lit(now).cast("bigint").alias("ms")), path).first()
+    return Load(first["ms"], batch_id, f"{stream}.{batch_id}")
 
 
 def import_stream(

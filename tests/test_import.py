@@ -1,3 +1,6 @@
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from kindred.functions.keys import collection_key, document_row_key
 from kindred.operators import imports
 from kindred.plans.importing import import_opinions
 from kindred.schema import OPINION_FIELDS
-from kindred.sources.store import Load
+from kindred.sources.store import Load, Store
 from kindred.sources.tsv import write_escaped_tsv
 from kindred.streaming.imports import import_stream, import_tsv_stream
 
@@ -222,3 +225,48 @@ def test_a_lost_checkpoint_is_another_stream(spark, opinions, store, tmp_path):
         import_stream(stream, store, "ns", ["$PRODUCT"], str(tmp_path / name), 100).awaitTermination()
     assert len(store._list(f"{store.root}/documents")) == 2
     assert store.counters().count() == 2
+
+
+def test_a_stream_goes_on_after_a_crash(spark, opinions, store, tmp_path):
+    """Folders that a crash left without their rows, and collections without their counters' turn."""
+    source, progress = str(tmp_path / "in"), str(tmp_path / "progress")
+    opinions.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(opinions.schema).parquet(source)
+
+    def half_written(path):
+        os.makedirs(path)
+        open(f"{path}/.part-00000.crc", "w").close()
+
+    half_written(f"{progress}/stream-id")
+    import_stream(stream, store, "n", ["$LOCALE"], progress, now_ms=7).awaitTermination()
+    counted = store.counters().collect()
+    assert len(counted) == 1
+    batch = next(p for p in os.listdir(f"{store.root}/load_times") if p.endswith(".0"))
+
+    # the same batch again: begun, neither its time nor its collections were finished
+    shutil.rmtree(f"{store.root}/load_times/{batch}")
+    half_written(f"{store.root}/load_times/{batch}")
+    folder = next(p for p in os.listdir(f"{store.root}/collections") if p.startswith("load="))
+    os.remove(f"{store.root}/collections/{folder}/_SUCCESS")
+    before = store.documents().count()
+    shutil.rmtree(f"{progress}/commits")
+    import_stream(stream, store, "n", ["$LOCALE"], progress, now_ms=7).awaitTermination()
+    assert store.documents().count() == before
+    assert store.counters().collect() == counted
+    assert store.collections().agg({"size": "sum"}).first()[0] == counted[0]["docs_created"]
+
+
+def test_counters_come_before_collections(opinions, store, monkeypatch):
+    """A crash at the collections leaves a load that is not finished, with counters."""
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    load = Load(5, 0, "a")
+    with monkeypatch.context() as patch:
+        patch.setattr(Store, "upsert_collections", crash)
+        with pytest.raises(RuntimeError):
+            import_opinions(opinions, store, "n", ["$LOCALE"], load)
+    assert not store.finished("collections", load) and store.counters().count() == 1
+    found = import_opinions(opinions, store, "n", ["$LOCALE"], load, replace=True)
+    assert [r["docs_created"] for r in store.counters().collect()] == [found["docs_created"]]
