@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred.functions.text import STOP_WORDS
 from kindred.operators.histogram import LOG_BOUNDS
 from kindred.params import Params, to_nano
-from kindred.queries import CLAMPED, CUSTOM, CUT, LINEAR, NOW_MS, ONE_BLOCK, PRIOR, SMALL_BLOCKS
+from kindred.queries import CLAMPED, CUSTOM, CUT, LINEAR, NOW_MS, ONE_BLOCK, PHRASES, PRIOR, SMALL_BLOCKS
 
 KEYS = "namespace, collection_key"
 DOCS = "SELECT 'demo' AS namespace, lang AS collection_key, doc_id, text FROM documents"
@@ -106,6 +106,45 @@ FROM weighted JOIN norms USING ({KEYS}, doc_id)""",
     }
 
 
+def entropy_sql(*counts: str) -> str:
+    each = " - ".join(f"CASE WHEN {n} > 0 THEN CAST({n} AS DOUBLE) * ln(CAST({n} AS DOUBLE)) ELSE 0 END" for n in counts)
+    total = f"({' + '.join(counts)})"
+    return f"(CASE WHEN {total} > 0 THEN CAST({total} AS DOUBLE) * ln(CAST({total} AS DOUBLE)) ELSE 0 END - {each})"
+
+
+def ratio_sql(both: str, first: str, second: str, neither: str) -> str:
+    rows = entropy_sql(f"({both} + {first})", f"({second} + {neither})")
+    columns = entropy_sql(f"({both} + {second})", f"({first} + {neither})")
+    return f"greatest(2.0 * ({rows} + {columns} - {entropy_sql(both, first, second, neither)}), 0.0)"
+
+
+def gram_ctes(params: Params = PHRASES) -> dict[str, str]:
+    """CTEs of term counts, with n-grams among them."""
+    ctes = vector_ctes(params)
+    head = {n: ctes[n] for n in ("docs", "terms", "tok")}
+    runs = " UNION ALL ".join(
+        f"SELECT {KEYS}, doc_id, CAST({n} AS INT) AS n, array_to_string(found[i : i + {n - 2}], ' ') AS head, found[i + {n - 1}] AS tail "
+        f"FROM (SELECT *, unnest(range(1, len(found) - {n - 2})) AS i FROM terms)"
+        for n in range(2, params.max_ngram + 1)
+    )
+    of = f"PARTITION BY {KEYS}, n"
+    head["runs"] = runs
+    head["counted"] = f"""
+SELECT {KEYS}, n, head, tail, count(*) AS c FROM runs GROUP BY ALL"""
+    head["margins"] = f"""
+SELECT *, CAST(sum(c) OVER ({of}, head) AS BIGINT) AS h, CAST(sum(c) OVER ({of}, tail) AS BIGINT) AS t,
+       CAST(sum(c) OVER ({of}) AS BIGINT) AS every FROM counted"""
+    head["judged"] = f"""
+SELECT {KEYS}, n, head, tail, c, {ratio_sql('c', '(h - c)', '(t - c)', '(every - h - t + c)')} AS llr
+FROM margins WHERE c >= {params.min_support}"""
+    head["kept"] = f"SELECT * FROM judged WHERE llr >= {params.min_llr}"
+    head["tf"] = f"""
+{ctes['tf']} UNION ALL
+SELECT {KEYS}, doc_id, head || ' ' || tail AS term, count(*) AS tf FROM runs JOIN kept USING ({KEYS}, n, head, tail)
+GROUP BY ALL"""
+    return {**head, **{n: ctes[n] for n in ("sizes", "dict")}}
+
+
 # Cluster
 
 
@@ -242,6 +281,18 @@ FROM joined {keep}"""
     return two_passes(query, params, ctes | (more or {}))
 
 
+def metrics_sql(p: str, name: str, params: Params = SMALL_BLOCKS) -> str:
+    at = to_nano(params.reassign_similarity)
+    block = f"{KEYS}, block_id"
+    return f"""
+SELECT '{name}' AS pass, (SELECT count(*) FROM {p}scored) AS documents,
+  (SELECT count(*) FROM {p}scored WHERE centricity_nano IS NOT NULL) AS used,
+  (SELECT count(*) FROM (SELECT {block}, pos FROM {p}edges INTERSECT SELECT {block}, parent_pos FROM {p}edges)) AS splices,
+  (SELECT CAST(coalesce(sum((n > 1 AND sim_nano >= {at} AND sim_nano >= top)::BIGINT), 0) AS BIGINT) FROM (
+    SELECT sim_nano, row_number() OVER w AS n, max(sim_nano) OVER w AS top FROM {p}pairs
+    WINDOW w AS (PARTITION BY {block}, b ORDER BY a))) AS reassigned"""
+
+
 LIST_ORDER = "pass, block_id, medoid_centricity, medoid_pos DESC"
 
 
@@ -326,12 +377,26 @@ FROM ({OPINIONS})""",
     "collection_sizes": SIZES,
     "streamed_collections": SIZES,
     "running_collection_sizes": f"SELECT {KEYS}, size FROM ({SIZES})",
+    "running_distinct_sizes": f"""
+SELECT {KEYS}, count(DISTINCT doc_id) AS size FROM (
+  SELECT {KEYS}, doc_id FROM ({FAN_OUT})
+  UNION ALL
+  SELECT 'demo', unnest([locale, product || ':' || locale, type || '-' || locale]), id FROM ({OPINIONS}))
+GROUP BY ALL""",
     "import_counters": f"""
 SELECT count(*) FILTER (length(text) > 0) AS rows_used,
        count(*) FILTER (length(text) = 0) AS rows_discarded,
        3 * count(*) FILTER (length(text) > 0) AS docs_created,
        (SELECT count(DISTINCT collection_key) FROM ({FAN_OUT})) AS collections_created
 FROM ({OPINIONS})""",
+    "import_counters_of_files": f"""
+SELECT count(*) FILTER (length(text) > 0) AS rows_used,
+       count(*) FILTER (length(text) = 0) AS rows_discarded,
+       2 * count(*) AS rows_rejected,
+       3 * count(*) FILTER (length(text) > 0) AS docs_created,
+       (SELECT count(DISTINCT collection_key) FROM ({FAN_OUT})) AS collections_created
+FROM ({OPINIONS})""",
+    "export_counter": "SELECT count(*) AS exported FROM documents",
     "latest_documents": """
 SELECT 'demo' AS namespace, 'chat' AS collection_key, conv_id AS doc_id,
        arg_max(text, turn) AS text, count(*) AS copies FROM conversations GROUP BY conv_id""",
@@ -387,6 +452,11 @@ SELECT DISTINCT {KEYS}, 'runs/{NOW_MS}/' || left(md5(namespace), 8) || '_' ||
        left(md5(collection_key), 8) || '/vectorize' AS path FROM ({FAN_OUT})""",
     "tokens": with_ctes(vector_ctes(), f"SELECT {KEYS}, doc_id, CAST(place AS INT) AS place, term FROM tok"),
     "term_freq": with_ctes(vector_ctes(), "SELECT * FROM tf"),
+    "collocations": with_ctes(
+        gram_ctes(), f"SELECT {KEYS}, n, head, tail, c AS count, round(llr, 4) AS llr FROM kept"
+    ),
+    "term_freq_bigrams": with_ctes(gram_ctes(), "SELECT * FROM tf"),
+    "dictionary_with_phrases": with_ctes(gram_ctes(), "SELECT * FROM dict"),
     "dictionary_clamped": with_ctes(vector_ctes(CLAMPED), "SELECT * FROM dict"),
     "tfidf_clamped": with_ctes(
         vector_ctes(CLAMPED), f"SELECT {KEYS}, doc_id, term, round(weight, 6) AS weight FROM weighted"
@@ -494,6 +564,23 @@ SELECT {KEYS}, label, doc_id, is_medoid, term, w FROM merged JOIN vec USING ({KE
             "of_medoids": f"SELECT {KEYS}, label, term, w FROM of_members WHERE is_medoid",
         },
     ),
+    "rebuild_metrics": merged(
+        " UNION ALL ".join(metrics_sql(p, n) for p, n in (("b_", "blocks"), ("r_", "rest"), ("m_", "medoids")))
+    ),
+    "cluster_labels": merged(
+        f"""
+SELECT {KEYS}, label, term, score, CAST(rank AS INT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY {KEYS}, label ORDER BY score DESC, term) AS rank FROM (
+    SELECT {KEYS}, label, term, round({ratio_sql('k', '(size - k)', '(df - k)', '(n_docs - size - df + k)')}, 6) AS score
+    FROM of_clusters JOIN dict USING ({KEYS}, term) WHERE k * n_docs > df * size))
+WHERE rank <= 5""",
+        more={
+            "of_clusters": f"""
+SELECT {KEYS}, label, term, count(*) AS k, any_value(size) AS size
+FROM (SELECT *, count(*) OVER (PARTITION BY {KEYS}, label) AS size FROM merged) JOIN vec USING ({KEYS}, doc_id)
+GROUP BY {KEYS}, label, term"""
+        },
+    ),
     "merged_clusters": merged("SELECT * FROM merged"),
     "merged_only": merged(
         "SELECT * FROM merged", Params(block_size=SMALL_BLOCKS.block_size, drop_unmerged=True)

@@ -24,6 +24,8 @@ class Params:
     min_df: int = 10  # documents a term needs
     max_df_percent: float = 95.0  # terms in more documents than this are dropped
     min_df_mode: str = "drop"  # or "clamp": raise a lower df to min_df
+    max_ngram: int = 1  # terms in a row that may count as one
+    min_llr: float = 1.0  # log-likelihood ratio such a run needs
     min_terms: int = 2  # terms a document needs to be clustered
     block_size: int = 40_000  # documents compared with each other
     min_similarity: float = 0.08  # a pair counts from here on
@@ -35,6 +37,8 @@ class Params:
     def __post_init__(self) -> None:
         if self.min_df_mode not in ("drop", "clamp"):
             raise ValueError(f"unknown min_df_mode: {self.min_df_mode}")
+        if self.max_ngram < 1:
+            raise ValueError("max_ngram must be positive")
         if not 2 <= self.block_size <= MAX_BLOCK_SIZE:
             raise ValueError(f"block_size must be within 2 and {MAX_BLOCK_SIZE}")
         if not 1 <= self.tile_docs <= 16_384:

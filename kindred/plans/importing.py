@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators import imports
 from kindred.schema import KEY
+from kindred.sources.opinions import conform, rejects
 from kindred.sources.store import Load, Store, as_load
+from kindred.sources.tsv import read_escaped_tsv
+from kindred.staging import stage, temporary
 
 SIZE_MODES = ("import", "running", "distinct")
 
@@ -67,3 +70,26 @@ def import_opinions(
     modified = load.ms if modified_ms is None else modified_ms
     store.upsert_collections(sizes.withColumn("modified_ms", F.lit(modified)), load, replace)
     return counters
+
+
+def import_files(
+    spark: SparkSession,
+    paths: str | list[str],
+    store: Store,
+    namespace: str,
+    patterns: list[str],
+    load: Load | int,
+    size: str = "import",
+    replace: bool = False,
+) -> dict[str, int]:
+    """Import escaped TSV files: ``import_opinions`` of the records with as many fields as an opinion has.
+
+    The files are decoded once; records with more or fewer fields are counted as
+    ``rows_rejected``. Of several records of a document the last one counts, by file and place.
+    """
+    with temporary(spark):
+        records = stage(read_escaped_tsv(spark, paths), "records")
+        return import_opinions(
+            conform(records), store, namespace, patterns, load,
+            order=F.struct("file", "start"), size=size, rejected=rejects(records), replace=replace,
+        )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +19,12 @@ from kindred.staging import stage, temporary
 
 @dataclass(frozen=True)
 class Rebuilt:
-    """Documents exported and the number of members in clusters of each size class
-    (``histogram.LOG_BOUNDS``)."""
+    """Documents exported, the number of members in clusters of each size class
+    (``histogram.LOG_BOUNDS``) and, if asked for, ``textcluster.pass_metrics`` by pass."""
 
     exported: int
     size_counts: list[int]
+    metrics: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def export_documents(documents: DataFrame, path: str) -> int:
@@ -34,7 +35,7 @@ def export_documents(documents: DataFrame, path: str) -> int:
 
 
 def _rebuild(
-    store: Store, documents: DataFrame, collections: DataFrame, ts: int, run: str, params: Params
+    store: Store, documents: DataFrame, collections: DataFrame, ts: int, run: str, params: Params, metrics: bool
 ) -> Rebuilt:
     run_dir = f"{store.root}/runs/{ts}/{run}"
     export = f"{run_dir}/export_documents"
@@ -42,9 +43,12 @@ def _rebuild(
     texts = store.spark.read.schema(documents.schema).parquet(export)
     with temporary(store.spark):
         vectors = vectorize(texts, params, f"{run_dir}/vectorize").vectors
-        store.write_clusters(textcluster(vectors, params).merged, ts, run)
+        done = textcluster(vectors, params)
+        store.write_clusters(done.merged, ts, run)
+        rows = done.metrics(params).collect() if metrics else []  # one a pass
     store.activate_rebuild(collections, ts, run)
-    return Rebuilt(exported, _size_counts(store, ts, run))
+    told = {r["pass"]: {k: v for k, v in r.asDict().items() if k != "pass"} for r in rows}
+    return Rebuilt(exported, _size_counts(store, ts, run), told)
 
 
 def _size_counts(store: Store, ts: int, run: str) -> list[int]:
@@ -55,7 +59,7 @@ def _size_counts(store: Store, ts: int, run: str) -> list[int]:
 
 
 def rebuild(
-    store: Store, namespace: str, collection_key: str, ts: int, params: Params = Params()
+    store: Store, namespace: str, collection_key: str, ts: int, params: Params = Params(), metrics: bool = False
 ) -> Rebuilt:
     """Rebuild one collection. A step that fails ends it before the activation."""
     name = store.spark.range(1).select(
@@ -63,10 +67,11 @@ def rebuild(
     )
     run = name.select(keys.run_id(*[F.col(k) for k in KEY])).first()[0]
     documents = store.scan_documents(namespace, collection_key)
-    return _rebuild(store, documents, name, ts, run, params)
+    return _rebuild(store, documents, name, ts, run, params, metrics)
 
 
-def rebuild_all(store: Store, ts: int, params: Params = Params()) -> Rebuilt:
+def rebuild_all(store: Store, ts: int, params: Params = Params(), metrics: bool = False) -> Rebuilt:
     """Rebuild every stale collection, all in one plan."""
     stale = stage(imports.stale(store.collections()).select(*KEY), "stale")
-    return _rebuild(store, store.documents(stale).select(*KEY, "doc_id", "text"), stale, ts, "all", params)
+    documents = store.documents(stale).select(*KEY, "doc_id", "text")
+    return _rebuild(store, documents, stale, ts, "all", params, metrics)

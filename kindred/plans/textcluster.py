@@ -37,6 +37,22 @@ def run_pass(vectors: DataFrame, order: str, params: Params) -> Pass:
     return Pass(blocked, forest.cluster_pass(scored))
 
 
+def pass_metrics(done: Pass, name: str, params: Params) -> DataFrame:
+    """``pass, documents, used, splices, reassigned``: one row.
+
+    Documents compared, those with a similar partner, how often a cluster joined
+    another one, and how often a later leader took over. The last takes the scoring of
+    all tiles once more; nothing of it grows beyond a row per document and tile.
+    """
+    used = F.col("centricity_nano").isNotNull()
+    counts = done.assigned.agg(
+        F.count("*").alias("documents"), F.count_if(used).alias("used"),
+        F.count_if(F.col("is_inner")).alias("splices"),
+    )
+    moved = similarity.reassignments(done.blocked, params).agg(F.coalesce(F.sum("reassigned"), F.lit(0)).alias("reassigned"))
+    return counts.select(F.lit(name).alias("pass"), "*").crossJoin(moved)
+
+
 @dataclass(frozen=True)
 class Clustering:
     blocks: Pass
@@ -45,6 +61,12 @@ class Clustering:
     meta: Pass
     merged: DataFrame
 
+    def metrics(self, params: Params) -> DataFrame:
+        """``pass_metrics`` of the three passes; ``params`` are those of the clustering."""
+        named = {"blocks": self.blocks, "rest": self.rest, "medoids": self.meta}
+        rows = [pass_metrics(done, name, params) for name, done in named.items()]
+        return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
 
 def block_and_rest(vectors: DataFrame, params: Params = Params()) -> tuple[Pass, Pass]:
     """Cluster each block, then together all documents that found no partner."""

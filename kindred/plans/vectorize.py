@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions import text
-from kindred.operators import vectors
+from kindred.operators import collocations, vectors
 from kindred.params import Params
 from kindred.schema import KEY
 from kindred.staging import stage
@@ -30,8 +30,14 @@ def vectorize(
     analyzer: vectors.Analyzer = text.words,
     stop_words: tuple[str, ...] = text.STOP_WORDS,
 ) -> Vectorized:
-    """Term frequencies, dictionary and TF-IDF vectors, each a stored table."""
+    """Term frequencies, dictionary and TF-IDF vectors, each a stored table.
+
+    With ``Params.max_ngram`` above 1 collocations are terms as well.
+    """
     counts = vectors.term_frequency(docs, analyzer, stop_words)
+    if params.max_ngram > 1:
+        grams = stage(collocations.gram_frequency(docs, params.max_ngram, analyzer, stop_words), "gram-frequency")
+        counts = collocations.with_collocations(counts, grams, params)
     term_freq = stage(counts, "tf-vectors", run_dir)
     terms = stage(vectors.number_terms(vectors.dictionary(term_freq, params)), "dictionary", run_dir)
     weighted = vectors.tfidf_weights(term_freq, terms)

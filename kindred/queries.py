@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import keys
+from kindred.operators import collocations as grams
 from kindred.operators import forest, histogram, imports, merge, similarity, vectors
 from kindred.operators.joins import lookup
 from kindred.params import Params
-from kindred.plans.importing import import_opinions
+from kindred.plans.importing import import_files, import_opinions
 from kindred.plans.rebuild import export_documents, rebuild, rebuild_all
 from kindred.plans.textcluster import (
     Clustering,
@@ -27,7 +28,13 @@ from kindred.sources.opinions import conform, read_opinions, rejects
 from kindred.sources.store import Load, Store
 from kindred.sources.tsv import write_escaped_tsv
 from kindred.staging import shared_dir, stage
-from kindred.streaming.imports import import_stream, import_tsv_stream, running_sizes
+from kindred.streaming.imports import (
+    distinct_size_stream,
+    distinct_sizes,
+    import_stream,
+    import_tsv_stream,
+    running_sizes,
+)
 
 NAMESPACE = "demo"
 PATTERNS = ["$LOCALE", "$PRODUCT:$LOCALE", "$TYPE-$LOCALE"]
@@ -246,6 +253,22 @@ def running_collection_sizes(spark: SparkSession, sf: str) -> DataFrame:
 # Store
 
 
+def running_distinct_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """All opinions twice in a first run of a stream, half of them once more after a restart."""
+    folder = f"{shared_dir(spark)}/distinct-{uuid.uuid4().hex}"
+    rows = opinions(spark, sf)
+    again = rows.filter("crc32(CAST(id AS BINARY)) % 2 = 0").withColumn("text", F.concat("text", F.lit(".")))
+    schema = ", ".join(f"{f} string" for f in OPINION_FIELDS)
+    for number, more in enumerate(([rows, rows], [again])):
+        for i, part in enumerate(more):
+            part.repartition(2).write.parquet(f"{folder}/in/part={number}{i}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in/*")
+        distinct_size_stream(
+            stream, NAMESPACE, PATTERNS, f"{folder}/sizes", f"{folder}/progress"
+        ).awaitTermination()
+    return distinct_sizes(spark, f"{folder}/sizes")
+
+
 def scan_collection(spark: SparkSession, sf: str) -> DataFrame:
     store = new_store(spark)
     store.upsert_documents(documents(spark, sf), NOW_MS)
@@ -311,15 +334,34 @@ def stream_after_batch(spark: SparkSession, sf: str) -> DataFrame:
     return with_sizes(store)
 
 
+def export_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """What an export of each collection's table counts."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    n = export_documents(documents(spark, sf), path)
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("exported"))
+
+
+def _files_of_all_lengths(spark: SparkSession, sf: str, folder: str) -> None:
+    """Opinions as records of 11 fields, and the same with 10 and with 12."""
+    bare = opinions(spark, sf).select(*OPINION_FIELDS)
+    write_escaped_tsv(bare, f"{folder}/whole")
+    write_escaped_tsv(bare.drop("url"), f"{folder}/short")
+    write_escaped_tsv(bare.withColumn("more", F.xxhash64("id").cast("string")), f"{folder}/long")
+
+
+def import_counters_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters that an import of files has stored."""
+    store = new_store(spark)
+    _files_of_all_lengths(spark, sf, f"{store.root}/incoming")
+    folders = [f"{store.root}/incoming/{name}" for name in ("whole", "short", "long")]
+    import_files(spark, folders, store, NAMESPACE, PATTERNS, NOW_MS)
+    return store.counters().drop("load")
+
+
 def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of a continuous import of escaped files with records of 10, 11 and 12 fields."""
     store = new_store(spark)
-    rows = opinions(spark, sf)
-    n = F.xxhash64("id")
-    bare = rows.select(*OPINION_FIELDS)
-    write_escaped_tsv(bare, f"{store.root}/incoming/whole")
-    write_escaped_tsv(bare.drop("url"), f"{store.root}/incoming/short")
-    write_escaped_tsv(bare.withColumn("more", n.cast("string")), f"{store.root}/incoming/long")
+    _files_of_all_lengths(spark, sf, f"{store.root}/incoming")
     import_tsv_stream(
         f"{store.root}/incoming/*", store, NAMESPACE, PATTERNS, f"{store.root}/progress", now_ms=NOW_MS
     ).awaitTermination()
@@ -468,6 +510,29 @@ def eligible_docs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+PHRASES = Params(max_ngram=3, min_support=3, min_df=2, min_llr=20.0)
+
+
+def _grams(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(grams.gram_frequency(documents(spark, sf), PHRASES.max_ngram), "gram-frequency")
+
+
+def collocations(spark: SparkSession, sf: str) -> DataFrame:
+    found = grams.collocations(_grams(spark, sf), PHRASES)
+    return found.select(*KEY, "n", "head", "tail", "count", F.round("llr", 4).alias("llr"))
+
+
+def term_freq_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of terms and of runs of two and three that go together."""
+    counts = vectors.term_frequency(documents(spark, sf))
+    return grams.with_collocations(counts, _grams(spark, sf), PHRASES).drop("leads")
+
+
+def dictionary_with_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    found = _vectorized(spark, sf, PHRASES).dictionary
+    return found.select(*KEY, "term", "cf", "df", "n_docs")
+
+
 # Cluster
 
 
@@ -619,6 +684,18 @@ def medoid_similarities(spark: SparkSession, sf: str) -> DataFrame:
     return merge.similarity_to_medoid(merged, vecs)
 
 
+def rebuild_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the passes of a clustering counted."""
+    return _clustering(spark, sf).metrics(SMALL_BLOCKS)
+
+
+def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms that tell merged clusters from all else."""
+    made = _vectorized(spark, sf)
+    merged = textcluster(made.vectors, SMALL_BLOCKS).merged
+    return grams.contrasting_terms(merged, made.vectors, made.dictionary)
+
+
 def merged_only(spark: SparkSession, sf: str) -> DataFrame:
     """Without the clusters that the merge leaves alone."""
     params = Params(block_size=SMALL_BLOCKS.block_size, drop_unmerged=True)
@@ -676,10 +753,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fan_out,
         collection_sizes,
         import_counters,
+        import_counters_of_files,
+        export_counter,
         latest_documents,
         imported_documents,
         streamed_collections,
         running_collection_sizes,
+        running_distinct_sizes,
         scan_collection,
         collections_merge,
         collection_state,
@@ -698,6 +778,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         run_slugs,
         tokens,
         term_freq,
+        collocations,
+        term_freq_bigrams,
+        dictionary_with_phrases,
         dictionary,
         dictionary_clamped,
         tfidf_weights,
@@ -728,6 +811,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clusters_by_size,
         merged_clusters,
         merged_only,
+        cluster_labels,
+        rebuild_metrics,
         medoid_similarities,
         cluster_size_histogram,
         histogram_log,

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kindred.operators import imports
-from kindred.plans.importing import import_opinions
+from kindred.plans.importing import import_files, import_opinions
 from kindred.schema import KEY
-from kindred.sources.opinions import conform, rejects
 from kindred.sources.store import Load, Store
-from kindred.sources.tsv import read_escaped_tsv
-from kindred.staging import stage, temporary, write_once
+from kindred.staging import write_once
 
 
 def _now_ms() -> int:
@@ -82,6 +80,41 @@ def running_sizes(opinions: DataFrame, namespace: str, patterns: list[str]) -> D
     return documents.groupBy(*KEY).agg(F.count("*").alias("size"))
 
 
+def distinct_size_stream(
+    opinions: DataFrame,
+    namespace: str,
+    patterns: list[str],
+    path: str,
+    checkpoint: str,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Count each document of a stream once, however often and in whichever batches it comes.
+
+    The checkpoint's state has a row for every document seen, spread by its key. A batch
+    writes how many new ones each collection got to a folder of its own under ``path``; a batch that
+    is run again replaces it, so nothing counts twice. ``distinct_sizes`` adds them up.
+    """
+    documents = imports.fan_out(imports.with_text(opinions), namespace, patterns).select(*KEY, "doc_id")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.groupBy(*KEY).agg(F.count("*").alias("fresh"))
+        fresh.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    return (
+        documents.dropDuplicates([*KEY, "doc_id"])
+        .writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**_trigger(every))
+        .start()
+    )
+
+
+def distinct_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Different documents per collection that a ``distinct_size_stream`` has seen so far."""
+    batches = spark.read.schema("namespace string, collection_key string, fresh bigint, batch bigint").parquet(path)
+    return batches.groupBy(*KEY).agg(F.sum("fresh").alias("size"))
+
+
 def import_tsv_stream(
     path: str,
     store: Store,
@@ -105,19 +138,7 @@ def import_tsv_stream(
         files = [row["path"] for row in batch.collect()]
         name = _load_of(store, stream, batch_id, now_ms)
         if files and not store.finished("collections", name):
-            with temporary(store.spark):
-                records = stage(read_escaped_tsv(store.spark, files), "records")
-                import_opinions(
-                    conform(records),
-                    store,
-                    namespace,
-                    patterns,
-                    name,
-                    order=F.struct("file", "start"),
-                    size="running",
-                    rejected=rejects(records),
-                    replace=True,
-                )
+            import_files(store.spark, files, store, namespace, patterns, name, size="running", replace=True)
 
     names = (
         store.spark.readStream.format("binaryFile")

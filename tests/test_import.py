@@ -10,7 +10,7 @@ from kindred.plans.importing import import_opinions
 from kindred.schema import OPINION_FIELDS
 from kindred.sources.store import Load, Store
 from kindred.sources.tsv import write_escaped_tsv
-from kindred.streaming.imports import import_stream, import_tsv_stream
+from kindred.streaming.imports import distinct_size_stream, distinct_sizes, import_stream, import_tsv_stream
 
 SCHEMA = ", ".join(f"{f} string" for f in OPINION_FIELDS)
 
@@ -270,3 +270,23 @@ def test_counters_come_before_collections(opinions, store, monkeypatch):
     assert not store.finished("collections", load) and store.counters().count() == 1
     found = import_opinions(opinions, store, "n", ["$LOCALE"], load, replace=True)
     assert [r["docs_created"] for r in store.counters().collect()] == [found["docs_created"]]
+
+
+def test_distinct_sizes_over_batches_and_a_restart(spark, opinions, tmp_path):
+    source, sizes, progress = (str(tmp_path / n) for n in ("in", "sizes", "progress"))
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        distinct_size_stream(stream, "n", ["$PRODUCT", "$TYPE"], sizes, progress).awaitTermination()
+        return {r["collection_key"]: r["size"] for r in distinct_sizes(spark, sizes).collect()}
+
+    opinions.coalesce(1).write.mode("append").parquet(source)
+    opinions.coalesce(1).write.mode("append").parquet(source)
+    assert run() == {"firefox": 2, "issue": 1, "praise": 1}
+    new = spark.createDataFrame([opinion(id="9", product="firefox", type="issue", text="x")], SCHEMA)
+    opinions.unionByName(new).coalesce(1).write.mode("append").parquet(source)
+    assert run() == {"firefox": 3, "issue": 2, "praise": 1}
+    # the last batch again: it replaces what it wrote
+    commits = sorted((p for p in os.listdir(f"{progress}/commits") if p.isdigit()), key=int)
+    os.remove(f"{progress}/commits/{commits[-1]}")
+    assert run() == {"firefox": 3, "issue": 2, "praise": 1}

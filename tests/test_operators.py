@@ -1,11 +1,13 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text
-from kindred.operators import histogram, joins, vectors
+from kindred.operators import collocations, histogram, joins, vectors
 from kindred.operators.index import dense_index
 from kindred.params import Params
 from kindred.plans.vectorize import vectorize
@@ -116,3 +118,56 @@ def test_empty_and_continued_histograms(spark):
     with pytest.raises(ValueError):
         histogram.histogram(df, "v", bounds=(2.0, 1.0))
     assert histogram.linear_bounds(1.0, 0.5)[-1] == 6.0
+
+
+def ratio(both, first, second, neither):
+    """By its definition: twice the sum of observed times log of observed over expected."""
+    n = both + first + second + neither
+    cells = {(0, 0): both, (0, 1): first, (1, 0): second, (1, 1): neither}
+    row, column = [both + first, second + neither], [both + second, first + neither]
+    return 2 * sum(k * math.log(k * n / (row[i] * column[j])) for (i, j), k in cells.items() if k)
+
+
+def test_log_likelihood_ratio(spark):
+    dice = random.Random(1)
+    rows = [tuple(dice.choice([0, 1, 7, 50, 10**6]) for _ in range(4)) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a long, b long, c long, d long").select(
+        collocations.log_likelihood_ratio(*map(F.col, "abcd")).alias("llr")
+    )
+    for row, found in zip(rows, got.collect()):
+        assert found["llr"] == pytest.approx(max(ratio(*row), 0), abs=1e-6, rel=1e-9)
+
+
+@pytest.mark.parametrize("longest", [2, 3])
+def test_collocations_equal_brute_force(spark, longest):
+    dice = random.Random(longest)
+    texts = [" ".join(dice.choices("new york the big apple pie of x".split(), [3, 3, 3, 2, 2, 1, 1, 1], k=dice.randrange(9))) for _ in range(120)]
+    texts += ["new york " * 30, "", "one"]
+    docs = keyed(spark, [("ab"[i % 5 == 0], i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    params = Params(max_ngram=longest, min_support=2, min_llr=0.5)
+    grams = stage(collocations.gram_frequency(docs, longest), "grams")
+    found = {(r.collection_key, r.n, r["head"], r.tail): (r["count"], r.llr) for r in collocations.collocations(grams, params).collect()}
+    want, occurs = {}, Counter()
+    for name in "ab":
+        kept = [[w for w in t.split() if w not in text.STOP_WORDS] for i, t in enumerate(texts) if "ab"[i % 5 == 0] == name]
+        for n in range(2, longest + 1):
+            runs = Counter((" ".join(w[i : i + n - 1]), w[i + n - 1]) for w in kept for i in range(len(w) - n + 1))
+            every = sum(runs.values())
+            for (head, tail), both in runs.items():
+                heads, tails = (sum(c for r, c in runs.items() if r[k] == (head, tail)[k]) for k in (0, 1))
+                llr = ratio(both, heads - both, tails - both, every - heads - tails + both)
+                if both >= 2 and llr >= 0.5:
+                    want[name, n, head, tail] = (both, pytest.approx(llr, abs=1e-6))
+                    occurs[name, f"{head} {tail}"] += both
+    assert found == want and len(want) > 5
+    single = vectors.term_frequency(docs)
+    both = collocations.with_collocations(single, grams, params)
+    counted = {(r.collection_key, r.term): r.tf for r in both.where("term LIKE '% %'").groupBy("collection_key", "term").agg(F.sum("tf").alias("tf")).collect()}
+    assert counted == occurs
+    assert both.where("term NOT LIKE '% %'").count() == single.count()
+
+
+def test_nothing_to_collocate(spark):
+    docs = keyed(spark, [("a", 1, "one"), ("a", 2, "")], "doc_id long, text string")
+    grams = stage(collocations.gram_frequency(docs, 3), "grams")
+    assert grams.count() == collocations.collocations(grams).count() == 0
