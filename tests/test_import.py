@@ -288,5 +288,6 @@ def test_distinct_sizes_over_batches_and_a_restart(spark, opinions, tmp_path):
     assert run() == {"firefox": 3, "issue": 2, "praise": 1}
     # the last batch again: it replaces what it wrote
     commits = sorted((p for p in os.listdir(f"{progress}/commits") if p.isdigit()), key=int)
-    os.remove(f"{progress}/commits/{commits[-1]}")
+    for name in (commits[-1], f".{commits[-1]}.crc"):
+        os.remove(f"{progress}/commits/{name}")
     assert run() == {"firefox": 3, "issue": 2, "praise": 1}
