@@ -28,6 +28,7 @@ VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT = 8 << 20
+TASK_RANGES = 8
 CHUNK = 1 << 16
 URN = "urn:page:"
 
@@ -155,10 +156,21 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
     tell), ``payload`` null for revisits. A response whose payload does not match its
     digest, or a member that breaks off, fails the read rather than losing a record.
     """
-    ranges = files.where("bytes > 0").select(
+    return ranges(files, split).mapInArrow(partial(_read, split=split), SCHEMA)
+
+
+def ranges(files: DataFrame, split: int = SPLIT) -> DataFrame:
+    """``path, bytes, start`` of the ranges of ``files``, dealt out to as many tasks as their number asks for.
+
+    Rows this small would be put together by their size, so the number of tasks is given: one for
+    each ``TASK_RANGES``, and two for each core if there are ranges enough.
+    """
+    each = files.where("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(split).cast("bigint"))).alias("start")
     )
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(partial(_read, split=split), SCHEMA)
+    n = each.count()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return each.repartition(max(1, -(-n // TASK_RANGES), min(n, 2 * cores)), F.xxhash64("path", "start"))
 
 
 def _read(batches, split: int) -> Iterator[pa.RecordBatch]:

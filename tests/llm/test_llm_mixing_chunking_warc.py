@@ -223,6 +223,15 @@ def test_empty_archives(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(frame, str(tmp_path / "w"))).count() == 0
 
 
+def test_ranges_meet_in_as_many_tasks_as_they_need(spark):
+    files = spark.createDataFrame([("file:/none", 10_000 * warc.SPLIT), ("file:/empty", 0)], "path string, bytes long")
+    tasks = warc.ranges(files).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 10_000
+    assert len(tasks) >= 1_000 and max(r["count"] for r in tasks) < 40
+    few = warc.ranges(files.withColumn("bytes", F.lit(3 * warc.SPLIT).cast("long")).limit(1))
+    assert few.count() == 3
+
+
 def test_what_looks_like_a_member_is_none():
     good = [warc._gzip(warc.record(f"<urn:page:{i}:0>", "u", b"x" * i, "d", None)) for i in range(3)]
     other = zlib.compressobj(6, wbits=31)
