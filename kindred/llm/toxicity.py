@@ -25,7 +25,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 MAX_DOCS = 6_000
 """About so many labelled documents are learned from; every document is scored."""
 MIN_DOCS = 4  # a part of the model occurs in so many of these
-MAX_PARTS = 512  # those that tell the labels apart best
+LEAST_SIGNAL = 3.0  # standard errors by which a part's shares of toxic and other documents differ
 PARTS = range(3, 8)  # letters of beginnings and endings
 KNOWN_WORDS = 500_000
 SPANS = T.ArrayType(
@@ -113,7 +113,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def _telling_parts(docs: list[list[tuple[str, ...]]], toxic: list[int]) -> dict[str, int]:
-    """The parts whose share of documents differs most, measured in standard errors."""
+    """All parts whose shares of documents differ by ``LEAST_SIGNAL`` standard errors or more."""
     counts = {True: Counter(), False: Counter()}
     for d, y in zip(docs, toxic):
         counts[y > 0].update({p for w in set().union(*d) for p in parts(w)})
@@ -125,22 +125,23 @@ def _telling_parts(docs: list[list[tuple[str, ...]]], toxic: list[int]) -> dict[
         if a + b >= MIN_DOCS:
             share = (a + b + 1) / (n1 + n0 + 2)
             signal[p] = abs(a / n1 - b / n0) / (share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5
-    best = sorted(signal, key=lambda p: (-signal[p], p))[:MAX_PARTS]
-    return {p: i for i, p in enumerate(sorted(best))}
+    return {p: i for i, p in enumerate(sorted(p for p, x in signal.items() if x >= LEAST_SIGNAL))}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     """A model from the rows of ``docs`` that ``labels (doc_id, toxic)`` has.
 
-    Null ids and labels teach nothing; of several labels of one id the greatest counts.
-    A hash of the id picks the sample, whose size ``MAX_DOCS`` bounds.
+    Null ids and labels teach nothing; of several labels of one id the greatest counts, of
+    several rows the least text. A hash of the id picks the sample, whose size ``MAX_DOCS`` bounds.
     """
     told = labels.where(f"{id_column} IS NOT NULL AND toxic IS NOT NULL").groupBy(id_column).agg(F.max("toxic").alias("toxic"))
     share = 1.0 * MAX_DOCS / max(1, told.count())
     dice = F.pmod(F.xxhash64(F.col(id_column), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = told.where(dice < share)  # about MAX_DOCS rows, so small enough to broadcast
-    rows = docs.select(id_column, "text").join(F.broadcast(sample), id_column).toPandas()
-    rows = rows.sort_values([id_column, "text"])
+    drawn = docs.select(id_column, "text").join(F.broadcast(sample), id_column)
+    # an id that is repeated comes once
+    rows = drawn.groupBy(id_column).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toPandas()
+    rows = rows.sort_values(id_column)
     return fit(rows["text"].tolist(), (rows["toxic"] > 0).astype(int).tolist())
 
 

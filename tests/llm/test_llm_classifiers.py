@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -182,3 +183,84 @@ def test_kneser_ney_by_definition(spark, monkeypatch, bound):
 def test_probabilities_of_a_context_add_up():
     p = brute_model([b"abracadabra abrab", b"cab bad"])
     assert sum(p(b"abra" + bytes([i])) for i in range(256)) == pytest.approx(1)
+
+
+def plain_probabilities(text, weights, bias):
+    """One by one, of the sentences with a word."""
+    out = []
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        words = set(re.findall(r"[^\W\d_]+", sentence))
+        if words:
+            z = bias + sum(weights.get(p, 0.0) for w in words for p in toxicity.parts(w))
+            out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_toxicity_equals_a_plain_computation(monkeypatch):
+    """Scores by the formula; a fit of some rounds by differences of the likelihood."""
+    rows = [(t + ". " * (i % 3), y) for i, t, y in toxic_rows(40)]
+    monkeypatch.setattr(toxicity, "LEAST_SIGNAL", 2.5)
+    monkeypatch.setattr(toxicity, "ROUNDS", 3)
+    monkeypatch.setattr(toxicity, "DECAY", 0.01)
+    texts, labels = zip(*rows)
+    model = toxicity.fit(list(texts), list(labels))
+    for text in texts:
+        want = plain_probabilities(text, model.weights, model.bias)
+        assert model.sentences(text)[1] == pytest.approx(want)
+        assert toxicity.noisy_or(model.sentences(text)[1]) == pytest.approx(1 - math.prod(1 - p for p in want))
+
+    # the same parts, from scratch
+    with_part = lambda p: [any(p in toxicity.parts(w) for w in re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    names = []
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    for p in sorted({p for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()) for p in toxicity.parts(w)}):
+        has = with_part(p)
+        a, b = (sum(h for h, y in zip(has, labels) if y == k) for k in (1, 0))
+        share = (a + b + 1) / (n1 + n0 + 2)
+        if a + b >= toxicity.MIN_DOCS and abs(a / n1 - b / n0) >= 2.5 * math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)):
+            names.append(p)
+    assert set(model.weights) <= set(names) and len(names) >= 5
+
+    def loss(w):
+        total = 0.0
+        for text, y in rows:
+            safe = math.prod(1 - p for p in plain_probabilities(text, dict(zip(names, w)), w[-1]))
+            total -= math.log(max(1 - safe, 1e-12)) if y else math.log(safe)
+        return total / len(rows) + 0.01 / 2 * sum(x * x for x in w[:-1])
+
+    n_sentences = sum(len(plain_probabilities(t, {}, 0.0)) for t in texts) / len(texts)
+    w = [0.0] * len(names) + [math.log(n1 / len(labels) / n_sentences)]
+    first, second = [0.0] * len(w), [0.0] * len(w)
+    for k in range(1, 4):
+        slope = []
+        for i in range(len(w)):
+            up, down = ([x + (j == i) * s for j, x in enumerate(w)] for s in (1e-5, -1e-5))
+            slope.append((loss(up) - loss(down)) / 2e-5)
+        first = [0.9 * a + 0.1 * g for a, g in zip(first, slope)]
+        second = [0.999 * a + 0.001 * g * g for a, g in zip(second, slope)]
+        w = [x - toxicity.STEP * a / (1 - 0.9**k) / (math.sqrt(b / (1 - 0.999**k)) + 1e-8) for x, a, b in zip(w, first, second)]
+    assert model.bias == pytest.approx(w[-1], abs=1e-3)
+    for name, value in zip(names, w):
+        assert model.weights.get(name, 0.0) == pytest.approx(value, abs=1e-3)
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append(texts) or toxicity.Model(0.0, {}))
+    docs = spark.range(20_000).selectExpr("1L AS doc_id", "concat('text ', id % 7) AS text").union(spark.createDataFrame([(2, "b")], "doc_id long, text string"))
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert seen == [["text 0", "b"]]
+
+
+def test_many_toxic_words_all_count():
+    """More telling words than any fixed number of places."""
+    dice = random.Random(2)
+    bad = ["z" + "".join(dice.choices("abcdefghij", k=7)) for _ in range(150)]
+    good = ["".join(dice.choices("klmnopqrst", k=6)) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(4_500):
+        words = dice.choices(good, k=8)
+        labels.append(int(i % 2 == 0))
+        texts.append(" ".join([*words, *([bad[i // 2 % 150]] if i % 2 == 0 else [])]))
+    model = toxicity.fit(texts, labels)
+    assert all(model.weight(w) > 1 for w in bad)
