@@ -282,3 +282,15 @@ def test_rebuild_and_rebuild_all(spark, store):
 def active_stamps(store):
     rows = store.active_clusters().select("collection_key", "rebuild_ms").distinct().collect()
     return {r[0]: r[1] for r in rows}
+
+
+def test_metrics_of_a_rebuild(spark, store):
+    docs = [("n", "c", d, " ".join(f"w{(d * k) % 7 + k % 3}" for k in range(5))) for d in range(60)]
+    store.upsert_documents(spark.createDataFrame(docs, "namespace string, collection_key string, doc_id long, text string"), 1)
+    params = Params(min_support=1, min_df=1, block_size=25, min_similarity=0.2)
+    told = rebuild(store, "n", "c", 5, params, metrics=True).metrics
+    assert list(told) == ["blocks", "rest", "medoids"] and told["blocks"]["documents"] > told["medoids"]["documents"]
+    for counts in told.values():
+        assert set(counts) == {"documents", "used", "splices", "reassigned"}
+        assert counts["documents"] >= counts["used"] >= counts["splices"] >= 0 <= counts["reassigned"]
+    assert rebuild(store, "n", "c", 6, params).metrics == {}
