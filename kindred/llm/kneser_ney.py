@@ -2,155 +2,165 @@
 
 The model is of bytes (``ORDER`` of them, spaces collapsed), one per language, trained on
 trusted texts. Counts, continuation counts, contexts and discounts are tables that grow
-with the corpus and are joined by n-gram; none is broadcast or collected. Each task packs
-its texts into bundles; a bundle's distinct n-grams are looked up once, and their
-probabilities come back as a row that meets the bundle, so what is exchanged is a row per
-distinct n-gram of a bundle instead of one per position. A document is kept if its
-mean log-perplexity is within a quantile of the trusted ones of its language.
+with the corpus and are joined by n-gram; none is broadcast or collected. Texts are
+taken in chunks, so many rows of a file each; a chunk's distinct n-grams are looked up
+once, and their probabilities are shelved by chunk, where the task that reads the texts
+again opens them. No text is exchanged, only a row per distinct n-gram of a chunk. A
+document is kept if its mean log-perplexity is within a quantile of the trusted ones of
+its language.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kindred.llm.shelf import Shelf, shelve
+from kindred.operators.joins import lookup
 from kindred.staging import stage
 
 ORDER = 5
-BUNDLE = 24 << 20  # bytes of text of one language and task
+CHUNK_ROWS = 8192
+HELD = 2 << 20  # n-grams a task holds before it counts them
 QUANTILE = 0.995
 SLACK = 0.05
 NO_LANGUAGE = "und"
-MAX_BROADCAST_ROWS = 1_000_000
 SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 BEGIN = b"\x02" * (ORDER - 1)
 
 
-def grams(text: bytes) -> np.ndarray:
-    """The n-gram that ends at each byte of ``text``, the first byte in the highest place."""
-    raw = np.frombuffer(BEGIN + text, dtype=np.uint8).astype(np.int64)
+def grams(text: bytes, head: bytes = b"") -> np.ndarray:
+    """The n-gram that ends at each byte of ``text``, the first byte in the highest place.
+
+    ``head`` are the bytes before, as far as there are any.
+    """
+    raw = np.frombuffer((BEGIN + head)[-len(BEGIN) :] + text, dtype=np.uint8).astype(np.int64)
     code = np.zeros(len(text), dtype=np.int64)
     for k in range(ORDER):
         code = (code << 8) | raw[k : k + len(text)]
     return code
 
 
-class Bundle:
-    """Texts of one language that a task has read, in their order."""
-
-    def __init__(self) -> None:
-        self.ids: list[tuple] = []
-        self.texts: list[bytes] = []
-        self.trusted: list[bool] = []
-        self.size = 0
-
-    def add(self, key: tuple, text: bytes, trusted: bool) -> None:
-        self.ids.append(key)
-        self.texts.append(text)
-        self.trusted.append(trusted)
-        self.size += len(text)
+def windows(text: bytes, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The n-grams of a text, about ``size`` at a time."""
+    for at in range(0, len(text), size):
+        head = text[max(0, at - ORDER + 1) : at]
+        yield grams(text[at : at + size], head)
 
-    def name(self) -> int:
-        """The same whenever the same rows come in the same order."""
-        lengths = [(*i, len(t)) for i, t in zip(self.ids, self.texts)]
-        return xxhash.xxh64_intdigest(repr(lengths).encode()) - (1 << 63)
 
-
-def _bundles(batches) -> Iterator[tuple[str, Bundle]]:
-    """Of rows ``doc_id, _k1, _k2, lang, text, trusted``."""
-    open_: dict[str, Bundle] = {}
+def _texts(batches, trusted: Shelf) -> Iterator[tuple[int, str, bytes, bool]]:
+    """``chunk, lang, text, trusted`` of rows ``chunk, at, lang, text``, in their order."""
+    now, good = None, frozenset()
     for whole in batches:
         for i in range(0, len(whole), 1024):
             columns = (c.to_pylist() for c in whole.slice(i, 1024).columns)
-            for doc_id, k1, k2, lang, text, trusted in zip(*columns):
-                bundle = open_.setdefault(lang, Bundle())
-                bundle.add((doc_id, k1, k2), SPACE.sub(b" ", (text or "").encode()).strip(), trusted)
-                if bundle.size >= BUNDLE:
-                    yield lang, open_.pop(lang)
-    yield from open_.items()
-
-
-def _count(batches) -> Iterator[pa.RecordBatch]:
-    """``bundle, lang, gram, n``: distinct n-grams, and how often trusted texts have them."""
-    for lang, bundle in _bundles(batches):
-        every, trusted = np.zeros(0, np.int64), pd.Series(dtype=np.int64)
-        for good in (True, False):
-            held, size = [], 0
-            for text, own in [*zip(bundle.texts, bundle.trusted), (None, good)]:
-                if text is not None and own == good:
-                    held.append(grams(text))
-                    size += len(text)
-                if held and (text is None or size >= 2 << 20):
-                    codes = np.concatenate(held)
-                    if good:
-                        trusted = trusted.add(pd.Series(codes).value_counts(sort=False), fill_value=0)
-                    else:
-                        every = pd.unique(np.concatenate([every, pd.unique(codes)]))
-                    held, size = [], 0
-        n = trusted.reindex(pd.Index(every).union(trusted.index), fill_value=0).astype(np.int64)
-        if len(n):
+            for chunk, at, lang, text in zip(*columns):
+                if chunk != now:
+                    met = trusted.rows(chunk)
+                    now, good = chunk, frozenset(() if met is None else met.column("at").to_pylist())
+                yield chunk, lang, SPACE.sub(b" ", (text or "").encode()).strip(), at in good
+
+
+class Tally:
+    """Distinct n-grams of a chunk by language, and how often trusted texts have them."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, bool], list[np.ndarray]] = {}
+        self.size = 0
+        self.every: dict[str, np.ndarray] = {}
+        self.trusted: dict[str, pd.Series] = {}
+
+    def add(self, lang: str, text: bytes, trusted: bool) -> None:
+        for codes in windows(text):
+            self.held.setdefault((lang, trusted), []).append(codes)
+            self.size += len(codes)
+            if self.size >= HELD:
+                self.fold()
+
+    def fold(self) -> None:
+        for (lang, trusted), held in self.held.items():
+            codes = np.concatenate(held)
+            if trusted:
+                counts = pd.Series(codes).value_counts(sort=False)
+                self.trusted[lang] = self.trusted[lang].add(counts, fill_value=0) if lang in self.trusted else counts
+            else:
+                self.every[lang] = pd.unique(np.concatenate([self.every.get(lang, codes[:0]), pd.unique(codes)]))
+        self.held, self.size = {}, 0
+
+    def batches(self, chunk: int) -> Iterator[pa.RecordBatch]:
+        self.fold()
+        none = pd.Series(np.zeros(0, np.int64), index=np.zeros(0, np.int64))
+        for lang in self.every.keys() | self.trusted.keys():
+            trusted = self.trusted.get(lang, none)
+            n = trusted.reindex(pd.Index(self.every.get(lang, none.to_numpy())).union(trusted.index), fill_value=0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(n), bundle.name())),
+                    pa.array(np.full(len(n), chunk)),
                     pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
                     pa.array(n.index.to_numpy(np.int64)),
-                    pa.array(n.to_numpy()),
+                    pa.array(n.to_numpy().astype(np.int64)),
                 ],
-                ["bundle", "lang", "gram", "n"],
+                ["chunk", "lang", "gram", "n"],
             )
 
 
-def _pack(batches) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=5)
-    for lang, bundle in _bundles(batches):
-        columns = [*zip(*bundle.ids), bundle.trusted, [len(t) for t in bundle.texts]]
-        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int32()]
+def _count(batches, trusted: Shelf) -> Iterator[pa.RecordBatch]:
+    now, tally = None, Tally()
+    for chunk, lang, text, good in _texts(batches, trusted):
+        if chunk != now:
+            yield from tally.batches(now)
+            now, tally = chunk, Tally()
+        tally.add(lang, text, good)
+    yield from tally.batches(now)
+
+
+def _by_language(found: pa.Table | None) -> dict[str, tuple[pd.Index, np.ndarray]]:
+    """The distinct n-grams of each language and their probabilities; repeats are equal."""
+    if found is None:
+        return {}
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    at, gram, log_p = lang.indices.to_numpy(), found.column("gram").to_numpy(), found.column("log_p").to_numpy()
+    out = {}
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        own = np.flatnonzero(at == i)
+        codes, first = np.unique(gram[own], return_index=True)
+        out[name] = pd.Index(codes), log_p[own][first].astype(np.float64)
+    return out
+
+
+def _score(batches, trusted: Shelf, found: Shelf) -> Iterator[pa.RecordBatch]:
+    now, known = None, {}
+    for batch in batches:
+        ids, rest = batch.column(0), batch.select(range(1, batch.num_columns))
+        out: list[tuple] = []
+        for chunk, lang, text, good in _texts([rest], trusted):
+            if chunk != now:
+                now, known = chunk, _by_language(found.rows(chunk))
+            total = 0.0
+            for codes in windows(text):
+                index, value = known.get(lang, (pd.Index([], dtype=np.int64), np.zeros(0)))
+                place = index.get_indexer(codes)
+                if (place < 0).any():
+                    raise RuntimeError("a text changed between two reads of the documents")
+                total -= value[place].sum()
+            out.append((lang, good, len(text), total / max(len(text), 1)))
+        columns = [*zip(*out)] or [()] * 4
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64()]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([bundle.name()]),
-                pa.array([lang]),
-                *(pa.array([list(c)], pa.list_(k)) for c, k in zip(columns, kinds)),
-                pa.array([squeeze.compress(b"".join(bundle.texts))]),
-            ],
-            ["bundle", "lang", "doc_ids", "k1", "k2", "trusted", "sizes", "texts"],
+            [ids, *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            ["doc_id", "lang", "trusted", "n_bytes", "log_perplexity"],
         )
 
 
-def _score(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in range(len(batch)):
-            _, lang, doc_ids, k1, k2, trusted, sizes, blob, codes, logs = (c[row] for c in batch.columns)
-            text = zstandard.ZstdDecompressor().decompress(blob.as_py(), max_output_size=1 << 31)
-            sizes = np.asarray(sizes.values)
-            index = pd.Index(np.zeros(0, np.int64) if codes.as_py() is None else np.asarray(codes.values))
-            value = np.zeros(0) if logs.as_py() is None else np.asarray(logs.values, dtype=np.float64)
-            means, at = np.zeros(len(sizes)), 0
-            for i, size in enumerate(sizes):
-                if size:
-                    found = index.get_indexer(grams(text[at : at + size]))
-                    if (found < 0).any():
-                        raise RuntimeError("a text changed between two reads of the documents")
-                    means[i] = -value[found].mean()
-                at += size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    doc_ids.values, k1.values, k2.values,
-                    pa.array([lang.as_py()] * len(sizes), pa.string()),
-                    trusted.values, pa.array(sizes.astype(np.int64)), pa.array(means),
-                ],
-                ["doc_id", "_k1", "_k2", "lang", "trusted", "n_bytes", "log_perplexity"],
-            )
-
-
 # --- the model -------------------------------------------------------------------------
 
 
@@ -200,13 +210,14 @@ def model(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rates = stage(discounts(counts), "discounts")
     take = F.element_at("d", F.least(F.lit(3), F.col("c")).cast("int"))
+    totals = counts.withColumn("context", context).join(
+        contexts.select("lang", "order", "context", "total"), ["lang", "order", "context"]
+    )
     shares = (
-        counts.withColumn("context", context)
-        .join(contexts.select("lang", "order", "context", "total"), ["lang", "order", "context"])
-        .join(rates, ["lang", "order"])
+        lookup(totals, rates, ["lang", "order"])
         .select("lang", "order", "gram", (F.greatest(F.col("c") - take, F.lit(0.0)) / F.col("total")).alias("share"))
     )
-    left = contexts.join(rates, ["lang", "order"]).select(
+    left = lookup(contexts, rates, ["lang", "order"]).select(
         "lang", "order", F.col("context").alias("gram"),
         ((F.col("d")[0] * F.col("f0") + F.col("d")[1] * F.col("f1") + F.col("d")[2] * F.col("f2")) / F.col("total")).alias("left"),
     )
@@ -231,61 +242,57 @@ def log_probabilities(wanted: DataFrame, shares: DataFrame, left: DataFrame) ->
     return out.select("lang", "gram", F.log("_p").cast("float").alias("log_p"))
 
 
-def classify(
-    docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
+def _located(docs: DataFrame) -> DataFrame:
+    """``doc_id, chunk, at, lang, text``: where the row lies in its file, on every read.
+
+    A chunk is ``CHUNK_ROWS`` rows of a file, however tasks cut it. Two chunks of the same
+    hash share what is looked up, no more. Rows that do not come from parquet files are
+    written first.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select(*(docs[c] for c in ("doc_id", "lang", "text")), place["file_path"].alias("file"), place["row_index"].alias("row"))
+    except AnalysisException:
+        rows = stage(docs.select("doc_id", "lang", "text"), "documents")
+        rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.select(
+        "doc_id", F.xxhash64("file", F.floor(F.col("row") / CHUNK_ROWS)).alias("chunk"),
+        F.xxhash64("file", "row").alias("at"), F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text",
+    )
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """A row for each of ``docs (doc_id, text, lang, …)`` with its perplexity and the verdict.
 
     ``trusted (doc_id)`` names the documents to train on; null names none. Columns:
     ``doc_id, lang, n_bytes, log_perplexity`` (per byte, rounded to six places),
-    ``threshold`` and ``kept``. A null language is the language ``und``. Texts without
-    words have log-perplexity 0 and are kept; so is a language without trusted text, whose
-    threshold is null. Repeated rows stay repeated.
+    ``threshold`` and ``kept``; others are left out. A null language is the language
+    ``und``. Texts without words have log-perplexity 0 and are kept; so is a language
+    without trusted text, whose threshold is null. Repeated rows stay repeated.
     """
-    names = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    names = stage(names, "trusted")
-    if names.count() <= max_broadcast_rows:
-        names = F.broadcast(names)
-    rows = (
-        docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"))
-        .join(names, "doc_id", "left")
-        .select(
-            "doc_id", F.xxhash64("doc_id").alias("_k1"), F.xxhash64("doc_id", "text").alias("_k2"), "lang", "text",
-            F.coalesce("trusted", F.lit(False)).alias("trusted"),
-        )
-    )
-    met = stage(rows.mapInArrow(_count, "bundle bigint, lang string, gram bigint, n bigint"), "grams")
+    rows = _located(docs)
+    read = rows.select("chunk", "at", "lang", "text")
+    names = trusted.select("doc_id").distinct()
+    chosen = stage(rows.select("doc_id", "chunk", "at").join(names, "doc_id", "left_semi").select(F.col("chunk").alias("key"), "at"), "trusted")
+    chosen = shelve(chosen, chosen.select(F.count_distinct("key")).first()[0])
+    met = stage(read.mapInArrow(partial(_count, trusted=chosen), "chunk bigint, lang string, gram bigint, n bigint"), "grams")
     shares, left = model(met.where("n > 0").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     wanted = met.select("lang", "gram").distinct()
     known = stage(log_probabilities(wanted, shares, left), "log_probabilities")
-    looked_up = (
-        met.select("bundle", "lang", "gram")
-        .join(known, ["lang", "gram"])
-        .groupBy("bundle")
-        .agg(F.collect_list(F.struct("gram", "log_p")).alias("found"))
-        .select("bundle", "found.gram", "found.log_p")
-    )
-    bundles = rows.mapInArrow(
-        _pack,
-        "bundle bigint, lang string, doc_ids array<bigint>, k1 array<bigint>, k2 array<bigint>, "
-        "trusted array<boolean>, sizes array<int>, texts binary",
-    )
+    looked_up = met.select(F.col("chunk").alias("key"), "lang", "gram").join(known, ["lang", "gram"])
+    found = shelve(looked_up.select("key", "lang", "gram", "log_p"), met.select(F.count_distinct("chunk")).first()[0])
     scored = stage(
-        bundles.join(looked_up, "bundle", "left").mapInArrow(
-            _score,
-            "doc_id bigint, _k1 bigint, _k2 bigint, lang string, trusted boolean, n_bytes bigint, log_perplexity double",
+        rows.select("doc_id", *read.columns).mapInArrow(
+            partial(_score, trusted=chosen, found=found),
+            T.StructType([rows.schema["doc_id"]])
+            .add("lang", "string").add("trusted", "boolean").add("n_bytes", "long").add("log_perplexity", "double"),
         ),
         "scored",
-    )
+    )
     # rounded, so that the exact quantile keeps a bounded number of distinct values
-    limits = (
-        scored.where("trusted AND n_bytes > 0")
-        .groupBy("lang")
-        .agg(F.percentile(F.round("log_perplexity", 4), F.lit(quantile)).alias("_limit"))
-        .select("lang", (F.col("_limit") + slack).alias("threshold"))
-    )
-    return scored.join(limits, "lang", "left").select(
+    measured = F.when(F.col("trusted") & (F.col("n_bytes") > 0), F.round("log_perplexity", 4))
+    limits = scored.groupBy("lang").agg((F.percentile(measured, F.lit(quantile)) + slack).alias("threshold"))
+    return lookup(scored, stage(limits, "limits"), ["lang"]).select(
         "doc_id", "lang", "n_bytes", F.round("log_perplexity", 6).alias("log_perplexity"), "threshold",
         F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"),
     )

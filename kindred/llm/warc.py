@@ -83,7 +83,7 @@ def qualified(spark: SparkSession, path: str) -> str:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[5:]
     return pafs.FileSystem.from_uri(path)
@@ -94,7 +94,7 @@ def _write(batches, folder: str, date: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for page_id, url, payload, row, digest, first_id, first_row in zip(*(c.to_pylist() for c in batch.columns)):
             if out is None:
-                system, name = _open(path)
+                system, name = open_path(path)
                 system.create_dir(name.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(name, compression=None)
             if digest and hashlib.sha1(payload).hexdigest() != digest:
@@ -179,7 +179,7 @@ def _read(batches, split: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
     for batch in batches:
         for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
-            system, name = _open(path)
+            system, name = open_path(path)
             rows: list[dict] = []
             held = 0
             with system.open_input_file(name) as file:

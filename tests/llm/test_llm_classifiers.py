@@ -151,15 +151,23 @@ def brute_model(texts):
     return p
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_kneser_ney_by_definition(spark, monkeypatch, bound):
-    monkeypatch.setattr(kneser_ney, "BUNDLE", 700)
+@pytest.mark.parametrize("files", [True, False])
+def test_kneser_ney_by_definition(spark, monkeypatch, tmp_path, files):
+    """Chunks of a few rows, cut by tasks; texts in files and not; columns of clashing names."""
+    monkeypatch.setattr(kneser_ney, "CHUNK_ROWS", 5)
+    monkeypatch.setattr(kneser_ney, "HELD", 100)
+    monkeypatch.setattr(kneser_ney.windows, "__defaults__", (7,))
     dice = random.Random(8)
     rows = [(i, speech(dice, lang, dice.randrange(5, 30)), lang) for i, lang in enumerate(dice.choices(list(LETTERS), k=40))]
     rows += [(40, None, "aa"), (41, " ", "bb"), (42, "#### ZZZZ %%", "aa"), (43, "words", None), (44, "alone", "dd"), (0, rows[0][1], rows[0][2]), (None, "abc", "aa")]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, threshold int")
+    docs = spark.createDataFrame(
+        [(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, threshold int, _metadata int, chunk int"
+    )
+    if files:
+        docs.repartition(3).write.option("parquet.block.size", 1).parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
     trusted = [i for i in range(40) if i % 2] + [None, 41]
-    found = kneser_ney.classify(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), max_broadcast_rows=bound).collect()
+    found = kneser_ney.classify(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
     assert len(found) == len(rows)
     models = {
         lang: brute_model([t.encode() for i, t, x in rows if i in trusted and x == lang and i is not None and t.strip()])
