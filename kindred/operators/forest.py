@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.operators.joins import lookup
 from kindred.operators.similarity import BLOCK
 from kindred.staging import stage
 
@@ -116,9 +117,50 @@ def assign_medoids(scored: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy(*BLOCK).applyInArrow(follow, schema)
 
 
-def cluster_pass(scored: DataFrame) -> DataFrame:
-    """All documents of the blocks, with parent and medoid where they have one."""
-    return stage(assign_medoids(scored, directed_edges(scored)), "assigned")
+def roots(edges: DataFrame) -> DataFrame:
+    """``pos, root_pos`` of every document on an edge, for blocks of any size.
+
+    Rounds of pointer doubling over staged tables: every pointer goes on to where its
+    target points, so as many rounds do as the deepest chain has binary digits, and one
+    more that finds nothing to move. Targets with many followers are looked up as hot keys:
+    no round gathers a cluster or a block in one task. Edges go up in rank, so
+    there are no cycles.
+    """
+    at = edges.select(*BLOCK, "pos", F.col("parent_pos").alias("root_pos"))
+    tops = edges.select(*BLOCK, F.col("parent_pos").alias("pos")).distinct().join(at, [*BLOCK, "pos"], "left_anti")
+    pointers = stage(at.unionByName(tops.withColumn("root_pos", F.col("pos"))), "pointers")
+    while True:
+        target = pointers.select(*BLOCK, F.col("pos").alias("root_pos"), F.col("root_pos").alias("next_pos"))
+        hops = stage(lookup(pointers, target, [*BLOCK, "root_pos"]), "hops")
+        if hops.where("next_pos <> root_pos").isEmpty():
+            return pointers
+        pointers = hops.select(*BLOCK, "pos", F.col("next_pos").alias("root_pos"))
+
+
+def assign_medoids_in_rounds(scored: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of ``assign_medoids``, without a group per block: see ``roots``."""
+    medoids = scored.select(
+        *BLOCK, F.col("pos").alias("root_pos"), F.col("doc_id").alias("medoid_id"),
+        F.col("centricity_nano").alias("medoid_centricity"),
+    )
+    at = roots(edges)
+    heads = stage(medoids.join(at.where("pos = root_pos").select(*BLOCK, "root_pos"), [*BLOCK, "root_pos"]), "medoids")
+    clustered = lookup(at, heads, [*BLOCK, "root_pos"]).withColumnRenamed("root_pos", "medoid_pos")
+    followed = edges.select(*BLOCK, F.col("parent_pos").alias("pos"), F.lit(True).alias("_followed")).distinct()
+    rows = scored.join(edges, [*BLOCK, "pos"], "left").join(clustered, [*BLOCK, "pos"], "left")
+    is_inner = F.col("parent_pos").isNotNull() & F.col("_followed").isNotNull()
+    return rows.join(followed, [*BLOCK, "pos"], "left").withColumn("is_inner", is_inner).drop("_followed")
+
+
+def cluster_pass(scored: DataFrame, in_rounds: bool = False) -> DataFrame:
+    """All documents of the blocks, with parent and medoid where they have one.
+
+    ``in_rounds`` follows the edges across tasks, for blocks whose ids are too many for one.
+    """
+    if not in_rounds:
+        return stage(assign_medoids(scored, directed_edges(scored)), "assigned")
+    edges = stage(directed_edges(scored), "edges")
+    return stage(assign_medoids_in_rounds(scored, edges), "assigned")
 
 
 def members(assigned: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from kindred.functions.text import STOP_WORDS
 from kindred.operators.histogram import LOG_BOUNDS
 from kindred.params import Params, to_nano
-from kindred.queries import CLAMPED, CUSTOM, CUT, LINEAR, NOW_MS, ONE_BLOCK, PHRASES, PRIOR, SMALL_BLOCKS
+from kindred.queries import CLAMPED, CUSTOM, CUT, LINEAR, NOW_MS, ONE_BLOCK, PHRASES, PRIOR, SMALL_BLOCKS, WITHOUT_BLOCKS
 
 KEYS = "namespace, collection_key"
 DOCS = "SELECT 'demo' AS namespace, lang AS collection_key, doc_id, text FROM documents"
@@ -517,6 +517,7 @@ FROM p_scored WHERE centricity_nano IS NOT NULL""",
     "directed_edges": one_pass("SELECT * FROM p_edges", upto="edges"),
     "cluster_members": one_pass(MEMBERS),
     "clusters_in_tiles": one_pass(MEMBERS),
+    "clusters_without_blocks": one_pass(MEMBERS, WITHOUT_BLOCKS),
     "near_copies": one_pass(MEMBERS, Params(min_similarity=0.3)),
     "unassigned": one_pass(
         f"""

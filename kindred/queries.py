@@ -12,7 +12,7 @@ from kindred.functions import keys
 from kindred.operators import collocations as grams
 from kindred.operators import forest, histogram, imports, merge, similarity, vectors
 from kindred.operators.joins import lookup
-from kindred.params import Params
+from kindred.params import MAX_BLOCK_SIZE, Params
 from kindred.plans.importing import import_files, import_opinions
 from kindred.plans.rebuild import export_documents, rebuild, rebuild_all
 from kindred.plans.textcluster import (
@@ -40,6 +40,7 @@ NAMESPACE = "demo"
 PATTERNS = ["$LOCALE", "$PRODUCT:$LOCALE", "$TYPE-$LOCALE"]
 NOW_MS = 1_700_000_000_000
 ONE_BLOCK = Params()
+WITHOUT_BLOCKS = Params(block_size=MAX_BLOCK_SIZE)
 SMALL_BLOCKS = Params(block_size=250)
 """Several blocks per collection, hence a rest pass and a merge worth the name."""
 
@@ -628,6 +629,14 @@ def clusters_in_tiles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clusters_without_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole collections compared, and the edges followed across tasks."""
+    assigned = forest.cluster_pass(_scored(spark, sf, WITHOUT_BLOCKS), in_rounds=True)
+    return forest.members(assigned).select(
+        *KEY, F.col("medoid_id").alias("label"), "doc_id", "similarity", "is_medoid"
+    )
+
+
 def near_copies(spark: SparkSession, sf: str) -> DataFrame:
     """The same at the reassign threshold, where only close texts are grouped."""
     return _pass(spark, sf, Params(min_similarity=0.3)).members.select(
@@ -800,6 +809,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         directed_edges,
         cluster_members,
         clusters_in_tiles,
+        clusters_without_blocks,
         near_copies,
         unassigned,
         splices,

@@ -163,6 +163,8 @@ def test_one_pass_equals_the_fold(spark, seed):
     scored = similarity.scored_documents(blocked, params)
     edges = forest.directed_edges(scored)
     assigned = forest.cluster_pass(scored)
+    in_rounds = forest.cluster_pass(scored, in_rounds=True).select(assigned.columns)
+    assert in_rounds.exceptAll(assigned).isEmpty() and assigned.exceptAll(in_rounds).isEmpty()
 
     def grouped(df, key, *value):
         found = {}
@@ -294,3 +296,19 @@ def test_metrics_of_a_rebuild(spark, store):
         assert set(counts) == {"documents", "used", "splices", "reassigned"}
         assert counts["documents"] >= counts["used"] >= counts["splices"] >= 0 <= counts["reassigned"]
     assert rebuild(store, "n", "c", 6, params).metrics == {}
+
+
+def test_roots_in_rounds(spark, monkeypatch):
+    """A deep chain, a star, two blocks with the same positions; few rounds."""
+    chain = [("n", "c", 0, i, i - 1) for i in range(1, 600)]
+    star = [("n", "c", 1, i, 7) for i in range(300) if i != 7] + [("n", "c", 1, 7, 900)]
+    edges = spark.createDataFrame(
+        chain + star, "namespace string, collection_key string, block_id bigint, pos int, parent_pos int"
+    ).repartition(5)
+    rounds = []
+    staged = forest.stage
+    monkeypatch.setattr(forest, "stage", lambda df, name: rounds.append(name) or staged(df, name))
+    found = {(r["block_id"], r["pos"]): r["root_pos"] for r in forest.roots(edges).collect()}
+    assert found == {(0, i): 0 for i in range(600)} | {(1, i): 900 for i in [*range(300), 900]}
+    assert rounds.count("hops") <= 11
+    assert forest.roots(edges.limit(0)).count() == 0
