@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kindred.llm.warc import open_path, qualified
 from kindred.staging import shared_dir
 
-KEYS = 16  # to a folder, on average
+KEYS = 4  # to a folder and task, on average
 ROW_GROUP = 4 << 20
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from kindred.llm import kneser_ney, langid, toxicity
+from kindred.llm.shelf import shelve
 
 LETTERS = {"aa": "abcdeo", "bb": "bcdxyu", "cc": "éñíoab"}
 
@@ -188,6 +189,17 @@ def test_kneser_ney_by_definition(spark, monkeypatch, tmp_path, files):
     assert kneser_ney.classify(docs.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_shelf_gives_each_key_its_rows(spark):
+    rows = [(k, i, f"{k}:{i}") for k in (-9, -1, 0, 3, 2**62) for i in range(k % 5 + 1)]
+    shelf = shelve(spark.createDataFrame(rows, "key long, i int, v string").repartition(3), 5)
+    assert shelf.folders == 2
+    for key in (-9, -1, 0, 3, 2**62):
+        assert [tuple(r.values()) for r in shelf.rows(key).to_pylist()] == [(i, v) for k, i, v in rows if k == key]
+    assert not shelf.rows(4) and not shelf.rows(5)
+    nothing = shelve(spark.createDataFrame([], "key long, i int"), 0)
+    assert nothing.rows(1) is None
+
+
 def test_probabilities_of_a_context_add_up():
     p = brute_model([b"abracadabra abrab", b"cab bad"])
     assert sum(p(b"abra" + bytes([i])) for i in range(256)) == pytest.approx(1)
