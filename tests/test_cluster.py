@@ -8,6 +8,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 from kindred.functions import tiles
+from kindred.operators import collocations as grams
 from kindred.operators import forest, similarity, vectors
 from kindred.params import Params, to_nano
 from kindred.plans.rebuild import rebuild, rebuild_all
@@ -312,3 +313,68 @@ def test_roots_in_rounds(spark, monkeypatch):
     assert found == {(0, i): 0 for i in range(600)} | {(1, i): 900 for i in [*range(300), 900]}
     assert rounds.count("hops") <= 11
     assert forest.roots(edges.limit(0)).count() == 0
+
+
+def test_panels_equal_tiles():
+    """Tiles of a panel are taken together, or one by one, with the same result."""
+    docs = list(corpus(5, 90, words=30).values())
+    rows = list(range(90))
+    random.Random(1).shuffle(rows)
+    group = pa.table(
+        {
+            "panel": pa.array([i // 45 for i in rows], pa.int32()),
+            "tile": pa.array([i // 7 if i < 45 else 7 + (i - 45) // 4 for i in rows], pa.int32()),
+            "pos": pa.array(rows, pa.int32()),
+            "terms": pa.array([list(docs[i]) for i in rows]),
+            "weights": pa.array([list(docs[i].values()) for i in rows]),
+        }
+    )
+    threshold = to_nano(0.03)
+    want = models.all_pairs(docs, threshold)
+    for most in (1, 10, 1_000):
+        tiles_before, tiles.TILE_DOCS = tiles.TILE_DOCS, most
+        try:
+            got = {}
+            for low, high in ((0, 0), (0, 1), (1, 1)):
+                found = tiles.pairs_of_panels(*tiles.read_panels(group, low, high), threshold)
+                got |= {(a, b): s for a, b, s in zip(*(found[c].tolist() for c in ("a", "b", "sim_nano")))}
+        finally:
+            tiles.TILE_DOCS = tiles_before
+        assert got == want
+
+
+def test_vectors_travel_once_for_a_panel_not_for_every_tile(spark):
+    """Fails where each vector is sent once for every small tile of its block."""
+    params = Params(tile_docs=2, tile_terms=20, min_similarity=0.05)
+    blocked = similarity.assign_blocks(to_frame(spark, {"c": corpus(1, 200)}), [F.col("doc_id")], params)
+    n_docs = blocked.count()
+    n_tiles = blocked.first()["n_tiles"]
+    size = similarity._panels(blocked, params)
+    assert n_tiles > 50
+    assert similarity._spread(blocked, size).count() <= 4 * n_docs
+
+
+def test_tile_bounds_in_panels(spark, monkeypatch):
+    """Bounds of all pairs of tiles, however many panels the tiles are in."""
+    params = Params(tile_docs=8, tile_terms=1_000)
+    blocked = similarity.assign_blocks(to_frame(spark, {"c": corpus(2, 90)}), [F.col("doc_id")], params)
+
+    def bounds():
+        return {(r["low"], r["high"]): round(r["bound"], 9) for r in similarity.tile_bounds(blocked).collect()}
+
+    whole = bounds()
+    n = blocked.first()["n_tiles"]
+    assert set(whole) == {(i, j) for i in range(n) for j in range(i + 1, n)}
+    monkeypatch.setattr(similarity, "PANEL_TILES", 3)
+    assert bounds() == whole
+
+
+def test_counts_take_one_exchange_with_a_constant_key(spark):
+    """A constant namespace made the counts exchange every term once more."""
+    docs = to_frame(spark, {"c": {1: {}}}).select(
+        F.lit("n").alias("namespace"), "collection_key", "doc_id", F.lit("one two two").alias("text")
+    )
+    for made in (vectors.term_frequency(docs), grams.gram_frequency(docs, 3)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+        assert made.count() > 0
