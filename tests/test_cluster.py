@@ -343,13 +343,14 @@ def test_panels_equal_tiles():
         assert got == want
 
 
-def test_vectors_travel_once_for_a_panel_not_for_every_tile(spark):
+@pytest.mark.parametrize("tile_terms", [20, 1_000_000])
+def test_vectors_travel_once_for_a_panel_not_for_every_tile(spark, tile_terms):
     """Fails where each vector is sent once for every small tile of its block."""
-    params = Params(tile_docs=2, tile_terms=20, min_similarity=0.05)
+    params = Params(tile_docs=2, tile_terms=tile_terms, min_similarity=0.05)
     blocked = similarity.assign_blocks(to_frame(spark, {"c": corpus(1, 200)}), [F.col("doc_id")], params)
     n_docs = blocked.count()
     n_tiles = blocked.first()["n_tiles"]
-    size = similarity._panels(blocked, params)
+    size = similarity._panels(blocked)
     assert n_tiles > 50
     assert similarity._spread(blocked, size).count() <= 4 * n_docs
 
