@@ -5,15 +5,17 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kindred.functions import tiles
 from kindred.operators import collocations as grams
-from kindred.operators import forest, similarity, vectors
+from kindred.operators import forest, index, similarity, vectors
 from kindred.params import Params, to_nano
 from kindred.plans.rebuild import rebuild, rebuild_all
-from kindred.plans.textcluster import textcluster
-from kindred.plans.vectorize import read_vectors, unpack
+from kindred.plans.textcluster import block_and_rest, textcluster
+from kindred.plans.vectorize import read_vectors, unpack, vectorize
+from kindred.staging import stage
 
 VECTORS = "namespace string, collection_key string, doc_id long, terms array<string>, weights array<double>"
 
@@ -355,6 +357,36 @@ def test_vectors_travel_once_for_a_panel_not_for_every_tile(spark, tile_terms):
     assert similarity._spread(blocked, size).count() <= 4 * n_docs
 
 
+def test_vectors_stay_in_their_files(spark, monkeypatch):
+    """Failed where a pass sorted the vectors and wrote them again to number their documents."""
+    texts = [("n", f"c{d % 2}", d, " ".join(f"w{d * k % 11 + k % 3}" for k in range(d % 5 + 1))) for d in range(700)]
+    docs = spark.createDataFrame(texts, "namespace string, collection_key string, doc_id long, text string")
+    params = Params(min_support=1, min_df=1, block_size=100, min_similarity=0.9, tile_docs=16)
+    made = vectorize(docs, params).vectors
+    written = {}
+
+    def staged(df, name):
+        written.setdefault(name, set()).update(df.columns)
+        return stage(df, name)
+
+    for module in (index, similarity, vectors):
+        monkeypatch.setattr(module, "stage", staged)
+    passes = block_and_rest(made, params)
+    assert {"sorted", "places", "cuts"} <= set(written)
+    assert not any({"weights", "terms", "term_ids"} & columns for columns in written.values())
+    for done in passes:
+        plan = done.blocked._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    # positions count the documents of a block in their order, whatever files they are in
+    window = Window.partitionBy("collection_key").orderBy("doc_id")
+    want = made.where("size(term_ids) >= 2").select("collection_key", "doc_id", (F.row_number().over(window) - 1).alias("at"))
+    got = passes[0].blocked.select("collection_key", "doc_id", F.expr("block_id * 100 + pos").alias("at"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(similarity, "MAX_BROADCAST_PLACES", 0)
+    joined = similarity.assign_blocks(made, [F.col("doc_id")], params).select(passes[0].blocked.drop("stored_at").columns)
+    assert joined.exceptAll(passes[0].blocked.drop("stored_at")).isEmpty() and joined.count() == got.count()
+
+
 def test_tile_bounds_in_panels(spark, monkeypatch):
     """Bounds of all pairs of tiles, however many panels the tiles are in."""
     params = Params(tile_docs=8, tile_terms=1_000)
