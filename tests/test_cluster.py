@@ -402,6 +402,21 @@ def test_tile_bounds_in_panels(spark, monkeypatch):
     assert bounds() == whole
 
 
+def test_greatest_weights_of_tiles_take_one_exchange(spark, monkeypatch):
+    """Every term of every vector was exchanged with its keys, and the tiles' terms once more."""
+    params = Params(tile_docs=8, tile_terms=1_000)
+    blocked = similarity.assign_blocks(to_frame(spark, {"c": corpus(2, 90)}), [F.col("doc_id")], params)
+    plans = {}
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        return stage(df, name)
+
+    monkeypatch.setattr(similarity, "stage", staged)
+    assert similarity.tile_bounds(blocked).count() > 0
+    assert plans["tops"].count("Exchange hashpartitioning") == 1
+
+
 def test_counts_take_one_exchange_with_a_constant_key(spark):
     """A constant namespace made the counts exchange every term once more."""
     docs = to_frame(spark, {"c": {1: {}}}).select(
