@@ -8,7 +8,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kindred.functions import tiles
+from kindred.functions import compact, tiles
 from kindred.operators import collocations as grams
 from kindred.operators import forest, index, similarity, vectors
 from kindred.params import Params, to_nano
@@ -426,3 +426,36 @@ def test_counts_take_one_exchange_with_a_constant_key(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
         assert made.count() > 0
+
+
+def test_vectors_as_bytes():
+    pick = random.Random(3)
+    docs = [sorted(pick.sample(range(100_000), n)) for n in (0, 5, 1, 300, 0, 2)]
+    df = [[2_000_000 // (t + 1) + 1 for t in doc] for doc in docs]
+    tf = [[pick.choice([1, 1, 2, 127, 128, 20_000]) for _ in doc] for doc in docs]
+    packed = compact.encode(*(pa.array(x, pa.list_(pa.int32())) for x in (docs, df, tf)))
+    for first, end in ((0, 6), (1, 4), (4, 5), (3, 3)):
+        length, *columns = compact.decode(packed[first:end])
+        assert length.tolist() == [len(doc) for doc in docs[first:end]]
+        assert [x.tolist() for x in columns] == [sum(x[first:end], []) for x in (docs, df, tf)]
+    with pytest.raises(ValueError):
+        compact.encode(*(pa.array([x]) for x in ([1, 2], [3, 4], [1, 1])))
+
+
+def test_vectors_are_exchanged_as_bytes(spark):
+    """Failed where panels got 4 bytes for the number of a term and 8 for its weight."""
+    texts = [("n", f"c{d % 2}", d, " ".join(f"w{d * k % 11 + k % 3}" for k in range(d % 9 + 1))) for d in range(300)]
+    docs = spark.createDataFrame(texts, "namespace string, collection_key string, doc_id long, text string")
+    params = Params(min_support=1, min_df=1, block_size=100, min_similarity=0.1, tile_docs=16)
+    made = vectorize(docs, params).vectors
+    for row in made.collect():
+        length, terms, weight = compact.entries(pa.array([row["compact"].asDict()]))
+        assert terms.tolist() == row["term_ids"] and weight == pytest.approx(row["weights"], rel=1e-14)
+    blocked = similarity.assign_blocks(made, [F.col("doc_id")], params)
+    assert not {"terms", "weights"} & set(similarity._spread(blocked, 2).columns)
+    plain = similarity.assign_blocks(made.drop("compact"), [F.col("doc_id")], params)
+    for scores in (similarity.similar_pairs, similarity.document_scores):
+        got = scores(blocked, params)
+        assert got.exceptAll(scores(plain, params)).isEmpty() and got.count() > 100
+    blocks, rest = block_and_rest(made, params)
+    assert "compact" in rest.blocked.columns and "compact" not in blocks.assigned.columns
