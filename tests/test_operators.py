@@ -45,6 +45,28 @@ def test_lookup_splits_hot_and_cold_keys(spark, monkeypatch):
     assert sorted(joins.lookup(rows, table, ["k"], "load").collect()) == want
 
 
+def test_lookup_broadcasts_as_many_keys_as_it_may(spark, monkeypatch):
+    """Failed where only keys above an even share were broadcast: here one, so that most rows were exchanged."""
+    loads = {k: 4_000 if k == 0 else 1 + k % 40 for k in range(200)} | {200: None, 201: 0}
+    table = spark.createDataFrame([("n", k, n) for k, n in loads.items()], "s string, k int, load long")
+    rows = spark.range(3_000).select(F.lit("n").alias("s"), F.col("id").cast("int").alias("n"), (F.col("id") % 210).cast("int").alias("k"))
+    sent = []
+    plain = F.broadcast
+
+    def broadcast(df):
+        sent.append(df)
+        return plain(df)
+
+    monkeypatch.setattr(joins.F, "broadcast", broadcast)
+    got = joins.lookup(rows, table, ["s", "k"], "load", 50)
+    largest = sorted((n or 0 for n in loads.values()), reverse=True)
+    hot = [r["load"] for r in sent[0].collect()]
+    assert 40 < len(hot) <= 50 and sorted(hot, reverse=True) == largest[: len(hot)]
+    assert sorted(got.select("n", "k").collect()) == sorted(rows.where("k < 202").select("n", "k").collect())
+    equal = table.withColumn("load", F.lit(7))
+    assert joins.lookup(rows, equal, ["s", "k"], "load", 50).count() == got.count()
+
+
 def test_stage_reads_what_was_written(spark, tmp_path):
     df = spark.range(5).withColumn("r", F.rand())
     kept = stage(df, "name", str(tmp_path))
