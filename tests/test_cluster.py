@@ -458,4 +458,9 @@ def test_vectors_are_exchanged_as_bytes(spark):
         got = scores(blocked, params)
         assert got.exceptAll(scores(plain, params)).isEmpty() and got.count() > 100
     blocks, rest = block_and_rest(made, params)
+    # numbering and cutting read no vectors: failed where lengths were those of the lists
+    lengths = blocks.blocked.select("pos", vectors.n_terms(blocks.blocked).alias("n_terms"))
+    plan = lengths._jdf.queryExecution().executedPlan().toString()
+    assert "vector" not in plan.split("ReadSchema: ")[1].split("\n")[0] and "n_terms" in plan
+    assert lengths.agg(F.sum("n_terms")).first()[0] == made.where("size(term_ids) >= 2").agg(F.sum(F.size("term_ids"))).first()[0]
     assert "compact" in rest.blocked.columns and "compact" not in blocks.assigned.columns
