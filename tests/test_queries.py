@@ -6,6 +6,7 @@ import kindred.plans.textcluster
 import kindred.queries
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, TYPES, rows
+from kindred.operators import similarity
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +51,38 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(result.toPandas()) == rows(relation.df())
 
 
+def test_collections_are_compared_whole(spark, tmp_path, monkeypatch):
+    """Failed where only 40,000 documents, or 250 of them, were compared with each other."""
+    done = {}
+
+    def once(function):
+        def found(*given):
+            if (function, given[-1]) not in done:
+                done[function, given[-1]] = function(*given)
+            return done[function, given[-1]]
+
+        return found
+
+    monkeypatch.setattr(similarity, "scored_documents", once(similarity.scored_documents))
+    monkeypatch.setattr(kindred.queries, "run_pass", once(kindred.queries.run_pass))
+    n = 40_500
+    copies = spark.range(n).selectExpr("id AS doc_id", "concat('a', id % 27, ' b', id % 27) AS text", "'en' AS lang")
+    # the first words come once more, 288 documents later
+    apart = spark.range(300).selectExpr("id + 100000 AS doc_id", "concat('a', id % 288 div 12, ' b', id % 288 div 12) AS text", "'fr' AS lang")
+    copies.union(apart).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {name: queries()[name](spark, str(tmp_path)) for name in ("centricity", "leaders", "cluster_members", "near_copies", "unassigned")}
+    (centricity,) = found["centricity"].where("collection_key = 'en'").groupBy("centricity_nano").count().collect()
+    assert centricity["count"] == n and centricity["centricity_nano"] > 1_499 * 300_000_000
+    led = found["leaders"].where("collection_key = 'en'").selectExpr("count(*)", "min(doc_id - leader_pos)", "max(doc_id - leader_pos)")
+    assert tuple(led.first()) == (n - 27, 27, 27)
+    for name in ("cluster_members", "near_copies"):
+        sizes = found[name].where("collection_key = 'en'").groupBy("label").count()
+        assert {r["label"]: r["count"] for r in sizes.collect()} == {label: 1_500 for label in range(27)}
+    twelfths = found["cluster_members"].where("collection_key = 'fr'").groupBy("label").count().collect()
+    assert {r["label"] - 100_000: r["count"] for r in twelfths} == {12 * i: 24 if i == 0 else 12 for i in range(24)}
+    assert found["unassigned"].count() == 0
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
     assert set(kindred.queries.QUERIES) <= set(oracle_sql())
