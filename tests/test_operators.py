@@ -189,6 +189,40 @@ def test_collocations_equal_brute_force(spark, longest):
     assert both.where("term NOT LIKE '% %'").count() == single.count()
 
 
+def test_few_n_grams_are_exchanged(spark, monkeypatch):
+    """Failed where counts were added up before the exchange, and where all n-grams were looked up."""
+    texts = [(d, "new york " + " ".join(f"w{d * 31 + k}" for k in range(20))) for d in range(400)]
+    docs = keyed(spark, [("a", *row) for row in texts], "doc_id long, text string")
+    grams = stage(collocations.gram_frequency(docs, 3), "grams")
+    tables, plans = {}, []
+
+    def staged(df, name, **given):
+        if name == "grams" and "tail" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+        tables[name] = stage(df, name, **given)
+        return tables[name]
+
+    monkeypatch.setattr(collocations, "stage", staged)
+    found = collocations.with_collocations(vectors.term_frequency(docs), grams, Params(max_ngram=3, min_support=3))
+    assert found.where("term LIKE '% %'").select("term").distinct().collect() == [("new york",)]
+    assert found.where("term = 'new york'").count() == 400
+    assert grams.count() == 400 * 41 and 400 <= tables["met"].count() < 4_000
+    # a document each: added up before
+    monkeypatch.setattr(collocations, "TASK_GRAMS", 1)
+    again = collocations.collocations(grams, Params(max_ngram=3, min_support=3))
+    at = [(counting.index("Exchange"), counting.rindex("HashAggregate")) for counting in plans]
+    assert [exchange > added for exchange, added in at] == [True, False]
+    assert again.exceptAll(tables["collocations"]).isEmpty() and again.count() == 1
+
+
+def test_possible_keeps_all_that_match(spark):
+    rows = spark.range(50_000).selectExpr("concat('k', id) AS k", "id")
+    for n in (0, 1, 5_000):
+        kept = joins.possible(rows, spark.range(n).selectExpr("concat('k', id * 7) AS k"), ["k"])
+        assert kept.columns == ["k", "id"] and kept.where(f"id % 7 = 0 AND id < {7 * n}").count() == n
+        assert kept.count() < n + 50_000 * 0.15 + 100
+
+
 def test_nothing_to_collocate(spark):
     docs = keyed(spark, [("a", 1, "one"), ("a", 2, "")], "doc_id long, text string")
     grams = stage(collocations.gram_frequency(docs, 3), "grams")
