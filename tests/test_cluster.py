@@ -417,6 +417,29 @@ def test_greatest_weights_of_tiles_take_one_exchange(spark, monkeypatch):
     assert plans["tops"].count("Exchange hashpartitioning") == 1
 
 
+def test_bounds_take_vectors_as_bytes(spark, monkeypatch):
+    """Failed where tiles' terms and weights, 12 bytes each, were exchanged, stored and exchanged again."""
+    texts = [("n", "c", d, " ".join(f"w{d * k % 11 + k % 3}" for k in range(d % 9 + 1))) for d in range(200)]
+    docs = spark.createDataFrame(texts, "namespace string, collection_key string, doc_id long, text string")
+    params = Params(min_support=1, min_df=1, tile_docs=4, tile_terms=100)
+    blocked = similarity.assign_blocks(vectorize(docs, params).vectors, [F.col("doc_id")], params)
+
+    def bounds(rows):
+        return {(r["low"], r["high"]): round(r["bound"], 9) for r in similarity.tile_bounds(rows).collect()}
+
+    want = bounds(blocked.drop("compact"))
+    assert len(want) > 500 and max(want.values()) > 0
+
+    def staged(df, name):
+        assert "terms" not in df.columns
+        return stage(df, name)
+
+    monkeypatch.setattr(similarity, "stage", staged)
+    for most in (4_096, 7):
+        monkeypatch.setattr(similarity, "PANEL_TILES", most)
+        assert bounds(blocked) == want
+
+
 def test_counts_take_one_exchange_with_a_constant_key(spark):
     """A constant namespace made the counts exchange every term once more."""
     docs = to_frame(spark, {"c": {1: {}}}).select(
